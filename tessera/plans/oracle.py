@@ -103,3 +103,227 @@ WITH {_topk(EX_SCORES, 5)}, p AS ({PAIRS})
 SELECT t.query_id, t.rank, t.id, round(t.sc, 6) AS score, p.nlq, p.sql
 FROM t JOIN p ON p.pair_id = t.id
 """)
+
+
+# ----------------------------------------------------------------------------- SQL text
+# DuckDB expressions built from the same regex constants as tessera.functions.sqltext.
+
+from tessera.functions import sqltext as _st  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def d_strip(x: str) -> str:
+    return f"regexp_replace({x}, {_lit(f'^{_st.WS}+|{_st.WS}+$')}, '', 'g')"
+
+
+def d_tokens(x: str) -> str:
+    return (f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), "
+            f"{_lit(_st.WS + '+')}), lambda t: t <> ''))")
+
+
+def d_token_sim(a: str, b: str) -> str:
+    ta, tb = d_tokens(a), d_tokens(b)
+    u = f"len(list_distinct(list_concat({ta}, {tb})))"
+    i = f"len(list_intersect({ta}, {tb}))"
+    return f"(CASE WHEN {u} = 0 THEN 0.0 ELSE CAST({i} AS DOUBLE) / {u} END)"
+
+
+def d_strip_fences(x: str) -> str:
+    t = d_strip(f"coalesce({x}, '')")
+    t = f"regexp_replace({t}, {_lit(_st.FENCE_HEAD)}, '')"
+    t = f"regexp_replace({t}, {_lit(_st.FENCE_TAIL)}, '')"
+    return d_strip(t)
+
+
+def d_extract_json(x: str) -> str:
+    return f"nullif(regexp_extract(coalesce({x}, ''), {_lit(_st.JSON_OBJECT)}, 0), '')"
+
+
+def d_depth0(x: str) -> str:
+    t = x
+    for _ in range(_st.PAREN_PASSES):
+        t = f"regexp_replace({t}, {_lit(_st.INNER_PARENS)}, ' ', 'g')"
+    return t
+
+
+def _case_map(x: str, table: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in table.items())
+    return f"(CASE {x} {whens} END)"
+
+
+def validate_ctes(src: str, id_col: str, sql_col: str, prefix: str = "v") -> str:
+    """CTEs ending in ``{prefix}_out(id, parse_ok, valid, reason)`` for a text column."""
+    ws = _st.WS
+    ws_inner = ws.strip("[]")
+    p = prefix
+    return f"""
+{p}_a AS (SELECT {id_col} AS id, {d_strip(f"coalesce({sql_col}, '')")} AS s FROM {src}),
+{p}_b AS (SELECT id, s, regexp_replace(regexp_replace(s, {_lit(_st.COMMENT_OR_QUOTED)}, ' \\2 ', 'g'),
+                                  {_lit(_st.QUOTED)}, ' _lit_ ', 'g') AS masked FROM {p}_a),
+{p}_c AS (SELECT id, s, masked, string_split(masked, ';') AS pieces FROM {p}_b),
+{p}_d AS (SELECT id, s, masked, pieces, pieces[1] AS first_stmt,
+             regexp_matches(masked, {_lit(chr(39) + '["' + chr(39) + ']|/\\*')}) AS open_quote,
+             (length(masked) - length(replace(masked, '(', ''))) <> (length(masked) - length(replace(masked, ')', '')))
+               OR regexp_matches({d_depth0('masked')}, '[()]') AS unbalanced,
+             len(pieces) - CASE WHEN regexp_matches(pieces[-1], {_lit(f'^{ws}*$')}) AND len(pieces) > 1
+                                THEN 1 ELSE 0 END AS n_stmt
+          FROM {p}_c),
+{p}_e AS (SELECT *, upper(regexp_extract(first_stmt, {_lit(f'^{ws}*([A-Za-z_]+)')}, 1)) AS lead,
+             regexp_matches(first_stmt, {_lit(f'^{ws}*' + chr(92) + '(')}) AS starts_paren,
+             upper({d_depth0('first_stmt')}) AS flat_first
+          FROM {p}_d),
+{p}_f AS (SELECT *, {_case_map('lead', _st.STATEMENT_KINDS)} AS kind,
+             regexp_extract(flat_first, {_lit(r'\b(UNION|INTERSECT|EXCEPT)\b')}, 1) AS set_op,
+             regexp_extract(flat_first, {_lit(r'^[^;]*?\bWITH\b[\s\S]*?\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\b')}, 1) AS with_write
+          FROM {p}_e),
+{p}_g AS (SELECT *,
+             CASE WHEN starts_paren THEN 'Subquery'
+                  WHEN set_op <> '' THEN {_case_map('set_op', _st.SET_OPERATIONS)}
+                  WHEN lead = 'WITH' AND with_write <> '' AND with_write <> 'SELECT'
+                       THEN {_case_map('with_write', _st.WRITE_AFTER_WITH)}
+                  ELSE kind END AS top_kind,
+             CASE WHEN open_quote THEN 'SQL parse error: unterminated quoted text or comment.'
+                  WHEN unbalanced THEN 'SQL parse error: unbalanced parentheses.'
+                  WHEN NOT starts_paren AND kind IS NULL
+                       THEN 'SQL parse error: unexpected token ''' ||
+                            regexp_extract(first_stmt, {_lit(f'^{ws}*([^{ws_inner}]*)')}, 1) || '''.'
+             END AS parse_err
+          FROM {p}_f),
+{p}_out AS (SELECT id, (s <> '' AND parse_err IS NULL) AS parse_ok,
+             CASE WHEN s = '' THEN 'SQL is empty.'
+                  WHEN parse_err IS NOT NULL THEN parse_err
+                  WHEN n_stmt > 1 THEN 'Multiple statements detected (' || CAST(n_stmt AS VARCHAR)
+                       || '). Only a single SELECT or WITH is allowed.'
+                  WHEN top_kind IS NULL OR top_kind NOT IN ('Select', 'With')
+                       THEN 'Unsafe statement type: ' || top_kind || '. Only SELECT and WITH are allowed.'
+             END AS reason
+          FROM {p}_g)
+"""
+
+
+def canonical_ctes(src: str, id_col: str, sql_col: str, prefix: str = "k") -> str:
+    """CTEs ending in ``{prefix}_out(id, canonical)``."""
+    p = prefix
+    kw = "[" + ", ".join(_lit(w) for w in _st.CANON_KEYWORDS) + "]"
+    allw = "[" + ", ".join(_lit(w) for w in _st.CANON_UPPER) + "]"
+    return f"""
+{p}_a AS (SELECT {id_col} AS id,
+             regexp_extract_all(regexp_replace(coalesce({sql_col}, ''), {_lit(_st.COMMENT_OR_QUOTED)}, ' \\2 ', 'g'),
+                                {_lit(_st.TOKEN)}, 0) AS toks FROM {src}),
+{p}_b AS (SELECT id, list_transform(toks, lambda t: CASE WHEN t = '!=' THEN '<>'
+                 WHEN list_contains({allw}, upper(t)) THEN upper(t) ELSE t END) AS m FROM {p}_a),
+{p}_c AS (SELECT id, CASE WHEN m[-1] = ';' THEN m[1:len(m) - 1] ELSE m END AS tr FROM {p}_b),
+{p}_out AS (SELECT id, array_to_string(list_transform(range(1, len(tr) + 1), lambda i:
+               tr[i] || CASE WHEN coalesce(tr[i + 1], '') IN ('', ',', ')') OR tr[i] = '('
+                   OR (tr[i + 1] = '(' AND regexp_matches(tr[i], '^[A-Za-z_]') AND NOT list_contains({kw}, tr[i]))
+                 THEN '' ELSE ' ' END), '') AS canonical FROM {p}_c)
+"""
+
+
+SQL_TEXTS = """
+SELECT o_orderkey AS id,
+  CASE o_orderkey % 12
+    WHEN 0 THEN 'SELECT COUNT(*) FROM orders WHERE o_orderstatus = ''' || o_orderstatus || ''''
+    WHEN 1 THEN 'WITH t AS (SELECT o_custkey FROM orders WHERE o_orderkey = ' || CAST(o_orderkey AS VARCHAR) || ') SELECT * FROM t'
+    WHEN 2 THEN 'SELECT * FROM (SELECT o_orderkey FROM orders WHERE o_orderpriority = ''' || o_orderpriority || ''') sub'
+    WHEN 3 THEN 'DROP TABLE orders_' || CAST(o_orderkey AS VARCHAR)
+    WHEN 4 THEN 'INSERT INTO orders (o_orderkey) VALUES (' || CAST(o_orderkey AS VARCHAR) || ')'
+    WHEN 5 THEN 'SELECT ' || CAST(o_orderkey AS VARCHAR) || '; DROP TABLE orders'
+    WHEN 6 THEN '   ' || chr(10) || chr(9) || '  '
+    WHEN 7 THEN 'SELET ' || CAST(o_orderkey AS VARCHAR)
+    WHEN 8 THEN 'update orders set o_orderstatus = ''x'' where o_orderkey = ' || CAST(o_orderkey AS VARCHAR)
+    WHEN 9 THEN '-- count it' || chr(10) || 'select count(*) from orders where o_comment = ''a;b'' and o_orderkey = ' || CAST(o_orderkey AS VARCHAR)
+    WHEN 10 THEN 'SELECT o_orderkey FROM orders WHERE (o_totalprice > ' || CAST(o_orderkey AS VARCHAR)
+    ELSE 'SELECT 1 UNION SELECT ' || CAST(o_orderkey AS VARCHAR)
+  END AS sql
+FROM orders
+"""
+
+PREDICTIONS = """
+SELECT o_orderkey AS id,
+  'select  count(*)  from orders where o_orderstatus  =  ''' ||
+    CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END || '''' AS pred_sql,
+  'SELECT COUNT(*) FROM orders WHERE o_orderstatus = ''' || o_orderstatus || '''' AS gold_sql
+FROM orders
+"""
+
+RESPONSES = """
+SELECT o_orderkey AS id,
+  CASE o_orderkey % 5
+    WHEN 0 THEN '```sql' || chr(10) || b || chr(10) || '```'
+    WHEN 1 THEN '```' || chr(10) || b || chr(10) || '```'
+    WHEN 2 THEN '```SQL' || chr(10) || b || chr(10) || '```'
+    WHEN 3 THEN b
+    ELSE '  ' || chr(10) || b || chr(10) || chr(10) || '  '
+  END AS text
+FROM (SELECT o_orderkey, 'SELECT COUNT(*) FROM orders WHERE o_custkey = ' || CAST(o_custkey AS VARCHAR) AS b FROM orders)
+"""
+
+LESSON_TEXTS = """
+SELECT o_orderkey AS id,
+  CASE o_orderkey % 7
+    WHEN 0 THEN good
+    WHEN 1 THEN 'Here is the lesson:' || chr(10) || good
+    WHEN 2 THEN good || chr(10) || 'Hope this helps.'
+    WHEN 3 THEN '{''title'': ''x' || CAST(o_orderkey AS VARCHAR) || '''}'
+    WHEN 4 THEN '{"title": "t' || CAST(o_orderkey AS VARCHAR) || '", "trigger": "g"}'
+    WHEN 5 THEN 'I could not produce a lesson for order ' || CAST(o_orderkey AS VARCHAR)
+    ELSE '{"title": ' || CAST(o_orderkey AS VARCHAR) || ', "trigger": "g", "diagnosis": "d", "fix_rule": "f", "error_category": "other", "example": "e"}'
+  END AS text
+FROM (SELECT o_orderkey,
+        '{"title": "Lesson ' || CAST(o_orderkey AS VARCHAR) || '", "trigger": "questions about priority '
+        || o_orderpriority || '", "diagnosis": "wrong status", "fix_rule": "Always filter on '
+        || o_orderstatus || '", "error_category": "'
+        || ['date_handling', 'join_logic', 'aggregation', 'filter', 'other'][CAST(o_custkey % 5 + 1 AS INTEGER)]
+        || '", "example": "{\\"nlq\\": \\"q\\"}"}' AS good
+      FROM orders)
+"""
+
+_reg("validate_sql_texts", f"""
+WITH src AS ({SQL_TEXTS}), {validate_ctes('src', 'id', 'sql')}
+SELECT id, reason IS NULL AS valid, reason FROM v_out
+""")
+
+_reg("strip_fences", f"""
+SELECT id, {d_strip_fences('text')} AS text FROM ({RESPONSES})
+""")
+
+_reg("token_similarity", f"""
+SELECT id, round({d_token_sim('pred_sql', 'gold_sql')}, 6) AS token_sim FROM ({PREDICTIONS})
+""")
+
+_reg("sql_canonical", f"""
+WITH src AS ({PREDICTIONS}), {canonical_ctes('src', 'id', 'pred_sql', 'kp')}, {canonical_ctes('src', 'id', 'gold_sql', 'kg')}
+SELECT kp_out.id, kp_out.canonical AS pred_canonical, kg_out.canonical AS gold_canonical
+FROM kp_out JOIN kg_out ON kp_out.id = kg_out.id
+""")
+
+_reg("sql_compare", f"""
+WITH src AS ({PREDICTIONS}),
+{validate_ctes('src', 'id', 'pred_sql', 'vp')}, {validate_ctes('src', 'id', 'gold_sql', 'vg')},
+{canonical_ctes('src', 'id', 'pred_sql', 'kp')}, {canonical_ctes('src', 'id', 'gold_sql', 'kg')}
+SELECT src.id, (vp_out.parse_ok AND vg_out.parse_ok AND kp_out.canonical = kg_out.canonical) AS ast_match,
+       round({d_token_sim('src.pred_sql', 'src.gold_sql')}, 6) AS token_sim
+FROM src JOIN vp_out ON vp_out.id = src.id JOIN vg_out ON vg_out.id = src.id
+         JOIN kp_out ON kp_out.id = src.id JOIN kg_out ON kg_out.id = src.id
+""")
+
+_reg("extract_json", f"""
+SELECT id, {d_extract_json('text')} AS json FROM ({LESSON_TEXTS})
+""")
+
+_LESSON_FIELDS_SQL = ", ".join(
+    f"CASE WHEN reason IS NULL THEN json_extract_string(js, '$.{f}') END AS {f}" for f in _st.LESSON_FIELDS)
+_LESSON_OK_SQL = " AND ".join(f"coalesce(json_type(js, '$.{f}') = 'VARCHAR', false)" for f in _st.LESSON_FIELDS)
+
+_reg("parse_lessons", f"""
+WITH a AS (SELECT id, {d_extract_json('text')} AS js FROM ({LESSON_TEXTS})),
+b AS (SELECT id, js, CASE WHEN js IS NULL THEN 'no_json'
+                          WHEN NOT json_valid(js) THEN 'bad_json'
+                          WHEN NOT (json_type(js) = 'OBJECT' AND {_LESSON_OK_SQL}) THEN 'invalid_lesson' END AS reason
+      FROM a)
+SELECT id, reason IS NULL AS ok, reason, {_LESSON_FIELDS_SQL} FROM b
+""")

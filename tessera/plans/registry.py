@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval
+from tessera.plans import retrieval, text
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -20,5 +20,12 @@ def all_queries() -> dict[str, QueryFn]:
         "l2_normalize": retrieval.q_l2_normalize,
         "kb_counts": retrieval.q_kb_counts,
         "hits_to_records": retrieval.q_hits_to_records,
+        "validate_sql_texts": text.q_validate_sql_texts,
+        "strip_fences": text.q_strip_fences,
+        "token_similarity": text.q_token_similarity,
+        "sql_canonical": text.q_sql_canonical,
+        "sql_compare": text.q_sql_compare,
+        "extract_json": text.q_extract_json,
+        "parse_lessons": text.q_parse_lessons,
     }
     return q
