@@ -327,3 +327,57 @@ b AS (SELECT id, js, CASE WHEN js IS NULL THEN 'no_json'
       FROM a)
 SELECT id, reason IS NULL AS ok, reason, {_LESSON_FIELDS_SQL} FROM b
 """)
+
+
+# ----------------------------------------------------------------------------- workload
+
+_CUST = "(SELECT c_custkey, c_name, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+_reg("wl_customer_count", "SELECT count(*) AS customer_count FROM customer")
+_reg("wl_customers_in_nation", f"SELECT count(*) AS customer_count FROM {_CUST} c WHERE country = 'NATION_7'")
+_reg("wl_customer_names", "SELECT c_name AS name FROM customer")
+_reg("wl_distinct_nations", f"SELECT DISTINCT country FROM {_CUST} c ORDER BY country")
+_reg("wl_order_count", "SELECT count(*) AS order_count FROM orders")
+_reg("wl_order_totals", """
+SELECT round(sum(o_totalprice), 2) AS total_revenue, round(avg(o_totalprice), 2) AS avg_order_value,
+       round(max(o_totalprice), 2) AS max_order_value, round(min(o_totalprice), 2) AS min_order_value
+FROM orders""")
+_reg("wl_orders_by_status", """
+SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS completed_count,
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS pending_count FROM orders""")
+_reg("wl_part_stats", "SELECT count(*) AS product_count, round(avg(p_retailprice), 2) AS avg_price FROM part")
+_reg("wl_parts_in_brand", "SELECT count(*) AS product_count FROM part WHERE p_brand = 'Brand#13'")
+_reg("wl_revenue_by_nation", f"""
+SELECT c.country, round(sum(o.o_totalprice), 2) AS total_revenue
+FROM {_CUST} c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.country ORDER BY total_revenue DESC""")
+_reg("wl_orders_per_customer", """
+SELECT c.c_name AS name, count(o.o_orderkey) AS order_count
+FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey, c.c_name ORDER BY order_count DESC""")
+_reg("wl_frequent_customers", """
+SELECT c.c_name AS name, count(o.o_orderkey) AS order_count
+FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey, c.c_name HAVING count(o.o_orderkey) > 2""")
+_reg("wl_qty_per_part", """
+SELECT p.p_name AS name, round(sum(l.l_quantity), 2) AS total_qty
+FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY p.p_partkey, p.p_name ORDER BY total_qty DESC""")
+_reg("wl_revenue_by_brand", """
+SELECT p.p_brand AS category, round(sum(l.l_quantity * (l.l_extendedprice / l.l_quantity)), 2) AS revenue
+FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY p.p_brand ORDER BY revenue DESC""")
+_reg("wl_distinct_parts", "SELECT count(DISTINCT l_partkey) AS distinct_products FROM lineitem")
+_reg("wl_large_orders", """
+SELECT l_orderkey AS order_id, round(sum(l_quantity), 2) AS total_items FROM lineitem
+GROUP BY l_orderkey HAVING sum(l_quantity) > 3""")
+_reg("wl_completed_revenue", "SELECT round(sum(o_totalprice), 2) AS total_revenue FROM orders WHERE o_orderstatus = 'F'")
+_reg("wl_spend_per_customer", """
+SELECT c.c_name AS name, round(sum(o.o_totalprice), 2) AS total_spent
+FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey, c.c_name ORDER BY total_spent DESC""")
+_reg("wl_orders_in_year", "SELECT count(*) AS order_count FROM orders WHERE year(o_orderdate) = 1998")
+_reg("wl_top_price_per_brand", """
+SELECT p_brand AS category, p_name AS name, p_retailprice AS price FROM part p1
+WHERE p_retailprice = (SELECT max(p_retailprice) FROM part p2 WHERE p2.p_brand = p1.p_brand)
+ORDER BY category""")
+_reg("date_functions", """
+SELECT CAST(m AS DATE) AS month, year(m) AS order_year, CAST(m + INTERVAL '1 month' AS DATE) AS next_month,
+       date_diff('day', CAST(m AS DATE), CAST(m + INTERVAL '1 month' AS DATE)) AS days_in_month,
+       n_orders, revenue
+FROM (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
+      FROM orders GROUP BY 1)""")

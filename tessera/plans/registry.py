@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval, text
+from tessera.plans import retrieval, text, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -28,4 +28,5 @@ def all_queries() -> dict[str, QueryFn]:
         "extract_json": text.q_extract_json,
         "parse_lessons": text.q_parse_lessons,
     }
+    q.update(workload.QUERIES)
     return q
