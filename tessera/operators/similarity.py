@@ -388,14 +388,16 @@ def dot(a, b):
 def l2_normalize(vec, as_float: bool = True):
     """L2-normalise an array column; a zero vector stays zero (native expression).
 
-    ``as_float`` casts the result to float32 as an embedding column would be stored;
-    otherwise elements stay double.
+    The sum of squares is folded once by ``aggregate`` and its finish step rescales the
+    array, so the norm is not recomputed per element. ``as_float`` casts the result to
+    float32 as an embedding column would be stored; otherwise elements stay double.
     """
     v = F.col(vec) if isinstance(vec, str) else vec
-    norm = vector_norm(v)
     t = "float" if as_float else "double"
-    return F.when(norm > 0, F.transform(v, lambda x: (x.cast("double") / norm).cast(t))).otherwise(
-        F.transform(v, lambda x: F.lit(0.0).cast(t)))
+    return F.aggregate(
+        v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda ss: F.transform(v, lambda x: F.when(ss > 0, x.cast("double") / F.sqrt(ss))
+                               .otherwise(F.lit(0.0)).cast(t)))
 
 
 def vector_norm(vec):

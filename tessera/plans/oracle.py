@@ -381,3 +381,157 @@ SELECT CAST(m AS DATE) AS month, year(m) AS order_year, CAST(m + INTERVAL '1 mon
        n_orders, revenue
 FROM (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
       FROM orders GROUP BY 1)""")
+
+
+# ----------------------------------------------------------------------------- records
+
+EVAL_ITEMS = """
+SELECT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS run_id, o_orderkey AS item_id,
+  o_orderstatus = 'F' AS pass1,
+  (o_orderstatus <> 'F' AND o_orderstatus = 'O') AS pass2,
+  (o_orderstatus <> 'F' AND NOT (o_orderstatus = 'O')) AS hard_failure,
+  o_orderstatus <> 'F' AS retried,
+  (o_orderstatus <> 'F' AND o_custkey % 4 <> 0) AS had_lessons,
+  CAST(o_orderkey % 1000 AS DOUBLE) / 1000.0 AS sim1,
+  CASE WHEN o_orderstatus = 'F' THEN NULL
+       WHEN o_custkey % 4 <> 0 THEN CAST(o_custkey % 100 AS DOUBLE) / 100.0 ELSE 0.0 END AS sim2,
+  CAST(floor(o_totalprice) AS DOUBLE) AS latency_ms
+FROM orders
+"""
+
+
+def metrics_sql(items: str, keys: list[str]) -> str:
+    """CTE body giving the ten metrics (unrounded) per key."""
+    sel = ", ".join(keys + [""]) if keys else ""
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""
+SELECT {sel} total, p1 AS pass1_count, p2 AS pass2_count, hf AS hard_failure_count,
+  CASE WHEN total > 0 THEN (p1 + p2) / total ELSE 0.0 END AS overall_pass_rate,
+  CASE WHEN total = 0 THEN 0.0 WHEN total - p1 > 0 THEN p2 / (total - p1) ELSE 1.0 END AS kb_recovery_rate,
+  CASE WHEN r > 0 THEN h / r ELSE 0.0 END AS lesson_utilization,
+  coalesce(s1, 0.0) AS avg_sim1, coalesce(s2, 0.0) AS avg_sim2, coalesce(lat, 0.0) AS avg_latency_ms
+FROM (SELECT {sel} count(*) AS total, count(*) FILTER (WHERE pass1) AS p1, count(*) FILTER (WHERE pass2) AS p2,
+             count(*) FILTER (WHERE hard_failure) AS hf, count(*) FILTER (WHERE retried) AS r,
+             count(*) FILTER (WHERE had_lessons) AS h, avg(sim1) AS s1, avg(sim2) AS s2, avg(latency_ms) AS lat
+      FROM ({items}) {grp})
+"""
+
+
+_ROUND6 = ("overall_pass_rate", "kb_recovery_rate", "lesson_utilization", "avg_sim1", "avg_sim2", "avg_latency_ms")
+_M_ROUNDED = ("total, pass1_count, pass2_count, hard_failure_count, "
+              + ", ".join(f"round({c}, 6) AS {c}" for c in _ROUND6))
+
+_reg("eval_metrics", f"SELECT {_M_ROUNDED} FROM ({metrics_sql(EVAL_ITEMS, [])})")
+_reg("eval_metrics_by_run", f"SELECT run_id, {_M_ROUNDED} FROM ({metrics_sql(EVAL_ITEMS, ['run_id'])})")
+
+
+def _pct(x: str) -> str:
+    return f"printf('%.1f%%', round({x} * 100, 1))"
+
+
+def report_sql(m: str) -> str:
+    def count_line(label: str, c: str) -> str:
+        return (f"CASE WHEN total > 0 THEN printf('{label}%d  (%s)', {c}, {_pct(f'{c} / total')}) "
+                f"ELSE '{label}0' END")
+    heavy = _lit("═" * 50)
+    light = _lit("  " + "─" * 46)
+    parts = [heavy, "'  Evaluation Report'", heavy,
+             "printf('  Total items:          %d', total)",
+             count_line("  pass@1:               ", "pass1_count"),
+             count_line("  pass@2:               ", "pass2_count"),
+             count_line("  Hard failures:        ", "hard_failure_count"),
+             f"printf('  Overall pass rate:    %s', {_pct('overall_pass_rate')})",
+             light,
+             f"printf('  KB recovery rate:     %s   (%d of %d failures recovered)', {_pct('kb_recovery_rate')}, pass2_count, total - pass1_count)",
+             f"printf('  Lesson utilization:   %s', {_pct('lesson_utilization')})",
+             light,
+             "printf('  Avg retrieval sim:    %.3f', round(avg_sim1, 3))",
+             "printf('  Avg lesson sim:       %.3f', round(avg_sim2, 3))",
+             "printf('  Avg latency:          %.0f ms', round(avg_latency_ms, 0))",
+             heavy]
+    return f"SELECT run_id, concat_ws(chr(10), {', '.join(parts)}) AS report FROM ({m})"
+
+
+_reg("metrics_report", report_sql(metrics_sql(EVAL_ITEMS, ["run_id"])))
+
+def _json_metrics_expr() -> str:
+    ints = ("total", "pass1_count", "pass2_count", "hard_failure_count")
+    parts = []
+    for i, c in enumerate(ints + _ROUND6):
+        sep = "{" if i == 0 else ","
+        val = f"CAST({c} AS VARCHAR)" if c in ints else f"CAST(round({c}, 6) AS VARCHAR)"
+        parts.append(f"'{sep}\"{c}\":' || {val}")
+    return " || ".join(parts) + " || '}'"
+
+
+_reg("metrics_json", f"""
+SELECT run_id, {_json_metrics_expr()} AS metrics FROM ({metrics_sql(EVAL_ITEMS, ['run_id'])})
+""")
+
+SPLIT = """
+p AS (SELECT o_orderkey AS pair_id FROM orders),
+n AS (SELECT count(*) AS n FROM p),
+c AS (SELECT least(greatest(1, CAST(floor(CAST(n AS DOUBLE) * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT)), n - 1) AS cut FROM n),
+r AS (SELECT pair_id, row_number() OVER (ORDER BY md5('42:' || CAST(pair_id AS VARCHAR)), pair_id) AS rn FROM p),
+sp AS (SELECT pair_id, CASE WHEN rn <= cut THEN 'train' ELSE 'eval' END AS split FROM r, c)
+"""
+
+_reg("train_eval_split", f"WITH {SPLIT} SELECT pair_id, split FROM sp")
+_reg("split_leakage_check", f"""
+WITH {SPLIT}
+SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'eval') AS n_eval,
+       (SELECT count(*) FROM sp a JOIN sp b ON a.pair_id = b.pair_id AND a.split = 'train' AND b.split = 'eval') AS n_overlap
+FROM sp""")
+_reg("backfill_union", f"""
+WITH {SPLIT}, pr AS ({PAIRS})
+SELECT pr.pair_id, pr.nlq, pr.sql, CASE WHEN sp.split = 'train' THEN 'train' ELSE 'backfill' END AS origin
+FROM pr JOIN sp ON sp.pair_id = pr.pair_id""")
+_reg("kb_upsert", "SELECT o_orderkey AS pair_id, e.vec_id FROM orders LEFT JOIN embeddings e ON e.vec_id = o_orderkey")
+_reg("kb_append", f"""
+WITH pr AS ({PAIRS}),
+p AS (SELECT pr.*, o.o_orderstatus, o.o_orderpriority FROM pr JOIN orders o ON o.o_orderkey = pr.pair_id),
+ex AS (SELECT * FROM p WHERE o_orderstatus = 'F'),
+bk AS (SELECT md5(nlq || chr(31) || sql) AS k, min(pair_id) AS pair_id FROM p WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT pair_id, 'existing' AS origin FROM ex
+UNION ALL
+SELECT pair_id, 'appended' AS origin FROM bk WHERE k NOT IN (SELECT md5(nlq || chr(31) || sql) FROM ex)""")
+
+RUN_EVENTS = """
+SELECT user_id AS run_id,
+       CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS status,
+       ts AS event_time, event_id FROM events
+"""
+
+_reg("run_status_latest", f"""
+SELECT run_id, status, event_time AS updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_time DESC, event_id DESC) AS rn FROM ({RUN_EVENTS}))
+WHERE rn = 1""")
+
+LESSONS_OK = f"""
+la AS (SELECT id, {d_extract_json('text')} AS js FROM ({LESSON_TEXTS})),
+lessons_ok AS (SELECT id AS lesson_id, js FROM la WHERE js IS NOT NULL AND json_valid(js)
+               AND json_type(js) = 'OBJECT' AND {_LESSON_OK_SQL})
+"""
+
+_reg("fk_orphans", f"""
+WITH i AS ({EVAL_ITEMS}), {LESSONS_OK}
+SELECT item_id AS result_id, 'lesson' AS ref_kind, item_id AS ref_id FROM i
+WHERE retried AND item_id NOT IN (SELECT lesson_id FROM lessons_ok)
+UNION ALL
+SELECT item_id AS result_id, 'run' AS ref_kind, run_id AS ref_id FROM i
+WHERE run_id NOT IN (SELECT DISTINCT user_id FROM events)""")
+
+_reg("retry_gate", f"""
+WITH {_topk(EX_SCORES, 5)},
+conf AS (SELECT e.vec_id AS query_id, coalesce(avg(t.sc), 0.0) AS c FROM embeddings e LEFT JOIN t ON t.query_id = e.vec_id GROUP BY e.vec_id),
+src AS ({SQL_TEXTS}), {validate_ctes('src', 'id', 'sql')}
+SELECT conf.query_id, round(conf.c, 6) AS confidence, v_out.reason IS NULL AS valid,
+       (conf.c < 0.75 OR v_out.reason IS NOT NULL) AS retry
+FROM conf JOIN v_out ON v_out.id = conf.query_id""")
+
+_reg("hash_embed", f"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), {_lit(_st.WS + '+')}),
+                                             lambda x: x <> '')) AS tok FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS bucket, count(*) AS c FROM t GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(c * c)) AS nrm FROM b GROUP BY 1)
+SELECT b.doc_id AS id, b.bucket, round(b.c / n.nrm, 6) AS weight FROM b JOIN n ON n.doc_id = b.doc_id""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval, text, workload
+from tessera.plans import records, retrieval, text, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -28,5 +28,20 @@ def all_queries() -> dict[str, QueryFn]:
         "extract_json": text.q_extract_json,
         "parse_lessons": text.q_parse_lessons,
     }
+    q.update({
+        "eval_metrics": records.q_eval_metrics,
+        "eval_metrics_by_run": records.q_eval_metrics_by_run,
+        "metrics_report": records.q_metrics_report,
+        "metrics_json": records.q_metrics_json,
+        "train_eval_split": records.q_train_eval_split,
+        "split_leakage_check": records.q_split_leakage_check,
+        "backfill_union": records.q_backfill_union,
+        "kb_upsert": records.q_kb_upsert,
+        "kb_append": records.q_kb_append,
+        "run_status_latest": records.q_run_status_latest,
+        "fk_orphans": records.q_fk_orphans,
+        "retry_gate": records.q_retry_gate,
+        "hash_embed": records.q_hash_embed,
+    })
     q.update(workload.QUERIES)
     return q
