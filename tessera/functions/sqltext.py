@@ -19,7 +19,7 @@ Validation and canonicalisation are lexical, not a full parser. What they decide
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------- fixed values
@@ -167,73 +167,144 @@ def _lookup(word: Column, table: dict[str, str]) -> Column:
     return F.element_at(m, word)
 
 
+# Validation as ordered stages of named expressions. Inline (one Column) for small uses, or
+# staged as columns of a DataFrame (see ``with_validation``) so every intermediate text is
+# computed once per row and generated code stays small.
+def _validation_stages():
+    ws_inner = WS.strip("[]")
+    return [
+        {"s": lambda e: py_strip(F.coalesce(e["text"], F.lit("")))},
+        {"m": lambda e: mask_sql(e["s"])},
+        {"pieces": lambda e: F.split(e["m"], ";"),
+         "open_quote": lambda e: F.regexp_like(e["m"], F.lit(r"['\"]|/\*")),
+         "unbalanced": lambda e: ((F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\(", "")))
+                                  != (F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\)", ""))))
+                                 | F.regexp_like(depth0(e["m"]), F.lit(r"[()]"))},
+        {"first": lambda e: F.try_element_at(e["pieces"], F.lit(1)),
+         "n_stmt": lambda e: F.size(e["pieces"]) - F.when(
+             F.coalesce(F.regexp_like(F.try_element_at(e["pieces"], F.lit(-1)), F.lit(f"^{WS}*$")), F.lit(False))
+             & (F.size(e["pieces"]) > 1), 1).otherwise(0)},
+        {"lead": lambda e: F.upper(F.regexp_extract(e["first"], f"^{WS}*([A-Za-z_]+)", 1)),
+         "starts_paren": lambda e: F.regexp_like(e["first"], F.lit(f"^{WS}*\\(")),
+         "flat_first": lambda e: F.upper(depth0(e["first"])),
+         "first_word": lambda e: F.regexp_extract(e["first"], f"^{WS}*([^{ws_inner}]*)", 1)},
+        {"kind": lambda e: _lookup(e["lead"], STATEMENT_KINDS),
+         "set_op": lambda e: F.regexp_extract(e["flat_first"], r"\b(UNION|INTERSECT|EXCEPT)\b", 1),
+         "with_write": lambda e: F.regexp_extract(
+             e["flat_first"], r"^[^;]*?\bWITH\b[\s\S]*?\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\b", 1)},
+        {"top_kind": lambda e: (F.when(e["starts_paren"], F.lit("Subquery"))
+                                .when(e["set_op"] != "", _lookup(e["set_op"], SET_OPERATIONS))
+                                .when((e["lead"] == "WITH") & (e["with_write"] != "") & (e["with_write"] != "SELECT"),
+                                      _lookup(e["with_write"], WRITE_AFTER_WITH))
+                                .otherwise(e["kind"])),
+         "parse_err": lambda e: (F.when(e["open_quote"], F.lit("SQL parse error: unterminated quoted text or comment."))
+                                 .when(e["unbalanced"], F.lit("SQL parse error: unbalanced parentheses."))
+                                 .when(~e["starts_paren"] & e["kind"].isNull(),
+                                       F.concat(F.lit("SQL parse error: unexpected token '"), e["first_word"],
+                                                F.lit("'."))))},
+        {"reason": lambda e: (F.when(e["s"] == "", F.lit("SQL is empty."))
+                              .when(e["parse_err"].isNotNull(), e["parse_err"])
+                              .when(e["n_stmt"] > 1, F.concat(F.lit("Multiple statements detected ("),
+                                                              e["n_stmt"].cast("string"),
+                                                              F.lit("). Only a single SELECT or WITH is allowed.")))
+                              .when(~e["top_kind"].isin("Select", "With"),
+                                    F.concat(F.lit("Unsafe statement type: "), e["top_kind"],
+                                             F.lit(". Only SELECT and WITH are allowed.")))),
+         "parse_ok": lambda e: (e["s"] != "") & e["parse_err"].isNull()},
+    ]
+
+
+def _run_inline(stages, env):
+    for stage in stages:
+        for name, fn in stage.items():
+            env[name] = fn(env)
+    return env
+
+
+def _run_staged(df, stages, env, tmp: str):
+    for stage in stages:
+        cols = {f"{tmp}{name}": fn(env) for name, fn in stage.items()}
+        df = df.withColumns(cols)
+        for name in stage:
+            env[name] = F.col(f"{tmp}{name}")
+    return df, env
+
+
 def validate_sql(x) -> Column:
     """``struct(parse_ok, valid, reason)`` for a column of SQL text (see module doc)."""
-    s = py_strip(F.coalesce(_c(x), F.lit("")))
-    masked = mask_sql(s)
-    # An unterminated quote or block comment survives masking.
-    open_quote = F.regexp_like(masked, F.lit(r"['\"]|/\*"))
-    n_open = F.length(masked) - F.length(F.regexp_replace(masked, r"\(", ""))
-    n_close = F.length(masked) - F.length(F.regexp_replace(masked, r"\)", ""))
-    flat = depth0(masked)
-    unbalanced = (n_open != n_close) | F.regexp_like(flat, F.lit(r"[()]"))
-    pieces = F.split(masked, ";")
-    n_pieces = F.size(pieces)
-    last_blank = F.regexp_like(F.element_at(pieces, -1), F.lit(f"^{WS}*$"))
-    n_stmt = n_pieces - F.when(last_blank & (n_pieces > 1), 1).otherwise(0)
-    first_stmt = F.element_at(pieces, 1)
-    lead = F.upper(F.regexp_extract(first_stmt, f"^{WS}*([A-Za-z_]+)", 1))
-    starts_paren = F.regexp_like(first_stmt, F.lit(f"^{WS}*\\("))
-    kind = _lookup(lead, STATEMENT_KINDS)
-    flat_first = F.upper(depth0(first_stmt))
-    set_op = F.regexp_extract(flat_first, r"\b(UNION|INTERSECT|EXCEPT)\b", 1)
-    with_write = F.regexp_extract(flat_first, r"^[^;]*?\bWITH\b[\s\S]*?\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\b", 1)
-    top_kind = (F.when(starts_paren, F.lit("Subquery"))
-                .when(set_op != "", _lookup(set_op, SET_OPERATIONS))
-                .when((lead == "WITH") & (with_write != "") & (with_write != "SELECT"),
-                      _lookup(with_write, WRITE_AFTER_WITH))
-                .otherwise(kind))
-    parse_err = (F.when(open_quote, F.lit("SQL parse error: unterminated quoted text or comment."))
-                 .when(unbalanced, F.lit("SQL parse error: unbalanced parentheses."))
-                 .when(~starts_paren & kind.isNull(),
-                       F.concat(F.lit("SQL parse error: unexpected token '"),
-                                F.regexp_extract(first_stmt, f"^{WS}*([^{WS.strip('[]')}]*)", 1),
-                                F.lit("'."))))
-    reason = (F.when(s == "", F.lit("SQL is empty."))
-              .when(parse_err.isNotNull(), parse_err)
-              .when(n_stmt > 1, F.concat(F.lit("Multiple statements detected ("), n_stmt.cast("string"),
-                                         F.lit("). Only a single SELECT or WITH is allowed.")))
-              .when(~top_kind.isin("Select", "With"),
-                    F.concat(F.lit("Unsafe statement type: "), top_kind,
-                             F.lit(". Only SELECT and WITH are allowed."))))
-    parse_ok = (s != "") & parse_err.isNull()
-    return F.struct(parse_ok.alias("parse_ok"), reason.isNull().alias("valid"), reason.alias("reason"))
+    env = _run_inline(_validation_stages(), {"text": _c(x)})
+    return F.struct(env["parse_ok"].alias("parse_ok"), env["reason"].isNull().alias("valid"),
+                    env["reason"].alias("reason"))
+
+
+def with_validation(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """Add ``{prefix}_parse_ok, {prefix}_valid, {prefix}_reason``; same rules as
+    :func:`validate_sql`, computed in stages."""
+    tmp = f"__{prefix}_"
+    out, env = _run_staged(df, _validation_stages(), {"text": F.col(text_col)}, tmp)
+    out = out.withColumns({f"{prefix}_parse_ok": env["parse_ok"],
+                           f"{prefix}_valid": env["reason"].isNull(),
+                           f"{prefix}_reason": env["reason"]})
+    return out.drop(*[c for c in out.columns if c.startswith(tmp)])
 
 
 # ---------------------------------------------------------------------------- canonical form
 
 
+def _canonical_stages():
+    upper_set = F.array(*[F.lit(w) for w in CANON_UPPER])
+    keyword_set = F.array(*[F.lit(w) for w in CANON_KEYWORDS])
+
+    def glue(e):
+        # Separator after each token: none before ",", ")" or after "(", none between a
+        # function name and its "(", one space otherwise.
+        tr = e["tr"]
+        nxt = F.concat(F.slice(tr, 2, F.greatest(F.size(tr), F.lit(1))), F.array(F.lit("")))
+        return F.array_join(F.zip_with(tr, nxt, lambda t, n: F.concat(t, F.when(
+            (n == "") | (n == ",") | (n == ")") | (t == "(")
+            | ((n == "(") & F.regexp_like(t, F.lit("^[A-Za-z_]")) & ~F.array_contains(keyword_set, t)),
+            F.lit("")).otherwise(F.lit(" ")))), "")
+
+    return [
+        {"toks": lambda e: F.regexp_extract_all(
+            F.regexp_replace(F.coalesce(e["text"], F.lit("")), COMMENT_OR_QUOTED, " $2 "), F.lit(TOKEN), 0)},
+        {"mapped": lambda e: F.transform(e["toks"], lambda t: F.when(t == "!=", F.lit("<>"))
+                                         .when(F.array_contains(upper_set, F.upper(t)), F.upper(t)).otherwise(t))},
+        {"tr": lambda e: F.when(F.coalesce(F.try_element_at(e["mapped"], F.lit(-1)) == ";", F.lit(False)),
+                                F.slice(e["mapped"], 1, F.greatest(F.size(e["mapped"]) - 1, F.lit(0))))
+         .otherwise(e["mapped"])},
+        {"canonical": glue},
+    ]
+
+
 def canonical_sql(x) -> Column:
     """Canonical text: comments dropped, tokens single-spaced, keywords and known functions
     upper-cased, ``!=`` written ``<>``, a trailing ``;`` dropped. Literals and other
     identifiers are kept as written."""
-    no_comments = F.regexp_replace(F.coalesce(_c(x), F.lit("")), COMMENT_OR_QUOTED, " $2 ")
-    toks = F.regexp_extract_all(no_comments, F.lit(TOKEN), 0)
-    upper_set = F.array(*[F.lit(w) for w in CANON_UPPER])
-    keyword_set = F.array(*[F.lit(w) for w in CANON_KEYWORDS])
-    mapped = F.transform(
-        toks, lambda t: F.when(t == "!=", F.lit("<>"))
-        .when(F.array_contains(upper_set, F.upper(t)), F.upper(t)).otherwise(t))
-    trimmed = F.when(F.element_at(mapped, -1) == ";",
-                     F.slice(mapped, 1, F.greatest(F.size(mapped) - 1, F.lit(0)))).otherwise(mapped)
-    # Separator after each token: none before ",", ")" or after "(", none between a
-    # function name and its "(", one space otherwise.
-    nxt = F.concat(F.slice(trimmed, 2, F.greatest(F.size(trimmed), F.lit(1))), F.array(F.lit("")))
-    glued = F.zip_with(trimmed, nxt, lambda t, n: F.concat(t, F.when(
-        (n == "") | (n == ",") | (n == ")") | (t == "(")
-        | ((n == "(") & F.regexp_like(t, F.lit("^[A-Za-z_]")) & ~F.array_contains(keyword_set, t)),
-        F.lit("")).otherwise(F.lit(" "))))
-    return F.array_join(glued, "")
+    return _run_inline(_canonical_stages(), {"text": _c(x)})["canonical"]
+
+
+def with_canonical(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    tmp = f"__{out}_"
+    res, env = _run_staged(df, _canonical_stages(), {"text": F.col(text_col)}, tmp)
+    res = res.withColumn(out, env["canonical"])
+    return res.drop(*[c for c in res.columns if c.startswith(tmp)])
+
+
+def with_comparison(df: DataFrame, pred_col: str, gold_col: str, prefix: str) -> DataFrame:
+    """Add ``{prefix}_valid`` (prediction passes validation), ``{prefix}_match`` (canonical
+    match, false when either side does not parse) and ``{prefix}_token_sim``."""
+    out = with_validation(df, pred_col, f"{prefix}p")
+    out = with_validation(out, gold_col, f"{prefix}g")
+    out = with_canonical(out, pred_col, f"{prefix}_cp")
+    out = with_canonical(out, gold_col, f"{prefix}_cg")
+    out = out.withColumns({
+        f"{prefix}_valid": F.col(f"{prefix}p_valid"),
+        f"{prefix}_match": F.col(f"{prefix}p_parse_ok") & F.col(f"{prefix}g_parse_ok")
+        & (F.col(f"{prefix}_cp") == F.col(f"{prefix}_cg")),
+        f"{prefix}_token_sim": token_similarity(pred_col, gold_col)})
+    drop = [c for c in out.columns if c.startswith((f"{prefix}p_", f"{prefix}g_"))] + [f"{prefix}_cp", f"{prefix}_cg"]
+    return out.drop(*drop)
 
 
 def ast_match(a, b) -> Column:

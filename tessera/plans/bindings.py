@@ -90,8 +90,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("id"), text.alias("text"))
 
 
-def lesson_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def _lesson_text():
+    """Lesson-like model output of an order (column expression over ``orders``)."""
     key = F.col("o_orderkey")
     ks = key.cast("string")
     cat = F.element_at(F.array(*[F.lit(c) for c in ("date_handling", "join_logic", "aggregation",
@@ -103,7 +103,7 @@ def lesson_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus"), F.lit('", "error_category": "'), cat,
         F.lit('", "example": "{\\"nlq\\": \\"q\\"}"}'))
     m = key % 7
-    text = (F.when(m == 0, good)
+    return (F.when(m == 0, good)
             .when(m == 1, F.concat(F.lit("Here is the lesson:\n"), good))
             .when(m == 2, F.concat(good, F.lit("\nHope this helps.")))
             .when(m == 3, F.concat(F.lit("{'title': 'x"), ks, F.lit("'}")))
@@ -112,7 +112,11 @@ def lesson_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit('{"title": '), ks,
                                 F.lit(', "trigger": "g", "diagnosis": "d", "fix_rule": "f", '
                                       '"error_category": "other", "example": "e"}'))))
-    return o.select(key.alias("id"), text.alias("text"))
+
+
+def lesson_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), _lesson_text().alias("text"))
 
 
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,3 +143,49 @@ def vector_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), "embedding",
                     F.col("label").cast("long").alias("run_id"), F.col("vec_id").alias("ordinal"))
+
+
+CALLS = ("sql1", "sql2", "critic", "lesson", "nlq")
+
+
+def _gold_sql():
+    return F.concat(F.lit("SELECT COUNT(*) AS order_count FROM orders WHERE o_custkey = "),
+                    F.col("o_custkey").cast("string"),
+                    F.lit(" AND o_orderstatus = '"), F.col("o_orderstatus"),
+                    F.lit("' AND o_orderpriority = '"), F.col("o_orderpriority"), F.lit("'"))
+
+
+def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded model output per order and call kind: ``(id, call, text, error, elapsed_ms)``.
+
+    sql1 (first attempt), by key mod 6: right; fenced right; wrong status literal; misspelt;
+    call error; right with lower-case keywords. sql2 (retry), by key mod 4: right; wrong;
+    call error; fenced right. critic: error on key mod 5 = 4. lesson: the lesson text of the
+    order. nlq (question for a pair without one): error on key mod 9 = 0.
+    """
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    gold = _gold_sql()
+    wrong = F.regexp_replace(gold, "o_orderstatus = '[A-Z]'", "o_orderstatus = 'X'")
+    lower = F.regexp_replace(gold, r"^SELECT COUNT\(\*\) AS order_count FROM orders WHERE",
+                             "select count(*) as order_count from orders where")
+    fenced = F.concat(F.lit("```sql\n"), gold, F.lit("\n```"))
+    m6, m4, m5, m9 = key % 6, key % 4, key % 5, key % 9
+    null = F.lit(None).cast("string")
+    sql1 = (F.when(m6 == 0, gold).when(m6 == 1, fenced).when(m6 == 2, wrong)
+            .when(m6 == 3, F.lit("SELET 1")).when(m6 == 4, null).otherwise(lower))
+    sql1_e = F.when(m6 == 4, F.lit("timeout"))
+    sql2 = F.when(m4 == 0, gold).when(m4 == 1, wrong).when(m4 == 2, null).otherwise(fenced)
+    sql2_e = F.when(m4 == 2, F.lit("overloaded"))
+    critic = F.when(m5 == 4, null).otherwise(F.lit("1. Wrong filter value on o_orderstatus."))
+    critic_e = F.when(m5 == 4, F.lit("timeout"))
+    nlq = F.when(m9 == 0, null).otherwise(F.concat(F.lit("How many orders did customer "),
+                                                   F.col("o_custkey").cast("string"), F.lit(" place?")))
+    nlq_e = F.when(m9 == 0, F.lit("timeout"))
+    base_ms = (key % 97).cast("double") * 10.0
+    calls = [("sql1", sql1, sql1_e, 1), ("sql2", sql2, sql2_e, 2), ("critic", critic, critic_e, 3),
+             ("lesson", _lesson_text(), F.lit(None).cast("string"), 4), ("nlq", nlq, nlq_e, 5)]
+    arr = F.array(*[F.struct(F.lit(c).alias("call"), t.alias("text"), e.alias("error"),
+                             (base_ms + n).alias("elapsed_ms")) for c, t, e, n in calls])
+    return (o.select(key.alias("id"), F.explode(arr).alias("r"))
+            .select("id", "r.call", "r.text", "r.error", "r.elapsed_ms"))

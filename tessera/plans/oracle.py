@@ -535,3 +535,133 @@ WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesc
 b AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS bucket, count(*) AS c FROM t GROUP BY 1, 2),
 n AS (SELECT doc_id, sqrt(sum(c * c)) AS nrm FROM b GROUP BY 1)
 SELECT b.doc_id AS id, b.bucket, round(b.c / n.nrm, 6) AS weight FROM b JOIN n ON n.doc_id = b.doc_id""")
+
+
+# ----------------------------------------------------------------------------- pipeline
+
+from tessera.functions import prompts as _pr  # noqa: E402
+
+GOLD = ("'SELECT COUNT(*) AS order_count FROM orders WHERE o_custkey = ' || CAST(o_custkey AS VARCHAR)"
+        " || ' AND o_orderstatus = ''' || o_orderstatus || ''' AND o_orderpriority = ''' || o_orderpriority || ''''")
+
+RECORDED = f"""
+WITH g AS (SELECT o_orderkey, o_custkey, {GOLD} AS gold FROM orders),
+h AS (SELECT *, regexp_replace(gold, 'o_orderstatus = ''[A-Z]''', 'o_orderstatus = ''X''', 'g') AS wrong,
+             regexp_replace(gold, '^SELECT COUNT\\(\\*\\) AS order_count FROM orders WHERE',
+                            'select count(*) as order_count from orders where') AS low,
+             '```sql' || chr(10) || gold || chr(10) || '```' AS fenced,
+             CAST(o_orderkey % 97 AS DOUBLE) * 10.0 AS base_ms FROM g)
+SELECT o_orderkey AS id, 'sql1' AS call,
+       CASE o_orderkey % 6 WHEN 0 THEN gold WHEN 1 THEN fenced WHEN 2 THEN wrong WHEN 3 THEN 'SELET 1'
+                           WHEN 4 THEN NULL ELSE low END AS text,
+       CASE WHEN o_orderkey % 6 = 4 THEN 'timeout' END AS error, base_ms + 1 AS elapsed_ms FROM h
+UNION ALL
+SELECT o_orderkey, 'sql2', CASE o_orderkey % 4 WHEN 0 THEN gold WHEN 1 THEN wrong WHEN 2 THEN NULL ELSE fenced END,
+       CASE WHEN o_orderkey % 4 = 2 THEN 'overloaded' END, base_ms + 2 FROM h
+UNION ALL
+SELECT o_orderkey, 'critic', CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE '1. Wrong filter value on o_orderstatus.' END,
+       CASE WHEN o_orderkey % 5 = 4 THEN 'timeout' END, base_ms + 3 FROM h
+UNION ALL
+SELECT h.o_orderkey, 'lesson', lt.text, NULL, base_ms + 4 FROM h JOIN ({LESSON_TEXTS}) lt ON lt.id = h.o_orderkey
+UNION ALL
+SELECT o_orderkey, 'nlq', CASE WHEN o_orderkey % 9 = 0 THEN NULL
+                               ELSE 'How many orders did customer ' || CAST(o_custkey AS VARCHAR) || ' place?' END,
+       CASE WHEN o_orderkey % 9 = 0 THEN 'timeout' END, base_ms + 5 FROM h
+"""
+
+ITEMS = f"""
+SELECT e.vec_id AS id, e.embedding, CAST(e.label AS BIGINT) AS run_id, e.vec_id AS ordinal, p.nlq, p.sql AS gold_sql
+FROM embeddings e JOIN ({PAIRS}) p ON p.pair_id = e.vec_id
+"""
+
+
+def _answer_cte(name: str, src: str, call: str) -> str:
+    """``name(id, {name}_text, {name}_error, {name}_ms)``: recorded answer, cleaned."""
+    return f"""
+{name}_raw AS (SELECT s.id, r.text AS t, r.error AS e, r.elapsed_ms AS ms, r.id IS NOT NULL AS hit
+               FROM {src} s LEFT JOIN resp r ON r.id = s.id AND r.call = '{call}'),
+{name} AS (SELECT id,
+             CASE WHEN hit AND e IS NULL AND t IS NOT NULL THEN {d_strip_fences('t')} END AS {name}_text,
+             CASE WHEN NOT hit THEN 'no recorded response' WHEN e IS NOT NULL THEN e
+                  WHEN t IS NULL THEN 'response had no text' END AS {name}_error,
+             coalesce(ms, 0.0) AS {name}_ms FROM {name}_raw)
+"""
+
+
+def _judge_ctes(name: str, text_src: str, text_col: str) -> str:
+    """``{name}_pass(id, pass)`` for a relation with ``id``, a text column and ``gold_sql``."""
+    return f"""
+{validate_ctes(text_src, 'id', text_col, name + 'vp')},
+{validate_ctes(text_src, 'id', 'gold_sql', name + 'vg')},
+{canonical_ctes(text_src, 'id', text_col, name + 'kp')},
+{canonical_ctes(text_src, 'id', 'gold_sql', name + 'kg')},
+{name}_pass AS (SELECT s.id, (s.{text_col} IS NOT NULL AND vp.reason IS NULL AND vp.parse_ok AND vg.parse_ok
+                              AND kp.canonical = kg.canonical) AS pass
+                FROM {text_src} s JOIN {name}vp_out vp ON vp.id = s.id JOIN {name}vg_out vg ON vg.id = s.id
+                JOIN {name}kp_out kp ON kp.id = s.id JOIN {name}kg_out kg ON kg.id = s.id)
+"""
+
+
+def _topk_rel(name: str, scores: str, k: int) -> str:
+    return f"""
+{name}_s AS ({scores}),
+{name} AS (SELECT * FROM (SELECT query_id, id, sc, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, id) AS rank
+                          FROM {name}_s) WHERE rank <= {k})
+"""
+
+
+EVAL_ATTEMPTS = f"""
+WITH items AS ({ITEMS}), resp AS ({RECORDED}),
+{_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM items q JOIN items c ON q.id <> c.id", 5)},
+sim1 AS (SELECT i.id, coalesce(avg(ex.sc), 0.0) AS sim1 FROM items i LEFT JOIN ex ON ex.query_id = i.id GROUP BY i.id),
+{_answer_cte('a1', 'items', 'sql1')},
+a1g AS (SELECT a1.*, i.gold_sql FROM a1 JOIN items i ON i.id = a1.id),
+{_judge_ctes('j1', 'a1g', 'a1_text')},
+failed AS (SELECT i.* FROM items i JOIN j1_pass p ON p.id = i.id WHERE NOT p.pass),
+{_answer_cte('cr', 'failed', 'critic')},
+crok AS (SELECT f.id FROM failed f JOIN cr ON cr.id = f.id WHERE cr.cr_error IS NULL),
+{_answer_cte('ls', 'crok', 'lesson')},
+lp AS (SELECT id, {d_extract_json('ls_text')} AS js FROM ls WHERE ls_error IS NULL),
+lessons AS (SELECT i.id AS lesson_id, i.run_id, i.ordinal, i.embedding FROM lp JOIN items i ON i.id = lp.id
+            WHERE js IS NOT NULL AND json_valid(js) AND json_type(js) = 'OBJECT' AND {_LESSON_OK_SQL}),
+{_topk_rel('lh', f"SELECT q.id AS query_id, c.lesson_id AS id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM failed q JOIN lessons c ON c.run_id < q.run_id OR (c.run_id = q.run_id AND c.ordinal < q.ordinal)", 3)},
+sim2 AS (SELECT f.id, coalesce(avg(lh.sc), 0.0) AS sim2, count(lh.id) AS n_lessons FROM failed f LEFT JOIN lh ON lh.query_id = f.id GROUP BY f.id),
+{_answer_cte('a2', 'failed', 'sql2')},
+a2g AS (SELECT a2.*, i.gold_sql FROM a2 JOIN items i ON i.id = a2.id),
+{_judge_ctes('j2', 'a2g', 'a2_text')}
+SELECT i.run_id, i.id AS item_id, j1.pass AS pass1, coalesce(j2.pass, false) AS pass2,
+       (NOT j1.pass AND NOT coalesce(j2.pass, false)) AS hard_failure, NOT j1.pass AS retried,
+       (NOT j1.pass AND coalesce(s2.n_lessons, 0) > 0) AS had_lessons,
+       round(s1.sim1, 6) AS sim1, CASE WHEN NOT j1.pass THEN round(s2.sim2, 6) END AS sim2,
+       a1.a1_ms + CASE WHEN NOT j1.pass THEN coalesce(a2.a2_ms, 0.0) + coalesce(cr.cr_ms, 0.0) + coalesce(ls.ls_ms, 0.0) ELSE 0.0 END AS latency_ms,
+       l.lesson_id AS used_lesson_id, a1.a1_text AS pred_sql_1, a2.a2_text AS pred_sql_2
+FROM items i JOIN a1 ON a1.id = i.id JOIN j1_pass j1 ON j1.id = i.id JOIN sim1 s1 ON s1.id = i.id
+LEFT JOIN j2_pass j2 ON j2.id = i.id LEFT JOIN a2 ON a2.id = i.id LEFT JOIN sim2 s2 ON s2.id = i.id
+LEFT JOIN cr ON cr.id = i.id LEFT JOIN ls ON ls.id = i.id LEFT JOIN lessons l ON l.lesson_id = i.id
+"""
+
+_reg("eval_attempts", EVAL_ATTEMPTS)
+_reg("eval_run_metrics", f"SELECT run_id, {_M_ROUNDED} FROM ({metrics_sql(EVAL_ATTEMPTS, ['run_id'])})")
+
+ANSWERS = f"""
+WITH items AS ({ITEMS}), resp AS ({RECORDED}),
+{LESSONS_OK},
+lessons AS (SELECT i.id AS lesson_id, i.embedding FROM items i JOIN lessons_ok l ON l.lesson_id = i.id),
+{_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM items q JOIN items c ON q.id <> c.id", 5)},
+sim1 AS (SELECT i.id, coalesce(avg(ex.sc), 0.0) AS sim1 FROM items i LEFT JOIN ex ON ex.query_id = i.id GROUP BY i.id),
+{_answer_cte('a1', 'items', 'sql1')},
+{validate_ctes('a1', 'id', 'a1_text', 'v1')},
+retry AS (SELECT i.* FROM items i JOIN a1 ON a1.id = i.id JOIN v1_out v ON v.id = i.id JOIN sim1 s ON s.id = i.id
+          WHERE a1.a1_error IS NULL AND (s.sim1 < 0.75 OR v.reason IS NOT NULL)),
+{_topk_rel('lh', f"SELECT q.id AS query_id, c.lesson_id AS id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM retry q CROSS JOIN lessons c", 3)},
+nl AS (SELECT r.id, count(lh.id) AS n_lessons FROM retry r LEFT JOIN lh ON lh.query_id = r.id GROUP BY r.id),
+{_answer_cte('a2', 'retry', 'sql2')}
+SELECT i.id AS question_id,
+       CASE WHEN a1.a1_error IS NOT NULL THEN '' WHEN nl.id IS NOT NULL AND a2.a2_error IS NULL THEN a2.a2_text
+            ELSE a1.a1_text END AS sql,
+       CASE WHEN a1.a1_error IS NOT NULL THEN 0.0 ELSE round(s.sim1, 6) END AS confidence,
+       (a1.a1_error IS NULL AND nl.id IS NOT NULL AND nl.n_lessons > 0) AS used_lesson
+FROM items i JOIN a1 ON a1.id = i.id JOIN sim1 s ON s.id = i.id LEFT JOIN nl ON nl.id = i.id LEFT JOIN a2 ON a2.id = i.id
+"""
+
+_reg("answer_questions", ANSWERS)

@@ -132,8 +132,8 @@ def q_retry_gate(spark: SparkSession, d: str) -> DataFrame:
     attempt is not valid SQL."""
     v = bindings.vector_items(spark, d)
     conf = retrieval.mean_score(retrieval.example_hits(spark, d), v, "id", "confidence")
-    first = bindings.sql_texts(spark, d).select(F.col("id").alias("query_id"),
-                                                st.validate_sql("sql")["valid"].alias("valid"))
+    first = st.with_validation(bindings.sql_texts(spark, d), "sql", "v").select(
+        F.col("id").alias("query_id"), F.col("v_valid").alias("valid"))
     return (conf.join(first, "query_id")
             .select("query_id", F.round("confidence", 6).alias("confidence"), "valid",
                     ((F.col("confidence") < CONFIDENCE_THRESHOLD) | ~F.col("valid")).alias("retry")))

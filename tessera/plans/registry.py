@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import records, retrieval, text, workload
+from tessera.plans import pipeline, records, retrieval, text, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -43,5 +43,16 @@ def all_queries() -> dict[str, QueryFn]:
         "retry_gate": records.q_retry_gate,
         "hash_embed": records.q_hash_embed,
     })
+    q.update({
+        "sql_prompts": pipeline.q_sql_prompts,
+        "prompt_blocks": pipeline.q_prompt_blocks,
+        "nlq_prompts": pipeline.q_nlq_prompts,
+        "critic_prompts": pipeline.q_critic_prompts,
+        "lesson_prompts": pipeline.q_lesson_prompts,
+        "model_responses": pipeline.q_model_responses,
+        "eval_attempts": pipeline.q_eval_attempts,
+        "eval_run_metrics": pipeline.q_eval_run_metrics,
+        "answer_questions": pipeline.q_answer_questions,
+    })
     q.update(workload.QUERIES)
     return q

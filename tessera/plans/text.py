@@ -10,9 +10,8 @@ from tessera.plans import bindings
 
 
 def q_validate_sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = st.validate_sql("sql")
-    return bindings.sql_texts(spark, sf_dir).select("id", v["valid"].alias("valid"),
-                                                    v["reason"].alias("reason"))
+    v = st.with_validation(bindings.sql_texts(spark, sf_dir), "sql", "v")
+    return v.select("id", F.col("v_valid").alias("valid"), F.col("v_reason").alias("reason"))
 
 
 def q_strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +24,13 @@ def q_token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sql_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.predictions(spark, sf_dir).select(
-        "id", st.canonical_sql("pred_sql").alias("pred_canonical"),
-        st.canonical_sql("gold_sql").alias("gold_canonical"))
+    p = st.with_canonical(bindings.predictions(spark, sf_dir), "pred_sql", "pred_canonical")
+    return st.with_canonical(p, "gold_sql", "gold_canonical").select("id", "pred_canonical", "gold_canonical")
 
 
 def q_sql_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.predictions(spark, sf_dir).select(
-        "id", st.ast_match("pred_sql", "gold_sql").alias("ast_match"),
-        F.round(st.token_similarity("pred_sql", "gold_sql"), 6).alias("token_sim"))
+    c = st.with_comparison(bindings.predictions(spark, sf_dir), "pred_sql", "gold_sql", "c")
+    return c.select("id", F.col("c_match").alias("ast_match"), F.round("c_token_sim", 6).alias("token_sim"))
 
 
 def q_extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
