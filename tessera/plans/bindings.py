@@ -189,3 +189,23 @@ def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                              (base_ms + n).alias("elapsed_ms")) for c, t, e, n in calls])
     return (o.select(key.alias("id"), F.explode(arr).alias("r"))
             .select("id", "r.call", "r.text", "r.error", "r.elapsed_ms"))
+
+
+def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three recorded fix attempts per order ``(id, iteration, text)``, by key mod 5:
+    valid at once; misspelt then fenced valid; never valid; misspelt then GIVE_UP;
+    blank, misspelt, then fenced valid."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    ks = key.cast("string")
+    good = F.concat(F.lit("SELECT COUNT(*) FROM orders WHERE o_orderkey = "), ks)
+    bad = F.concat(F.lit("SELET COUNT(*) FROM orders WHERE o_orderkey = "), ks)
+    m = key % 5
+    it1 = F.when(m == 0, good).when(m == 4, F.lit("  ")).otherwise(bad)
+    it2 = (F.when(m == 0, good).when(m == 1, F.concat(F.lit("```sql\n"), good, F.lit("\n```")))
+           .when(m == 2, F.concat(F.lit("DELETE FROM orders WHERE o_orderkey = "), ks))
+           .when(m == 3, F.lit("GIVE_UP")).otherwise(bad))
+    it3 = (F.when(m == 2, F.concat(F.lit("SELECT (o_orderkey FROM orders WHERE o_orderkey = "), ks))
+           .when(m == 4, F.concat(F.lit("```\n"), good, F.lit("\n```"))).otherwise(good))
+    arr = F.array(*[F.struct(F.lit(i).alias("iteration"), t.alias("text")) for i, t in ((1, it1), (2, it2), (3, it3))])
+    return o.select(key.alias("id"), F.explode(arr).alias("c")).select("id", "c.iteration", "c.text")

@@ -665,3 +665,131 @@ FROM items i JOIN a1 ON a1.id = i.id JOIN sim1 s ON s.id = i.id LEFT JOIN nl ON
 """
 
 _reg("answer_questions", ANSWERS)
+
+
+def _sql_lit_long(s: str) -> str:
+    return _lit(s)
+
+
+_HUMAN_HEAD = _lit("### Schema\n" + _pr.SCHEMA + "\n### Examples\n")
+
+EXAMPLE_BLOCKS = f"""
+items AS ({ITEMS}),
+{_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM items q JOIN items c ON q.id <> c.id", 5)},
+exr AS (SELECT ex.query_id, ex.rank, ex.sc, p.nlq, p.sql FROM ex JOIN ({PAIRS}) p ON p.pair_id = ex.id),
+exn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM exr),
+blocks AS (SELECT query_id,
+                  string_agg(printf({_lit(_pr.EXAMPLE_LINE.replace(chr(10), '~NL~'))}, i, round(sc, 2), nlq, sql), '~SEP~' ORDER BY i) AS b0,
+                  count(*) AS n_examples
+           FROM exn GROUP BY query_id),
+blk AS (SELECT query_id, replace(replace(b0, '~NL~', chr(10)), '~SEP~', chr(10) || chr(10)) AS examples_block, n_examples FROM blocks)
+"""
+
+_reg("prompt_blocks", f"WITH {EXAMPLE_BLOCKS} SELECT query_id, examples_block, n_examples FROM blk")
+
+_reg("sql_prompts", f"""
+WITH {EXAMPLE_BLOCKS}
+SELECT i.id AS query_id, CAST(1 AS BIGINT) AS attempt, 0.0 AS temperature,
+       {_HUMAN_HEAD} || coalesce(blk.examples_block, {_lit(_pr.NO_EXAMPLES)}) || {_lit(chr(10) * 2 + '### Question' + chr(10))} || i.nlq AS human
+FROM items i LEFT JOIN blk ON blk.query_id = i.id
+""")
+
+_reg("nlq_prompts", f"""
+SELECT pair_id, {_lit(_pr.NLQ_GEN_LEAD + '### Schema' + chr(10) + _pr.SCHEMA + chr(10) + '### SQL' + chr(10))} || sql AS human
+FROM ({PAIRS})
+""")
+
+
+def _critic_expr(nlq: str, pred: str, gold: str) -> str:
+    nl = chr(10)
+    return (f"{_lit(_pr.CRITIC_LEAD + '### Question' + nl)} || {nlq} || {_lit(nl * 2 + '### Predicted SQL (wrong)' + nl)}"
+            f" || {pred} || {_lit(nl * 2 + '### Gold SQL (correct)' + nl)} || {gold} || {_lit(_pr.CRITIC_TAIL)}")
+
+
+def _lesson_expr(nlq: str, pred: str, gold: str, errors: str) -> str:
+    nl = chr(10)
+    return (f"{_lit(_pr.LESSON_LEAD + '### Question' + nl)} || {nlq} || {_lit(nl * 2 + '### Predicted SQL (wrong)' + nl)}"
+            f" || {pred} || {_lit(nl * 2 + '### Gold SQL (correct)' + nl)} || {gold}"
+            f" || {_lit(nl * 2 + '### Errors identified' + nl)} || {errors} || {_lit(_pr.LESSON_TAIL)}")
+
+
+_reg("critic_prompts", f"""
+SELECT p.id, {_critic_expr('q.nlq', 'p.pred_sql', 'p.gold_sql')} AS human
+FROM ({PREDICTIONS}) p JOIN ({PAIRS}) q ON q.pair_id = p.id
+""")
+
+_reg("lesson_prompts", f"""
+SELECT p.id, {_lesson_expr('q.nlq', 'p.pred_sql', 'p.gold_sql', _lit('1. Wrong filter value on o_orderstatus.'))} AS human
+FROM ({PREDICTIONS}) p JOIN ({PAIRS}) q ON q.pair_id = p.id
+""")
+
+_reg("model_responses", f"""
+WITH items AS ({ITEMS}), resp AS ({RECORDED}), {_answer_cte('a1', 'items', 'sql1')}
+SELECT id, a1_text AS text, a1_error AS error, a1_ms AS elapsed_ms FROM a1
+""")
+
+
+# ----------------------------------------------------------------------------- repair
+
+CANDIDATES = """
+SELECT o_orderkey AS id, it.iteration,
+  CASE it.iteration
+    WHEN 1 THEN CASE o_orderkey % 5 WHEN 0 THEN good WHEN 4 THEN '  ' ELSE bad END
+    WHEN 2 THEN CASE o_orderkey % 5 WHEN 0 THEN good WHEN 1 THEN '```sql' || chr(10) || good || chr(10) || '```'
+                     WHEN 2 THEN 'DELETE FROM orders WHERE o_orderkey = ' || CAST(o_orderkey AS VARCHAR)
+                     WHEN 3 THEN 'GIVE_UP' ELSE bad END
+    ELSE CASE o_orderkey % 5 WHEN 2 THEN 'SELECT (o_orderkey FROM orders WHERE o_orderkey = ' || CAST(o_orderkey AS VARCHAR)
+                             WHEN 4 THEN '```' || chr(10) || good || chr(10) || '```' ELSE good END
+  END AS text
+FROM (SELECT o_orderkey, 'SELECT COUNT(*) FROM orders WHERE o_orderkey = ' || CAST(o_orderkey AS VARCHAR) AS good,
+             'SELET COUNT(*) FROM orders WHERE o_orderkey = ' || CAST(o_orderkey AS VARCHAR) AS bad FROM orders) o
+CROSS JOIN (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS iteration) it
+"""
+
+REPAIR_BASE = f"""
+src AS ({SQL_TEXTS}), {validate_ctes('src', 'id', 'sql', 'vj')},
+jobs AS (SELECT s.id, p.nlq, s.sql AS broken_sql FROM src s JOIN vj_out v ON v.id = s.id JOIN ({PAIRS}) p ON p.pair_id = s.id
+         WHERE v.reason IS NOT NULL),
+cand0 AS (SELECT id, iteration, {d_strip_fences('text')} AS clean FROM ({CANDIDATES}) WHERE iteration BETWEEN 1 AND 3),
+{validate_ctes('cand0', 'id * 10 + iteration', 'clean', 'vc')},
+cand AS (SELECT c.id, c.iteration, c.clean, v.reason,
+                CASE WHEN c.clean = 'GIVE_UP' THEN 'give_up' WHEN v.reason IS NULL THEN 'fixed' ELSE 'invalid' END AS kind
+         FROM cand0 c JOIN vc_out v ON v.id = c.id * 10 + c.iteration),
+term AS (SELECT id, min(iteration) AS t FROM cand WHERE kind <> 'invalid' GROUP BY id)
+"""
+
+_reg("repair_outcome", f"""
+WITH {REPAIR_BASE},
+last AS (SELECT id, max(iteration) AS li FROM cand GROUP BY id)
+SELECT j.id,
+  CASE WHEN t.t IS NOT NULL THEN CASE WHEN ft.kind = 'give_up' THEN NULL ELSE ft.clean END
+       WHEN l.li IS NOT NULL THEN lc.clean ELSE j.broken_sql END AS fixed_sql,
+  (t.t IS NOT NULL AND ft.kind = 'fixed') AS success,
+  CAST(CASE WHEN t.t IS NOT NULL THEN t.t WHEN l.li IS NOT NULL THEN l.li ELSE 0 END AS BIGINT) AS iterations
+FROM jobs j LEFT JOIN term t ON t.id = j.id LEFT JOIN cand ft ON ft.id = j.id AND ft.iteration = t.t
+LEFT JOIN last l ON l.id = j.id LEFT JOIN cand lc ON lc.id = j.id AND lc.iteration = l.li
+""")
+
+_reg("repair_history", f"""
+WITH {REPAIR_BASE}
+SELECT c.id, CAST(c.iteration AS BIGINT) AS step,
+  CASE c.kind WHEN 'give_up' THEN printf('iteration %d: agent gave up', c.iteration)
+              WHEN 'fixed' THEN printf('iteration %d: fixed SQL validated successfully', c.iteration)
+              ELSE printf('iteration %d: candidate SQL still invalid — %s', c.iteration, c.reason) END AS line
+FROM cand c LEFT JOIN term t ON t.id = c.id
+WHERE c.id IN (SELECT id FROM jobs) AND (t.t IS NULL OR c.iteration <= t.t)
+UNION ALL
+SELECT c.id, CAST(max(c.iteration) + 1 AS BIGINT), 'max iterations (3) reached without a valid fix'
+FROM cand c WHERE c.id IN (SELECT id FROM jobs) GROUP BY c.id HAVING count(*) FILTER (WHERE c.kind <> 'invalid') = 0
+""")
+
+_reg("repair_observations", f"""
+WITH {REPAIR_BASE}
+SELECT c.id, CAST(c.iteration AS BIGINT) AS iteration,
+  '{{"valid": ' || CASE WHEN c.reason IS NULL THEN 'true' ELSE 'false' END || ', "error": '
+    || CASE WHEN c.reason IS NULL THEN 'null'
+            ELSE '"' || replace(replace(replace(replace(c.reason, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '"' END
+    || '}}' AS validation_json,
+  CASE WHEN c.kind = 'invalid' THEN {_critic_expr("CASE WHEN c.reason IS NULL THEN j.nlq ELSE j.nlq || chr(10) || chr(10) || 'Validation error: ' || c.reason END", 'j.broken_sql', 'j.broken_sql')} END AS critic_human
+FROM cand c JOIN jobs j ON j.id = c.id
+""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import pipeline, records, retrieval, text, workload
+from tessera.plans import pipeline, records, repairs, retrieval, text, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,9 @@ def all_queries() -> dict[str, QueryFn]:
         "eval_attempts": pipeline.q_eval_attempts,
         "eval_run_metrics": pipeline.q_eval_run_metrics,
         "answer_questions": pipeline.q_answer_questions,
+        "repair_outcome": repairs.q_repair_outcome,
+        "repair_history": repairs.q_repair_history,
+        "repair_observations": repairs.q_repair_observations,
     })
     q.update(workload.QUERIES)
     return q
