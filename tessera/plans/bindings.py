@@ -209,3 +209,18 @@ def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(m == 4, F.concat(F.lit("```\n"), good, F.lit("\n```"))).otherwise(good))
     arr = F.array(*[F.struct(F.lit(i).alias("iteration"), t.alias("text")) for i, t in ((1, it1), (2, it2), (3, it3))])
     return o.select(key.alias("id"), F.explode(arr).alias("c")).select("id", "c.iteration", "c.text")
+
+
+def pair_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows of a pair CSV rendered from ``pairs``, by key mod 8: plain; no question;
+    padded with whitespace; empty SQL; question ``NA``; SQL over two lines; blank SQL;
+    an extra column."""
+    p = pairs(spark, sf_dir)
+    m = F.col("pair_id") % 8
+    nlq = (F.when(m == 1, F.lit("")).when(m == 2, F.concat(F.lit("  "), F.col("nlq"), F.lit("\t")))
+           .when(m == 4, F.lit("NA")).otherwise(F.col("nlq")))
+    sql = (F.when(m == 2, F.concat(F.lit("\n "), F.col("sql"), F.lit(" \n"))).when(m == 3, F.lit(""))
+           .when(m == 5, F.concat(F.col("sql"), F.lit("\n-- second line"))).when(m == 6, F.lit("   "))
+           .otherwise(F.col("sql")))
+    note = F.when(m == 7, F.lit("extra, \"quoted\" note"))
+    return p.select("pair_id", nlq.alias("nlq"), sql.alias("sql"), note.alias("note"))

@@ -793,3 +793,40 @@ SELECT c.id, CAST(c.iteration AS BIGINT) AS iteration,
   CASE WHEN c.kind = 'invalid' THEN {_critic_expr("CASE WHEN c.reason IS NULL THEN j.nlq ELSE j.nlq || chr(10) || chr(10) || 'Validation error: ' || c.reason END", 'j.broken_sql', 'j.broken_sql')} END AS critic_human
 FROM cand c JOIN jobs j ON j.id = c.id
 """)
+
+
+# ----------------------------------------------------------------------------- ingest
+
+from tessera.sources.pairs import MISSING_MARKERS as _NA  # noqa: E402
+
+PAIR_CSV_ROWS = f"""
+SELECT pair_id,
+  CASE pair_id % 8 WHEN 1 THEN '' WHEN 2 THEN '  ' || nlq || chr(9) WHEN 4 THEN 'NA' ELSE nlq END AS nlq,
+  CASE pair_id % 8 WHEN 2 THEN chr(10) || ' ' || sql || ' ' || chr(10) WHEN 3 THEN ''
+                   WHEN 5 THEN sql || chr(10) || '-- second line' WHEN 6 THEN '   ' ELSE sql END AS sql
+FROM ({PAIRS})
+"""
+
+
+def _na(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL OR {c} IN ({', '.join(_lit(x) for x in _NA)}) THEN '' ELSE {c} END"
+
+
+INGESTED = f"""
+SELECT pair_id, nlq, sql FROM (
+  SELECT pair_id, {d_strip(_na('nlq'))} AS nlq, {d_strip(_na('sql'))} AS sql FROM ({PAIR_CSV_ROWS}))
+WHERE length(sql) > 0
+"""
+
+_reg("ingest_pairs", INGESTED)
+
+_reg("fill_missing_nlq", f"""
+WITH p AS ({INGESTED}), resp AS ({RECORDED}),
+need AS (SELECT pair_id AS id, sql FROM p WHERE nlq = ''),
+{_answer_cte('f', 'need', 'nlq')}
+SELECT pair_id, nlq, sql FROM p WHERE nlq <> ''
+UNION ALL
+SELECT n.id AS pair_id, f.f_text AS nlq, n.sql FROM need n JOIN f ON f.id = n.id WHERE f.f_error IS NULL
+""")
+
+_reg("stream_ingest_pairs", f"SELECT DISTINCT nlq, sql FROM ({INGESTED})")

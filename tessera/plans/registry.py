@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import pipeline, records, repairs, retrieval, text, workload
+from tessera.plans import ingest, pipeline, records, repairs, retrieval, text, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,9 @@ def all_queries() -> dict[str, QueryFn]:
         "repair_outcome": repairs.q_repair_outcome,
         "repair_history": repairs.q_repair_history,
         "repair_observations": repairs.q_repair_observations,
+        "ingest_pairs": ingest.q_ingest_pairs,
+        "fill_missing_nlq": ingest.q_fill_missing_nlq,
+        "stream_ingest_pairs": ingest.q_stream_ingest_pairs,
     })
     q.update(workload.QUERIES)
     return q
