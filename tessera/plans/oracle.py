@@ -610,9 +610,11 @@ def _topk_rel(name: str, scores: str, k: int) -> str:
 """
 
 
-EVAL_ATTEMPTS = f"""
-WITH items AS ({ITEMS}), resp AS ({RECORDED}),
-{_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM items q JOIN items c ON q.id <> c.id", 5)},
+def eval_sql(prelude: str, corpus: bool = False) -> str:
+    ex_from = ("FROM items q CROSS JOIN corpus c" if corpus else "FROM items q JOIN items c ON q.id <> c.id")
+    return f"""
+WITH {prelude}, resp AS ({RECORDED}),
+{_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc {ex_from}", 5)},
 sim1 AS (SELECT i.id, coalesce(avg(ex.sc), 0.0) AS sim1 FROM items i LEFT JOIN ex ON ex.query_id = i.id GROUP BY i.id),
 {_answer_cte('a1', 'items', 'sql1')},
 a1g AS (SELECT a1.*, i.gold_sql FROM a1 JOIN items i ON i.id = a1.id),
@@ -640,6 +642,9 @@ LEFT JOIN j2_pass j2 ON j2.id = i.id LEFT JOIN a2 ON a2.id = i.id LEFT JOIN sim2
 LEFT JOIN cr ON cr.id = i.id LEFT JOIN ls ON ls.id = i.id LEFT JOIN lessons l ON l.lesson_id = i.id
 """
 
+
+EVAL_ATTEMPTS = eval_sql(f"items AS ({ITEMS})")
+
 _reg("eval_attempts", EVAL_ATTEMPTS)
 _reg("eval_run_metrics", f"SELECT run_id, {_M_ROUNDED} FROM ({metrics_sql(EVAL_ATTEMPTS, ['run_id'])})")
 
@@ -830,3 +835,37 @@ SELECT n.id AS pair_id, f.f_text AS nlq, n.sql FROM need n JOIN f ON f.id = n.id
 """)
 
 _reg("stream_ingest_pairs", f"SELECT DISTINCT nlq, sql FROM ({INGESTED})")
+
+
+_FILLED = f"""
+WITH p AS ({INGESTED}), resp AS ({RECORDED}),
+need AS (SELECT pair_id AS id, sql FROM p WHERE nlq = ''),
+{_answer_cte('f', 'need', 'nlq')}
+SELECT pair_id, nlq, sql FROM p WHERE nlq <> ''
+UNION ALL
+SELECT n.id AS pair_id, f.f_text AS nlq, n.sql FROM need n JOIN f ON f.id = n.id WHERE f.f_error IS NULL
+"""
+
+_CYCLE_PRELUDE = f"""
+ia AS (SELECT fp.pair_id AS id, e.embedding,
+              CAST(('0x' || substr(md5('42:' || CAST(fp.pair_id AS VARCHAR)), 1, 15)) AS BIGINT) AS run_id,
+              fp.pair_id AS ordinal, fp.nlq, fp.sql AS gold_sql
+       FROM ({_FILLED}) fp JOIN embeddings e ON e.vec_id = fp.pair_id),
+nn AS (SELECT count(*) AS n FROM ia),
+cc AS (SELECT least(greatest(1, CAST(floor(CAST(n AS DOUBLE) * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT)), n - 1) AS cut FROM nn),
+rr AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS rn FROM ia),
+sp AS (SELECT rr.id, CASE WHEN rn <= cut THEN 'train' ELSE 'eval' END AS split FROM rr, cc),
+items AS (SELECT ia.* FROM ia JOIN sp ON sp.id = ia.id WHERE sp.split = 'eval'),
+corpus AS (SELECT ia.id, ia.embedding, ia.nlq, ia.gold_sql AS sql FROM ia JOIN sp ON sp.id = ia.id WHERE sp.split = 'train')
+"""
+
+_reg("training_cycle_metrics", f"""
+WITH ev AS ({eval_sql(_CYCLE_PRELUDE, corpus=True)}),
+m AS ({metrics_sql('SELECT CAST(1 AS BIGINT) AS run_id, * EXCLUDE (run_id) FROM ev', ['run_id'])}),
+sz AS (WITH {_CYCLE_PRELUDE} SELECT count(*) FILTER (WHERE split = 'train') AS n_train,
+                                    count(*) FILTER (WHERE split = 'eval') AS n_eval, count(*) AS n_all FROM sp)
+SELECT m.run_id, 'done' AS status, sz.n_train, sz.n_eval, sz.n_all AS n_examples_after_backfill,
+       m.total, m.pass1_count, m.pass2_count, m.hard_failure_count,
+       {', '.join(f'round(m.{c}, 6) AS {c}' for c in _ROUND6)}
+FROM m, sz
+""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import ingest, pipeline, records, repairs, retrieval, text, workload
+from tessera.plans import ingest, pipeline, records, repairs, retrieval, text, training, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,7 @@ def all_queries() -> dict[str, QueryFn]:
         "ingest_pairs": ingest.q_ingest_pairs,
         "fill_missing_nlq": ingest.q_fill_missing_nlq,
         "stream_ingest_pairs": ingest.q_stream_ingest_pairs,
+        "training_cycle_metrics": training.q_training_cycle_metrics,
     })
     q.update(workload.QUERIES)
     return q
