@@ -176,17 +176,19 @@ def _validation_stages():
         {"s": lambda e: py_strip(F.coalesce(e["text"], F.lit("")))},
         {"m": lambda e: mask_sql(e["s"])},
         {"pieces": lambda e: F.split(e["m"], ";"),
+         "flat": lambda e: depth0(e["m"]),
          "open_quote": lambda e: F.regexp_like(e["m"], F.lit(r"['\"]|/\*")),
-         "unbalanced": lambda e: ((F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\(", "")))
-                                  != (F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\)", ""))))
-                                 | F.regexp_like(depth0(e["m"]), F.lit(r"[()]"))},
+         "n_paren": lambda e: ((F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\(", "")))
+                               - (F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\)", ""))))},
+        {"unbalanced": lambda e: (e["n_paren"] != 0) | F.regexp_like(e["flat"], F.lit(r"[()]"))},
         {"first": lambda e: F.try_element_at(e["pieces"], F.lit(1)),
          "n_stmt": lambda e: F.size(e["pieces"]) - F.when(
              F.coalesce(F.regexp_like(F.try_element_at(e["pieces"], F.lit(-1)), F.lit(f"^{WS}*$")), F.lit(False))
              & (F.size(e["pieces"]) > 1), 1).otherwise(0)},
         {"lead": lambda e: F.upper(F.regexp_extract(e["first"], f"^{WS}*([A-Za-z_]+)", 1)),
          "starts_paren": lambda e: F.regexp_like(e["first"], F.lit(f"^{WS}*\\(")),
-         "flat_first": lambda e: F.upper(depth0(e["first"])),
+         # text of the first statement outside parentheses (its piece of the depth-0 text)
+         "flat_first": lambda e: F.upper(F.coalesce(F.try_element_at(F.split(e["flat"], ";"), F.lit(1)), F.lit(""))),
          "first_word": lambda e: F.regexp_extract(e["first"], f"^{WS}*([^{ws_inner}]*)", 1)},
         {"kind": lambda e: _lookup(e["lead"], STATEMENT_KINDS),
          "set_op": lambda e: F.regexp_extract(e["flat_first"], r"\b(UNION|INTERSECT|EXCEPT)\b", 1),

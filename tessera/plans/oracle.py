@@ -173,7 +173,7 @@ def validate_ctes(src: str, id_col: str, sql_col: str, prefix: str = "v") -> str
           FROM {p}_c),
 {p}_e AS (SELECT *, upper(regexp_extract(first_stmt, {_lit(f'^{ws}*([A-Za-z_]+)')}, 1)) AS lead,
              regexp_matches(first_stmt, {_lit(f'^{ws}*' + chr(92) + '(')}) AS starts_paren,
-             upper({d_depth0('first_stmt')}) AS flat_first
+             upper(coalesce(string_split({d_depth0('masked')}, ';')[1], '')) AS flat_first
           FROM {p}_d),
 {p}_f AS (SELECT *, {_case_map('lead', _st.STATEMENT_KINDS)} AS kind,
              regexp_extract(flat_first, {_lit(r'\b(UNION|INTERSECT|EXCEPT)\b')}, 1) AS set_op,

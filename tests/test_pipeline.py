@@ -1,0 +1,108 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import repair
+from tessera.plans import pipeline
+
+ITEMS = "id long, embedding array<float>, run_id long, ordinal long, nlq string, gold_sql string"
+CORPUS = "id long, embedding array<float>, nlq string, sql string"
+RESP = "id long, call string, text string, error string, elapsed_ms double"
+LESSONS = ("lesson_id long, run_id long, ordinal long, embedding array<float>, title string, trigger string, "
+           "diagnosis string, fix_rule string, error_category string, example string")
+GOLD = "SELECT COUNT(*) FROM orders"
+WRONG = "SELECT COUNT(*) FROM customers"
+
+
+def _items(spark, rows):
+    return spark.createDataFrame([(i, v, 0, i, f"q{i}", GOLD) for i, v in rows], ITEMS)
+
+
+def test_answer_gate_and_fallbacks(spark):
+    items = _items(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 1.0])])
+    corpus = spark.createDataFrame([(100, [1.0, 0.0], "ex", GOLD)], CORPUS)
+    lessons = spark.createDataFrame([(900, 0, 0, [0.0, 1.0], "t", "g", "d", "f", "filter", "e")], LESSONS)
+    resp = spark.createDataFrame([
+        (1, "sql1", GOLD, None, 1.0),
+        (2, "sql1", WRONG, None, 1.0), (2, "sql2", "```sql\n" + GOLD + "\n```", None, 1.0),
+        (3, "sql1", "SELET 1", None, 1.0), (3, "sql2", GOLD, None, 1.0),
+        (4, "sql1", None, "timeout", 1.0),
+        (5, "sql1", WRONG, None, 1.0), (5, "sql2", None, "overloaded", 1.0),
+    ], RESP)
+    out = {r["question_id"]: r for r in pipeline.answer_questions(
+        spark, "", responses=resp, lessons=lessons, items=items, corpus=corpus).collect()}
+    assert (out[1]["sql"], out[1]["confidence"], out[1]["used_lesson"]) == (GOLD, 1.0, False)
+    assert (out[2]["sql"], out[2]["confidence"], out[2]["used_lesson"]) == (GOLD, 0.0, True)
+    assert (out[3]["sql"], out[3]["confidence"], out[3]["used_lesson"]) == (GOLD, 1.0, True)
+    assert (out[4]["sql"], out[4]["confidence"], out[4]["used_lesson"]) == ("", 0.0, False)
+    assert (out[5]["sql"], out[5]["used_lesson"]) == (WRONG, True)
+
+
+def test_eval_outcomes(spark):
+    items = _items(spark, [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.8, 0.2]), (4, [0.7, 0.3])])
+    lesson = '{"title": "t", "trigger": "g", "diagnosis": "d", "fix_rule": "f", "error_category": "filter", "example": "e"}'
+    resp = spark.createDataFrame([
+        (1, "sql1", GOLD, None, 10.0),                                   # pass@1
+        (2, "sql1", WRONG, None, 10.0), (2, "sql2", GOLD, None, 10.0),   # pass@2
+        (2, "critic", "1. wrong table", None, 1.0), (2, "lesson", lesson, None, 1.0),
+        (3, "sql1", WRONG, None, 10.0), (3, "sql2", WRONG, None, 10.0),  # hard failure
+        (3, "critic", None, "timeout", 1.0),                              # lesson error ignored
+        (4, "sql1", None, "timeout", 10.0), (4, "sql2", GOLD, None, 10.0),
+        (4, "critic", "x", None, 1.0), (4, "lesson", "no json", None, 1.0),
+    ], RESP)
+    out = {r["item_id"]: r for r in pipeline.eval_attempts(spark, "", responses=resp, items=items).collect()}
+    assert (out[1]["pass1"], out[1]["retried"], out[1]["sim2"], out[1]["pred_sql_2"]) == (True, False, None, None)
+    assert (out[2]["pass1"], out[2]["pass2"], out[2]["hard_failure"]) == (False, True, False)
+    assert out[2]["used_lesson_id"] == 2 and out[2]["had_lessons"] is False   # no earlier lesson
+    assert (out[3]["pass2"], out[3]["hard_failure"], out[3]["used_lesson_id"]) == (False, True, None)
+    assert out[3]["had_lessons"] is True and out[3]["sim2"] > 0              # sees item 2's lesson
+    assert out[4]["pred_sql_1"] is None and out[4]["pass2"] is True and out[4]["used_lesson_id"] is None
+    assert out[1]["latency_ms"] == 10.0 and out[2]["latency_ms"] == 22.0
+
+
+def _repair(spark, cands, max_iterations=3):
+    jobs = spark.createDataFrame([(1, "q", "SELET 1")], "id long, nlq string, broken_sql string")
+    c = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(cands)], "id long, iteration int, text string")
+    o = repair.repair_outcome(jobs, c, max_iterations).first()
+    h = [r["line"] for r in repair.repair_history(jobs, c, max_iterations).orderBy("step").collect()]
+    return (o["fixed_sql"], o["success"], o["iterations"]), h
+
+
+def test_repair_rules(spark):
+    assert _repair(spark, ["SELECT 1"])[0] == ("SELECT 1", True, 1)
+    r, h = _repair(spark, ["SELET 1", "```sql\nSELECT 2\n```"])
+    assert r == ("SELECT 2", True, 2)
+    assert h[0].startswith("iteration 1: candidate SQL still invalid — SQL parse error")
+    assert h[1] == "iteration 2: fixed SQL validated successfully"
+    r, h = _repair(spark, ["SELET 1", "DROP TABLE x", "SELET 3"])
+    assert r == ("SELET 3", False, 3) and h[-1] == "max iterations (3) reached without a valid fix"
+    r, h = _repair(spark, ["SELET 1", "GIVE_UP", "SELECT 1"])
+    assert r == (None, False, 2) and h[-1] == "iteration 2: agent gave up"
+    assert _repair(spark, ["SELECT 1"], max_iterations=0)[0] == ("SELET 1", False, 0)
+
+
+def test_csv_rules(spark, tmp_path):
+    from tessera.sources.pairs import read_pairs_csv
+    p = tmp_path / "a.csv"
+    p.write_text('nlq,sql,extra\n  How many?  ," SELECT 1 ",x\n,SELECT 2,y\nNA,"SELECT\n3",z\nq4,,w\nq5,"   ",v\n')
+    rows = sorted((r["nlq"], r["sql"]) for r in read_pairs_csv(spark, str(p)).collect())
+    assert rows == sorted([("", "SELECT 2"), ("", "SELECT\n3"), ("How many?", "SELECT 1")])
+    p2 = tmp_path / "b.csv"
+    p2.write_text("sql\nSELECT 1\n")
+    assert [(r["nlq"], r["sql"]) for r in read_pairs_csv(spark, str(p2)).collect()] == [("", "SELECT 1")]
+    p3 = tmp_path / "c.csv"
+    p3.write_text("nlq\nq\n")
+    with pytest.raises(ValueError):
+        read_pairs_csv(spark, str(p3))
+
+
+def test_stream_ingest_is_idempotent(spark, tmp_path):
+    from tessera.plans.ingest import RAW_SCHEMA
+    from tessera.sources.pairs import stream_ingest
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "1.csv").write_text("pair_id,nlq,sql,note\n1,a,SELECT 1,\n2,a,SELECT 1,\n3,b,SELECT 2,\n")
+    table = str(tmp_path / "t")
+    stream_ingest(spark, str(src), table, str(tmp_path / "ck1"), RAW_SCHEMA)
+    stream_ingest(spark, str(src), table, str(tmp_path / "ck2"), RAW_SCHEMA)
+    rows = sorted((r["pair_id"], r["nlq"], r["sql"]) for r in spark.read.parquet(table).collect())
+    assert rows == [(1, "a", "SELECT 1"), (3, "b", "SELECT 2")]
