@@ -95,7 +95,7 @@ def py_strip(x) -> Column:
 def tokens(x) -> Column:
     """Lower-cased whitespace tokens as a set (array without duplicates, no empty token)."""
     parts = F.split(F.lower(F.coalesce(_c(x), F.lit(""))), f"{WS}+")
-    return F.array_distinct(F.filter(parts, lambda t: t != ""))
+    return F.array_distinct(F.array_remove(parts, ""))
 
 
 def token_similarity(a, b) -> Column:
@@ -253,29 +253,28 @@ def with_validation(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
 # ---------------------------------------------------------------------------- canonical form
 
 
-def _canonical_stages():
-    upper_set = F.array(*[F.lit(w) for w in CANON_UPPER])
-    keyword_set = F.array(*[F.lit(w) for w in CANON_KEYWORDS])
-
-    def glue(e):
-        # Separator after each token: none before ",", ")" or after "(", none between a
-        # function name and its "(", one space otherwise.
-        tr = e["tr"]
-        nxt = F.concat(F.slice(tr, 2, F.greatest(F.size(tr), F.lit(1))), F.array(F.lit("")))
-        return F.array_join(F.zip_with(tr, nxt, lambda t, n: F.concat(t, F.when(
-            (n == "") | (n == ",") | (n == ")") | (t == "(")
-            | ((n == "(") & F.regexp_like(t, F.lit("^[A-Za-z_]")) & ~F.array_contains(keyword_set, t)),
-            F.lit("")).otherwise(F.lit(" ")))), "")
+def _glue(e):
+    """Join tokens with one space, except none before "," or ")", none after "(", and none
+    between a non-keyword word and its "(". Works token by token, so quoted text is never
+    touched."""
+    tr = e["tr"]
+    nxt = F.concat(F.slice(tr, 2, F.greatest(F.size(tr), F.lit(1))), F.array(F.lit("")))
+    return F.array_join(F.zip_with(tr, nxt, lambda t, n: F.concat(t, F.when(
+        (n == "") | (n == ",") | (n == ")") | (t == "(")
+        | ((n == "(") & F.regexp_like(t, F.lit("^[A-Za-z_]")) & ~t.isin(*CANON_KEYWORDS)),
+        F.lit("")).otherwise(F.lit(" ")))), "")
+
 
+def _canonical_stages():
     return [
         {"toks": lambda e: F.regexp_extract_all(
             F.regexp_replace(F.coalesce(e["text"], F.lit("")), COMMENT_OR_QUOTED, " $2 "), F.lit(TOKEN), 0)},
         {"mapped": lambda e: F.transform(e["toks"], lambda t: F.when(t == "!=", F.lit("<>"))
-                                         .when(F.array_contains(upper_set, F.upper(t)), F.upper(t)).otherwise(t))},
+                                         .when(F.upper(t).isin(*CANON_UPPER), F.upper(t)).otherwise(t))},
         {"tr": lambda e: F.when(F.coalesce(F.try_element_at(e["mapped"], F.lit(-1)) == ";", F.lit(False)),
                                 F.slice(e["mapped"], 1, F.greatest(F.size(e["mapped"]) - 1, F.lit(0))))
          .otherwise(e["mapped"])},
-        {"canonical": glue},
+        {"canonical": _glue},
     ]
 
 

@@ -17,7 +17,7 @@ Every group holds at most ``max_iterations`` rows, so the ordered collects are b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sqltext import strip_fences, with_validation
@@ -33,7 +33,10 @@ LINE_EXHAUSTED = "max iterations (%d) reached without a valid fix"
 
 def judged_candidates(candidates: DataFrame, max_iterations: int = 3) -> DataFrame:
     """Candidates within the bound, cleaned, validated and classified."""
+    # Hash-partition by job id: the per-job aggregates below reuse this partitioning, and the
+    # validation runs in its own code-generated stage.
     c = (candidates.filter((F.col("iteration") >= 1) & (F.col("iteration") <= max_iterations))
+         .repartition("id")
          .withColumn("clean", strip_fences("text")))
     c = with_validation(c, "clean", "v")
     kind = (F.when(F.col("clean") == GIVE_UP, F.lit("give_up"))
@@ -46,20 +49,22 @@ def judged_candidates(candidates: DataFrame, max_iterations: int = 3) -> DataFra
 
 def repair_history(jobs: DataFrame, candidates: DataFrame, max_iterations: int = 3) -> DataFrame:
     """History lines per job: ``(id, step, line)``, up to the first terminal iteration, and
-    the exhaustion line when no iteration ended the job."""
-    j = judged_candidates(candidates, max_iterations)
-    ids = jobs.select("id")
-    term = j.filter(F.col("kind") != "invalid").groupBy("id").agg(F.min("iteration").alias("t"))
-    steps = (j.join(term, "id", "left")
-             .filter(F.col("t").isNull() | (F.col("iteration") <= F.col("t")))
-             .join(ids, "id", "left_semi")
-             .select("id", F.col("iteration").cast("long").alias("step"), "line"))
-    exhausted = (j.join(ids, "id", "left_semi").groupBy("id")
-                 .agg(F.max("iteration").alias("last"), F.count_if(F.col("kind") != "invalid").alias("n_term"))
-                 .filter(F.col("n_term") == 0)
-                 .select("id", (F.col("last") + 1).cast("long").alias("step"),
-                         F.lit(LINE_EXHAUSTED % max_iterations).alias("line")))
-    return steps.unionByName(exhausted)
+    the exhaustion line when no iteration ended the job.
+
+    One pass: windows over the id-partitioned candidates find the first terminal and the
+    last iteration of each job; the last line of an exhausted job expands into two rows.
+    """
+    w = Window.partitionBy("id")
+    j = (judged_candidates(candidates, max_iterations).join(jobs.select("id"), "id", "left_semi")
+         .withColumn("t", F.min(F.when(F.col("kind") != "invalid", F.col("iteration"))).over(w))
+         .withColumn("last", F.max("iteration").over(w)))
+    kept = j.filter(F.col("t").isNull() | (F.col("iteration") <= F.col("t")))
+    own = F.struct(F.col("iteration").cast("long").alias("step"), F.col("line").alias("line"))
+    done = F.struct((F.col("iteration") + 1).cast("long").alias("step"),
+                    F.lit(LINE_EXHAUSTED % max_iterations).alias("line"))
+    rows = F.when(F.col("t").isNull() & (F.col("iteration") == F.col("last")), F.array(own, done)) \
+        .otherwise(F.array(own))
+    return kept.select("id", F.explode(rows).alias("h")).select("id", "h.step", "h.line")
 
 
 def repair_outcome(jobs: DataFrame, candidates: DataFrame, max_iterations: int = 3) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
 from tessera.sources.tables import table
 
 
@@ -42,7 +43,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold SQL next to a prediction: lower-cased with doubled spaces around ``=``; every
     third key names a wrong status literal."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     status = F.when(F.col("o_orderkey") % 3 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))
     gold = F.concat(F.lit("SELECT COUNT(*) FROM orders WHERE o_orderstatus = '"),
                     F.col("o_orderstatus"), F.lit("'"))
@@ -53,7 +54,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Statement kinds rendered into sql_texts, chosen by o_orderkey % 12.
 def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     key, st, pr = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
     ks = key.cast("string")
     m = key % 12
@@ -78,7 +79,7 @@ def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw model output per order: fenced, bare-fenced, upper-case tag, plain, padded."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     body = F.concat(F.lit("SELECT COUNT(*) FROM orders WHERE o_custkey = "), F.col("o_custkey").cast("string"))
     m = key % 5
@@ -115,7 +116,7 @@ def _lesson_text():
 
 
 def lesson_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     return o.select(F.col("o_orderkey").alias("id"), _lesson_text().alias("text"))
 
 
@@ -140,7 +141,7 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"))
     return e.select(F.col("vec_id").alias("id"), "embedding",
                     F.col("label").cast("long").alias("run_id"), F.col("vec_id").alias("ordinal"))
 
@@ -163,7 +164,7 @@ def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     call error; fenced right. critic: error on key mod 5 = 4. lesson: the lesson text of the
     order. nlq (question for a pair without one): error on key mod 9 = 0.
     """
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     gold = _gold_sql()
     wrong = F.regexp_replace(gold, "o_orderstatus = '[A-Z]'", "o_orderstatus = 'X'")
@@ -195,7 +196,7 @@ def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three recorded fix attempts per order ``(id, iteration, text)``, by key mod 5:
     valid at once; misspelt then fenced valid; never valid; misspelt then GIVE_UP;
     blank, misspelt, then fenced valid."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     ks = key.cast("string")
     good = F.concat(F.lit("SELECT COUNT(*) FROM orders WHERE o_orderkey = "), ks)
@@ -215,7 +216,7 @@ def pair_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows of a pair CSV rendered from ``pairs``, by key mod 8: plain; no question;
     padded with whitespace; empty SQL; question ``NA``; SQL over two lines; blank SQL;
     an extra column."""
-    p = pairs(spark, sf_dir)
+    p = spread(pairs(spark, sf_dir))
     m = F.col("pair_id") % 8
     nlq = (F.when(m == 1, F.lit("")).when(m == 2, F.concat(F.lit("  "), F.col("nlq"), F.lit("\t")))
            .when(m == 4, F.lit("NA")).otherwise(F.col("nlq")))

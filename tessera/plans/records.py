@@ -10,6 +10,7 @@ from tessera.functions.embed import hash_embed_sparse
 from tessera.operators import metrics as mt
 from tessera.operators.split import leakage_report, train_eval_split
 from tessera.plans import bindings, retrieval
+from tessera.session import spread
 from tessera.sources.tables import table
 
 CONFIDENCE_THRESHOLD = 0.75
@@ -140,5 +141,5 @@ def q_retry_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return hash_embed_sparse(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))

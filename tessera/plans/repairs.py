@@ -13,7 +13,10 @@ MAX_ITERATIONS = 3
 
 
 def repair_jobs(spark: SparkSession, d: str) -> DataFrame:
-    v = st.with_validation(bindings.sql_texts(spark, d), "sql", "v")
+    # The validated statements are checkpointed before the filter: a filter on a derived
+    # column would otherwise be pushed below the staged validation and inline all of it.
+    v = (st.with_validation(bindings.sql_texts(spark, d), "sql", "v")
+         .select("id", "sql", "v_valid").checkpoint(eager=True))
     nlq = bindings.pairs(spark, d).select(F.col("pair_id").alias("id"), "nlq")
     return (v.filter(~F.col("v_valid")).join(nlq, "id")
             .select("id", "nlq", F.col("sql").alias("broken_sql")))

@@ -59,3 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written stage output."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition when a frame has fewer partitions than the session has cores.
+
+    For CPU-heavy per-row work (regexes over text, vector scoring) on an input that arrives
+    in few partitions (one big file, one row group). On a cluster reading many files the
+    input is already wide and this is a no-op, so no shuffle is added there.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

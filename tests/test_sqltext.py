@@ -119,3 +119,17 @@ def test_extract_and_parse_lessons(spark):
 def test_canonical_text(spark):
     df = one_col(spark, ["select count( * ) from t where a != 'x' ;"]).select(st.canonical_sql("v").alias("c"))
     assert df.first()["c"] == "SELECT COUNT(*) FROM t WHERE a <> 'x'"
+
+
+def test_canonical_spacing_cases(spark):
+    texts = ["select f ( g ( x ) ) , a from t where b in ( 1 , 2 )", "SELECT COUNT(*) AS n FROM (SELECT 1) s",
+             "with c as (select 1) select * from c", "select x.y from t limit 5"]
+    df = one_col(spark, texts).select("id", st.canonical_sql("v").alias("c"))
+    got = [r["c"] for r in df.orderBy("id").collect()]
+    assert got == ["SELECT f(g(x)), a FROM t WHERE b IN (1, 2)", "SELECT COUNT(*) AS n FROM (SELECT 1) s",
+                   "WITH c AS (SELECT 1) SELECT * FROM c", "SELECT x . y FROM t LIMIT 5"]
+
+
+def test_canonical_keeps_literals(spark):
+    df = one_col(spark, ["select 'a , b ( c )' , f (x) from t"]).select(st.canonical_sql("v").alias("c"))
+    assert df.first()["c"] == "SELECT 'a , b ( c )', f(x) FROM t"
