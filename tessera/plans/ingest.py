@@ -12,6 +12,7 @@ from tessera.operators import model
 from tessera.plans import bindings
 from tessera.session import scratch_path
 from tessera.sources import pairs as src
+from tessera.streaming.ingest import stream_ingest
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("pair_id", "nlq", "sql", "note")])
 
@@ -49,6 +50,6 @@ def q_stream_ingest_pairs(spark: SparkSession, d: str) -> DataFrame:
     src.write_pairs_csv(bindings.pair_csv_rows(spark, d), source, files=4)
     table = scratch_path(spark, "pairs-table")
     ckpt = scratch_path(spark, "pairs-stream-ckpt")
-    src.stream_ingest(spark, source, table, ckpt, RAW_SCHEMA)
-    src.stream_ingest(spark, source, table, scratch_path(spark, "pairs-stream-ckpt2"), RAW_SCHEMA)
+    stream_ingest(spark, source, table, ckpt, RAW_SCHEMA)
+    stream_ingest(spark, source, table, scratch_path(spark, "pairs-stream-ckpt2"), RAW_SCHEMA)
     return spark.read.parquet(table).select("nlq", "sql")

@@ -73,7 +73,8 @@ def training_cycle(spark: SparkSession, d: str, run_id: int = 1, events: list |
 def latest_status(events: DataFrame) -> DataFrame:
     """Current state of every run: the latest event."""
     return (events.groupBy("run_id")
-            .agg(F.max_by(F.struct("status", "metrics", "event_time"), F.col("event_time")).alias("s"))
+            .agg(F.max_by(F.struct("status", "metrics", "event_time"),
+                          F.struct("event_time", (F.col("status") != "running").alias("terminal"))).alias("s"))
             .select("run_id", "s.status", "s.metrics", F.col("s.event_time").alias("updated_at")))
 
 

@@ -61,32 +61,3 @@ def write_pairs_csv(df: DataFrame, path: str, files: int = 1) -> None:
 
 def content_key(nlq: str = "nlq", sql: str = "sql"):
     return F.md5(F.concat_ws("\u001f", F.col(nlq), F.col(sql)))
-
-
-def stream_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint_path: str,
-                  raw_schema: T.StructType) -> None:
-    """Ingest every CSV file of ``source_dir`` into the parquet table ``table_path``.
-
-    A file-source stream with an ``availableNow`` trigger processes what is there and
-    stops; each micro-batch applies the reading rules and appends only rows whose content
-    key is new (within the batch and against the table), so a repeated run or a replayed
-    batch adds nothing.
-    """
-    stream = (spark.readStream.schema(raw_schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-              .option("ignoreTrailingWhiteSpace", False).csv(source_dir))
-
-    def upsert(batch: DataFrame, epoch_id: int) -> None:
-        rows = clean_pairs(batch).withColumn("_k", content_key())
-        fresh = rows.groupBy("_k").agg(F.min_by(F.struct("pair_id", "nlq", "sql"), F.col("pair_id")).alias("r"))
-        try:
-            existing = spark.read.parquet(table_path).select(content_key().alias("_k"))
-            fresh = fresh.join(existing, "_k", "left_anti")
-        except Exception as e:  # noqa: BLE001 - first batch: the table does not exist yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-        fresh.select("r.pair_id", "r.nlq", "r.sql").write.mode("append").parquet(table_path)
-
-    q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_path)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()

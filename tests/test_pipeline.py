@@ -97,7 +97,7 @@ def test_csv_rules(spark, tmp_path):
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     from tessera.plans.ingest import RAW_SCHEMA
-    from tessera.sources.pairs import stream_ingest
+    from tessera.streaming.ingest import stream_ingest
     src = tmp_path / "src"
     src.mkdir()
     (src / "1.csv").write_text("pair_id,nlq,sql,note\n1,a,SELECT 1,\n2,a,SELECT 1,\n3,b,SELECT 2,\n")
