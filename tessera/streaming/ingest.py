@@ -26,12 +26,14 @@ def stream_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpo
         rows = clean_pairs(batch).withColumn("_k", content_key())
         fresh = rows.groupBy("_k").agg(F.min_by(F.struct("pair_id", "nlq", "sql"), F.col("pair_id")).alias("r"))
         try:
-            existing = spark.read.parquet(table_path).select(content_key().alias("_k"))
+            # The table stores its content key, so only that narrow column is read here.
+            existing = spark.read.parquet(table_path).select(F.col("content_key").alias("_k"))
             fresh = fresh.join(existing, "_k", "left_anti")
         except Exception as e:  # noqa: BLE001 - first batch: the table does not exist yet
             if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
                 raise
-        fresh.select("r.pair_id", "r.nlq", "r.sql").write.mode("append").parquet(table_path)
+        (fresh.select("r.pair_id", "r.nlq", "r.sql", F.col("_k").alias("content_key"))
+         .write.mode("append").parquet(table_path))
 
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
