@@ -694,7 +694,7 @@ _reg("prompt_blocks", f"WITH {EXAMPLE_BLOCKS} SELECT query_id, examples_block, n
 
 _reg("sql_prompts", f"""
 WITH {EXAMPLE_BLOCKS}
-SELECT i.id AS query_id, CAST(1 AS BIGINT) AS attempt, 0.0 AS temperature,
+SELECT i.id AS query_id, CAST(1 AS BIGINT) AS attempt, CAST(0.0 AS DOUBLE) AS temperature,
        {_HUMAN_HEAD} || coalesce(blk.examples_block, {_lit(_pr.NO_EXAMPLES)}) || {_lit(chr(10) * 2 + '### Question' + chr(10))} || i.nlq AS human
 FROM items i LEFT JOIN blk ON blk.query_id = i.id
 """)

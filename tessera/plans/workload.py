@@ -171,7 +171,7 @@ def date_functions(spark: SparkSession, d: str) -> DataFrame:
     per = o.groupBy(month.alias("m")).agg(F.count(F.lit(1)).alias("n_orders"),
                                           F.round(F.sum("o_totalprice"), 2).alias("revenue"))
     nxt = F.col("m") + F.expr("INTERVAL 1 MONTH")
-    return per.select(F.to_date("m").alias("month"), F.year("m").alias("order_year"),
+    return per.select(F.to_date("m").alias("month"), F.year("m").cast("long").alias("order_year"),
                       F.to_date(nxt).alias("next_month"),
                       F.datediff(F.to_date(nxt), F.to_date("m")).cast("long").alias("days_in_month"),
                       "n_orders", "revenue")
