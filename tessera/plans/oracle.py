@@ -537,7 +537,7 @@ n AS (SELECT doc_id, sqrt(sum(c * c)) AS nrm FROM b GROUP BY 1)
 SELECT b.doc_id AS id, b.bucket, round(b.c / n.nrm, 6) AS weight FROM b JOIN n ON n.doc_id = b.doc_id""")
 
 
-# ----------------------------------------------------------------------------- pipeline
+# ----------------------------------------------------------------------------- workflow
 
 from tessera.functions import prompts as _pr  # noqa: E402
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import ingest, pipeline, records, repairs, retrieval, text, training, workload
+from tessera.plans import ingest, records, repairs, retrieval, text, training, workflow, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -44,15 +44,15 @@ def all_queries() -> dict[str, QueryFn]:
         "hash_embed": records.q_hash_embed,
     })
     q.update({
-        "sql_prompts": pipeline.q_sql_prompts,
-        "prompt_blocks": pipeline.q_prompt_blocks,
-        "nlq_prompts": pipeline.q_nlq_prompts,
-        "critic_prompts": pipeline.q_critic_prompts,
-        "lesson_prompts": pipeline.q_lesson_prompts,
-        "model_responses": pipeline.q_model_responses,
-        "eval_attempts": pipeline.q_eval_attempts,
-        "eval_run_metrics": pipeline.q_eval_run_metrics,
-        "answer_questions": pipeline.q_answer_questions,
+        "sql_prompts": workflow.q_sql_prompts,
+        "prompt_blocks": workflow.q_prompt_blocks,
+        "nlq_prompts": workflow.q_nlq_prompts,
+        "critic_prompts": workflow.q_critic_prompts,
+        "lesson_prompts": workflow.q_lesson_prompts,
+        "model_responses": workflow.q_model_responses,
+        "eval_attempts": workflow.q_eval_attempts,
+        "eval_run_metrics": workflow.q_eval_run_metrics,
+        "answer_questions": workflow.q_answer_questions,
         "repair_outcome": repairs.q_repair_outcome,
         "repair_history": repairs.q_repair_history,
         "repair_observations": repairs.q_repair_observations,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.metrics import METRIC_COLUMNS, eval_metrics
 from tessera.operators.split import seeded_hash, train_eval_split
-from tessera.plans import bindings, ingest, pipeline
+from tessera.plans import bindings, ingest, workflow
 from tessera.sources.tables import table
 
 RUN_EVENT_SCHEMA = "run_id long, status string, metrics string, event_time timestamp"
@@ -52,7 +52,7 @@ def training_cycle(spark: SparkSession, d: str, run_id: int = 1, events: list |
         train = split.filter(F.col("split") == "train")
         held = split.filter(F.col("split") == "eval").drop("split", "pair_id")
         corpus = train.select("id", "embedding", "nlq", F.col("gold_sql").alias("sql"))
-        ev = pipeline.eval_attempts(spark, d, items=held, corpus=corpus)
+        ev = workflow.eval_attempts(spark, d, items=held, corpus=corpus)
         examples = corpus.unionByName(held.select("id", "embedding", "nlq", F.col("gold_sql").alias("sql")))
         m = eval_metrics(ev.withColumn("run_id", F.lit(run_id).cast("long")), by="run_id")
         sizes = split.agg(F.count_if(F.col("split") == "train").cast("long").alias("n_train"),

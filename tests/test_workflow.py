@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import repair
-from tessera.plans import pipeline
+from tessera.plans import workflow
 
 ITEMS = "id long, embedding array<float>, run_id long, ordinal long, nlq string, gold_sql string"
 CORPUS = "id long, embedding array<float>, nlq string, sql string"
@@ -28,7 +28,7 @@ def test_answer_gate_and_fallbacks(spark):
         (4, "sql1", None, "timeout", 1.0),
         (5, "sql1", WRONG, None, 1.0), (5, "sql2", None, "overloaded", 1.0),
     ], RESP)
-    out = {r["question_id"]: r for r in pipeline.answer_questions(
+    out = {r["question_id"]: r for r in workflow.answer_questions(
         spark, "", responses=resp, lessons=lessons, items=items, corpus=corpus).collect()}
     assert (out[1]["sql"], out[1]["confidence"], out[1]["used_lesson"]) == (GOLD, 1.0, False)
     assert (out[2]["sql"], out[2]["confidence"], out[2]["used_lesson"]) == (GOLD, 0.0, True)
@@ -49,7 +49,7 @@ def test_eval_outcomes(spark):
         (4, "sql1", None, "timeout", 10.0), (4, "sql2", GOLD, None, 10.0),
         (4, "critic", "x", None, 1.0), (4, "lesson", "no json", None, 1.0),
     ], RESP)
-    out = {r["item_id"]: r for r in pipeline.eval_attempts(spark, "", responses=resp, items=items).collect()}
+    out = {r["item_id"]: r for r in workflow.eval_attempts(spark, "", responses=resp, items=items).collect()}
     assert (out[1]["pass1"], out[1]["retried"], out[1]["sim2"], out[1]["pred_sql_2"]) == (True, False, None, None)
     assert (out[2]["pass1"], out[2]["pass2"], out[2]["hard_failure"]) == (False, True, False)
     assert out[2]["used_lesson_id"] == 2 and out[2]["had_lessons"] is False   # no earlier lesson
