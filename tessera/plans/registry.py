@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import ensure_checkpoint_dir
+
 from tessera.plans import ingest, records, repairs, retrieval, text, training, workflow, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def _with_checkpoint_dir(fn: QueryFn) -> QueryFn:
+    """Queries write stage outputs to the shared checkpoint folder: make sure the session
+    names one (the cluster's setting is kept; a folder of our own only when unset)."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def all_queries() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {
         "topk_examples": retrieval.q_topk_examples,
@@ -62,4 +75,4 @@ def all_queries() -> dict[str, QueryFn]:
         "training_cycle_metrics": training.q_training_cycle_metrics,
     })
     q.update(workload.QUERIES)
-    return q
+    return {k: _with_checkpoint_dir(f) for k, f in q.items()}

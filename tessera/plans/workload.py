@@ -146,8 +146,8 @@ def wl_spend_per_customer(spark: SparkSession, d: str) -> DataFrame:
 
 def wl_orders_in_year(spark: SparkSession, d: str) -> DataFrame:
     # YEAR(d) = y written as a half-open range so the predicate reaches the parquet scan.
-    lo = F.lit(f"{YEAR}-01-01 00:00:00").cast("timestamp")
-    hi = F.lit(f"{YEAR + 1}-01-01 00:00:00").cast("timestamp")
+    lo = F.lit(f"{YEAR}-01-01 00:00:00").cast("timestamp_ntz")
+    hi = F.lit(f"{YEAR + 1}-01-01 00:00:00").cast("timestamp_ntz")
     dt = F.col("o_orderdate")
     return (table(spark, d, "orders").filter((dt >= lo) & (dt < hi))
             .agg(F.count(F.lit(1)).alias("order_count")))
