@@ -262,24 +262,25 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     key_q = ("_qrun", "_qord") if asof is not None else None
     key_c = ("_crun", "_cord") if asof is not None else None
 
+    sizes: dict[str, tuple[int, int]] = {}
     if strategy == "auto":
-        nc, dc = _size_of(c, "_cvec")
-        c_bytes = nc * (max(dc, 1) * 4 + 24)
-        if c_bytes <= broadcast_limit_bytes:
+        sizes["c"] = _size_of(c, "_cvec")
+        nc, dc = sizes["c"]
+        if nc * (max(dc, 1) * 4 + 24) <= broadcast_limit_bytes:
             strategy = "broadcast_corpus"
         else:
-            nq, dq = _size_of(q, "_qvec")
-            q_bytes = nq * (max(dq, 1) * 4 + 24)
-            strategy = "broadcast_queries" if q_bytes <= broadcast_limit_bytes else "blocked"
+            sizes["q"] = _size_of(q, "_qvec")
+            nq, dq = sizes["q"]
+            strategy = "broadcast_queries" if nq * (max(dq, 1) * 4 + 24) <= broadcast_limit_bytes else "blocked"
 
     if strategy == "broadcast_corpus":
         return _plan_broadcast_corpus(spark, q, c, k, exclude_self, key_q, key_c,
-                                      broadcast_limit_bytes)
+                                      broadcast_limit_bytes, sizes.get("c"))
     if strategy == "broadcast_queries":
         return _plan_broadcast_queries(spark, q, c, k, exclude_self, key_q, key_c,
-                                       broadcast_limit_bytes)
+                                       broadcast_limit_bytes, sizes.get("q"))
     if strategy == "blocked":
-        return _plan_blocked(q, c, k, exclude_self, key_q, key_c, block_bytes)
+        return _plan_blocked(q, c, k, exclude_self, key_q, key_c, block_bytes, sizes)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -290,8 +291,8 @@ def _check_bound(n: int, d: int, limit: int, what: str) -> None:
 
 
 def _plan_broadcast_corpus(spark: SparkSession, q: DataFrame, c: DataFrame, k: int,
-                           exclude_self: bool, key_q, key_c, limit: int) -> DataFrame:
-    nc, dc = _size_of(c, "_cvec")
+                           exclude_self: bool, key_q, key_c, limit: int, size=None) -> DataFrame:
+    nc, dc = size or _size_of(c, "_cvec")
     _check_bound(nc, dc, limit, "corpus")
     side = _collect_side(c, "_cid", "_cvec", key_c)
     bc = spark.sparkContext.broadcast(side)
@@ -308,8 +309,8 @@ def _plan_broadcast_corpus(spark: SparkSession, q: DataFrame, c: DataFrame, k: i
 
 
 def _plan_broadcast_queries(spark: SparkSession, q: DataFrame, c: DataFrame, k: int,
-                            exclude_self: bool, key_q, key_c, limit: int) -> DataFrame:
-    nq, dq = _size_of(q, "_qvec")
+                            exclude_self: bool, key_q, key_c, limit: int, size=None) -> DataFrame:
+    nq, dq = size or _size_of(q, "_qvec")
     _check_bound(nq, dq, limit, "query set")
     side = _collect_side(q, "_qid", "_qvec", key_q)
     bq = spark.sparkContext.broadcast(side)
@@ -335,9 +336,10 @@ def _merge_partial(partial: DataFrame, k: int) -> DataFrame:
 
 
 def _plan_blocked(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, key_q, key_c,
-                  block_bytes: int) -> DataFrame:
-    nq, dq = _size_of(q, "_qvec")
-    nc, dc = _size_of(c, "_cvec")
+                  block_bytes: int, sizes=None) -> DataFrame:
+    sizes = sizes or {}
+    nq, dq = sizes.get("q") or _size_of(q, "_qvec")
+    nc, dc = sizes.get("c") or _size_of(c, "_cvec")
     qb = max(1, math.ceil(nq * (max(dq, 1) * 4 + 24) / block_bytes))
     cb = max(1, math.ceil(nc * (max(dc, 1) * 4 + 24) / block_bytes))
     # Each query row is copied to every corpus block and vice versa; a (qb, cb) group holds
