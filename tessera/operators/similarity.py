@@ -248,12 +248,14 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                     asof: tuple[tuple[str, str], tuple[str, str]] | None = None,
                     strategy: str = "auto",
                     broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
-                    block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                    block_bytes: int = DEFAULT_BLOCK_BYTES,
+                    lsh: dict | None = None) -> DataFrame:
     """Exact top-k inner-product join. Returns ``query_id, rank, id, score`` rows.
 
     ``asof=((q_run, q_ord), (c_run, c_ord))`` keeps only corpus rows with
     ``(c_run, c_ord) < (q_run, q_ord)``. ``strategy`` is ``auto`` or one of
-    ``broadcast_corpus``, ``broadcast_queries``, ``blocked``.
+    ``broadcast_corpus``, ``broadcast_queries``, ``blocked`` (all exact), or
+    ``approx_lsh`` (approximate, only on request; ``lsh`` passes its parameters).
     """
     spark = queries.sparkSession
     if k is None or k <= 0:
@@ -281,6 +283,8 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                                        broadcast_limit_bytes, sizes.get("q"))
     if strategy == "blocked":
         return _plan_blocked(q, c, k, exclude_self, key_q, key_c, block_bytes, sizes)
+    if strategy == "approx_lsh":
+        return _plan_lsh(q, c, k, exclude_self, key_q, key_c, **(lsh or {}))
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -416,3 +420,82 @@ def mean_score(hits: DataFrame, queries: DataFrame, query_id: str = "query_id",
     return (base.join(agg, "query_id", "left")
             .select("query_id", F.coalesce("_m", F.lit(0.0)).alias(alias),
                     F.coalesce("_n", F.lit(0)).cast("long").alias(f"n_{alias}_hits")))
+
+
+# ----------------------------------------------------------------------------- approximate
+
+
+def _lsh_keys(planes: np.ndarray, id_col: str, vec_col: str, key_cols, tables: int, bits: int):
+    """mapInArrow body: one output row per (input row, hash table) with the bucket id."""
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    extra = list(key_cols) if key_cols else []
+
+    def run(batches):
+        for b in batches:
+            valid, mat = _arrow_matrix(b.column(vec_col))
+            if not valid.any():
+                continue
+            idx = np.nonzero(valid)[0]
+            signs = (mat @ planes.reshape(tables * bits, -1).T) > 0          # (n, tables*bits)
+            buckets = (signs.reshape(len(idx), tables, bits) * weights).sum(axis=2)  # (n, tables)
+            take = pa.array(np.repeat(idx, tables))
+            cols = [b.column(id_col).take(take), b.column(vec_col).take(take)]
+            cols += [b.column(x).take(take) for x in extra]
+            cols += [pa.array(np.tile(np.arange(tables, dtype=np.int64), len(idx))),
+                     pa.array(buckets.reshape(-1).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, vec_col, *extra, "_t", "_b"])
+    return run
+
+
+def _plan_lsh(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, key_q, key_c,
+              tables: int = 8, bits: int = 8, seed: int = 17, block_rows: int = 50_000) -> DataFrame:
+    """Approximate top-k: random-hyperplane hashing into ``tables`` x 2**``bits`` buckets.
+
+    A query is compared with the corpus rows sharing one of its buckets; scores are exact
+    for what is returned, recall depends on the data and the parameters. Bucket sizes are
+    counted (at most ``tables * 2**bits`` rows reach the driver) and a bucket larger than
+    ``block_rows`` on either side is cut into salted sub-blocks, the other side being
+    copied to each, so no group exceeds ``block_rows`` rows per side however skewed the
+    buckets are. Each group emits only its local top-k.
+    """
+    spark = q.sparkSession
+    _, d = _size_of(c, "_cvec")
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, max(d, 1)))
+    qs = q.mapInArrow(_lsh_keys(planes, "_qid", "_qvec", key_q, tables, bits),
+                      _lsh_schema(q, key_q, "_qid", "_qvec"))
+    cs = c.mapInArrow(_lsh_keys(planes, "_cid", "_cvec", key_c, tables, bits),
+                      _lsh_schema(c, key_c, "_cid", "_cvec"))
+    nq = {(r["_t"], r["_b"]): r["n"] for r in qs.groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nc = {(r["_t"], r["_b"]): r["n"] for r in cs.groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = [(t, b, max(1, math.ceil(nq.get((t, b), 0) / block_rows)), max(1, math.ceil(n / block_rows)))
+             for (t, b), n in nc.items()]
+    if not salts:
+        return spark.createDataFrame([], HITS_SCHEMA)
+    sal = F.broadcast(spark.createDataFrame(salts, "_t long, _b long, _sq long, _sc long"))
+    qx = (qs.join(sal, ["_t", "_b"])
+          .withColumn("_rq", F.pmod(F.xxhash64("_qid"), F.col("_sq")))
+          .withColumn("_rc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sc") - 1)))
+          .drop("_sq", "_sc"))
+    cx = (cs.join(sal, ["_t", "_b"])
+          .withColumn("_rc", F.pmod(F.xxhash64("_cid"), F.col("_sc")))
+          .withColumn("_rq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sq") - 1)))
+          .drop("_sq", "_sc"))
+
+    def run(qpdf, cpdf):
+        import pandas as pd
+        res = _score_and_rank(_side_from_pandas(qpdf, "_qid", "_qvec", key_q),
+                              _side_from_pandas(cpdf, "_cid", "_cvec", key_c), k, exclude_self)
+        return pd.DataFrame({"query_id": res[0], "rank": res[1], "id": res[2], "score": res[3]})
+
+    keys = ["_t", "_b", "_rq", "_rc"]
+    partial = qx.groupBy(*keys).cogroup(cx.groupBy(*keys)).applyInPandas(run, HITS_SCHEMA)
+    # The same pair can be found through several tables (same score): keep it once.
+    once = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return _merge_partial(once.withColumn("rank", F.lit(0).cast("long")), k)
+
+
+def _lsh_schema(df: DataFrame, key_cols, id_col: str, vec_col: str) -> str:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cols = [f"{id_col} {types[id_col]}", f"{vec_col} {types[vec_col]}"]
+    cols += [f"{x} {types[x]}" for x in (key_cols or [])]
+    return ", ".join(cols + ["_t long", "_b long"])
