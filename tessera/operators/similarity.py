@@ -123,9 +123,7 @@ def _score_and_rank(q: _Side, c: _Side, k: int, exclude_self: bool):
     if q.mat.shape[1] != c.mat.shape[1]:
         raise ValueError(f"dimension mismatch: {q.mat.shape[1]} vs {c.mat.shape[1]}")
     # Corpus is ordered by its as-of key, so the visible part of a query is a prefix.
-    if c.keys is not None:
-        order = np.lexsort((c.keys[:, 1], c.keys[:, 0]))
-        c = _Side(c.ids[order], c.mat[order], c.keys[order])
+    c = _sorted_by_keys(c)
     col_pos = None
     if exclude_self:
         srt = np.argsort(c.ids, kind="stable")
@@ -183,6 +181,17 @@ def _score_and_rank(q: _Side, c: _Side, k: int, exclude_self: bool):
             np.concatenate(out_s))
 
 
+def _sorted_by_keys(c: _Side) -> _Side:
+    """Corpus ordered by its as-of key (no-op when there is none or it is already sorted)."""
+    if c.keys is None or len(c.ids) < 2:
+        return c
+    k0, k1 = c.keys[:, 0], c.keys[:, 1]
+    if np.all((k0[:-1] < k0[1:]) | ((k0[:-1] == k0[1:]) & (k1[:-1] <= k1[1:]))):
+        return c
+    order = np.lexsort((k1, k0))
+    return _Side(c.ids[order], c.mat[order], c.keys[order])
+
+
 def _count_keys_below(ckeys_sorted: np.ndarray, qkeys: np.ndarray) -> np.ndarray:
     """For each query key, how many sorted corpus keys are lexicographically smaller."""
     run_c, ord_c = ckeys_sorted[:, 0], ckeys_sorted[:, 1]
@@ -298,7 +307,7 @@ def _plan_broadcast_corpus(spark: SparkSession, q: DataFrame, c: DataFrame, k: i
                            exclude_self: bool, key_q, key_c, limit: int, size=None) -> DataFrame:
     nc, dc = size or _size_of(c, "_cvec")
     _check_bound(nc, dc, limit, "corpus")
-    side = _collect_side(c, "_cid", "_cvec", key_c)
+    side = _sorted_by_keys(_collect_side(c, "_cid", "_cvec", key_c))
     bc = spark.sparkContext.broadcast(side)
 
     def run(batches):
