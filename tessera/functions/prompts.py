@@ -136,25 +136,39 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def example_blocks(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """``(key, examples_block, n_examples)`` from hits with ``rank, score, nlq, sql``.
+def example_blocks(hits: DataFrame, key: str = "query_id", mean_alias: str | None = None) -> DataFrame:
+    """``(key, [mean_alias,] examples_block, n_examples)`` from hits left-joined to their
+    records (``rank, score, nlq, sql``; record columns null when a hit has no record).
 
-    Numbering follows the order of the hits that have records (1, 2, ...).
+    One grouped aggregate: the mean is over all hits; the block numbers the hits that have
+    records in rank order (1, 2, ...), at most k per query. No hit with a record: no block.
     """
-    g = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "nlq", "sql"))).alias("h"))
+    has = F.col("nlq").isNotNull() & F.col("sql").isNotNull()
+    aggs = [F.array_sort(F.collect_list(F.when(has, F.struct("rank", "score", "nlq", "sql")))).alias("h")]
+    if mean_alias:
+        aggs.insert(0, F.avg("score").alias(mean_alias))
+    g = hits.groupBy(key).agg(*aggs)
     lines = F.transform("h", lambda e, i: F.format_string(
         EXAMPLE_LINE, (i + 1), F.round(e["score"], 2), e["nlq"], e["sql"]))
-    return g.select(key, F.array_join(lines, "\n\n").alias("examples_block"),
+    return g.select(key, *([mean_alias] if mean_alias else []),
+                    F.when(F.size("h") > 0, F.array_join(lines, "\n\n")).alias("examples_block"),
                     F.size("h").cast("long").alias("n_examples"))
 
 
-def lesson_blocks(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """``(key, lessons_section, n_lessons)`` from lesson hits with the lesson fields."""
-    g = hits.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.struct("rank", "title", "error_category", "trigger", "fix_rule"))).alias("h"))
+def lesson_blocks(hits: DataFrame, key: str = "query_id", mean_alias: str | None = None) -> DataFrame:
+    """``(key, [mean_alias,] lessons_section, n_lessons)`` from lesson hits left-joined to
+    the lesson records; same shape of computation as :func:`example_blocks`."""
+    has = F.col("title").isNotNull()
+    aggs = [F.array_sort(F.collect_list(F.when(has, F.struct(
+        "rank", "title", "error_category", "trigger", "fix_rule")))).alias("h")]
+    if mean_alias:
+        aggs.insert(0, F.avg("score").alias(mean_alias))
+    g = hits.groupBy(key).agg(*aggs)
     lines = F.transform("h", lambda e, i: F.format_string(
         LESSON_LINE, (i + 1), e["title"], e["error_category"], e["trigger"], e["fix_rule"]))
-    return g.select(key, F.concat(F.lit(LESSONS_HEADER), F.array_join(lines, "\n\n")).alias("lessons_section"),
+    return g.select(key, *([mean_alias] if mean_alias else []),
+                    F.when(F.size("h") > 0, F.concat(F.lit(LESSONS_HEADER), F.array_join(lines, "\n\n")))
+                    .alias("lessons_section"),
                     F.size("h").cast("long").alias("n_lessons"))
 
 
