@@ -143,3 +143,22 @@ def q_retry_gate(spark: SparkSession, d: str) -> DataFrame:
 def q_hash_embed(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents"))
     return hash_embed_sparse(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+def add_examples(corpus: DataFrame, batch: DataFrame, embed=None) -> DataFrame:
+    """Add pairs to the example corpus: embed the question of the rows whose content key is
+    new and append them (``corpus``: ``pair_id, nlq, sql, embedding``)."""
+    from tessera.functions.embed import hash_embed
+    embed = embed or hash_embed
+    fresh = append_by_content(corpus, batch).select("pair_id")
+    new = batch.join(fresh, "pair_id", "left_semi").withColumn("embedding", embed(F.col("nlq")))
+    return corpus.unionByName(new.select(*corpus.columns))
+
+
+def add_lessons(corpus: DataFrame, lessons: DataFrame, embed=None) -> DataFrame:
+    """Add lessons to the lesson corpus, embedding the trigger text (not the title)."""
+    from tessera.functions.embed import hash_embed
+    embed = embed or hash_embed
+    new = lessons.join(corpus.select("lesson_id"), "lesson_id", "left_anti") \
+        .withColumn("embedding", embed(F.col("trigger")))
+    return corpus.unionByName(new.select(*corpus.columns))

@@ -40,3 +40,20 @@ def test_failed_run_keeps_error(spark, monkeypatch):
     ev = events[0].unionByName(events[1])
     last = training.latest_status(ev).first()
     assert last["status"] == "failed" and '"error": "no data"' in last["metrics"]
+
+
+def test_add_examples_and_lessons(spark):
+    import numpy as np
+    from tessera.plans.records import add_examples, add_lessons
+    cols = "pair_id long, nlq string, sql string, embedding array<float>"
+    corpus = spark.createDataFrame([(1, "how many orders", "SELECT 1", [1.0, 0.0])], cols)
+    batch = spark.createDataFrame([(2, "how many orders", "SELECT 1"), (3, "total revenue", "SELECT 2"),
+                                   (4, "total revenue", "SELECT 2")], "pair_id long, nlq string, sql string")
+    out = {r["pair_id"]: r for r in add_examples(corpus, batch).collect()}
+    assert sorted(out) == [1, 3]                       # same content is not added twice
+    assert abs(np.linalg.norm(out[3]["embedding"]) - 1) < 1e-5 and len(out[3]["embedding"]) == 64
+    lcols = "lesson_id long, title string, trigger string, embedding array<float>"
+    lc = spark.createDataFrame([], lcols)
+    new = spark.createDataFrame([(7, "T", "questions about dates")], "lesson_id long, title string, trigger string")
+    got = add_lessons(add_lessons(lc, new), new).collect()
+    assert len(got) == 1 and abs(np.linalg.norm(got[0]["embedding"]) - 1) < 1e-5
