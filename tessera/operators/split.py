@@ -28,33 +28,50 @@ def cut_index(n: int, eval_fraction: float = 0.2) -> int:
     return min(idx, n - 1)
 
 
+def _cut_bucket(counts: list[tuple[str, int]], cut: int) -> tuple[str, int, int]:
+    """(bucket holding the cut, rows needed from it, its size) for sorted bucket counts."""
+    before = 0
+    for b, c in counts:
+        if before + c >= cut:
+            return b, cut - before, c
+        before += c
+    b, c = counts[-1]
+    return b, c, c
+
+
 def train_eval_split(df: DataFrame, id_col: str = "pair_id", eval_fraction: float = 0.2,
-                     seed: int = 42, digits: int = 4) -> DataFrame:
+                     seed: int = 42, digits: int = 4, max_ranked_rows: int = 2_000_000) -> DataFrame:
     """Add ``split`` ('train' / 'eval') to every row of ``df`` (ids must be unique).
 
-    ``digits`` leading hex digits name a bucket: 16**4 buckets keep a bucket near a
-    million rows up to about 6e10 rows, and at most that many counts reach the driver.
+    Rows are bucketed by the leading ``digits`` hex digits of the seeded hash; one small
+    aggregate counts the buckets (at most 16**digits rows reach the driver). While the bucket
+    holding the cut has more than ``max_ranked_rows`` rows it is split again by four more
+    digits (an aggregate over that bucket's rows only), so the one ranked window partition
+    stays bounded whatever the table size. Every other row is decided by comparing its hash
+    prefix with the cut prefix.
     """
-    h = df.withColumn("_h", seeded_hash(id_col, seed)).withColumn("_b", F.substring("_h", 1, digits))
+    h = df.withColumn("_h", seeded_hash(id_col, seed))
     counts = sorted((r["_b"], r["c"]) for r in
-                    h.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).collect())
+                    h.groupBy(F.substring("_h", 1, digits).alias("_b"))
+                    .agg(F.count(F.lit(1)).alias("c")).collect())
     n = sum(c for _, c in counts)
     cut = cut_index(n, eval_fraction)
-    before = 0
-    cut_bucket, need = counts[-1][0], cut
-    for b, c in counts:
-        if before + c >= cut:
-            cut_bucket, need = b, cut - before
-            break
-        before += c
-    w = Window.partitionBy("_b").orderBy("_h", id_col)
-    inside = (h.filter(F.col("_b") == cut_bucket)
+    prefix, need, size = _cut_bucket(counts, cut)
+    while size > max_ranked_rows and len(prefix) < 32:
+        width = min(32, len(prefix) + 4)
+        sub = sorted((r["_b"], r["c"]) for r in
+                     h.filter(F.substring("_h", 1, len(prefix)) == prefix)
+                     .groupBy(F.substring("_h", 1, width).alias("_b"))
+                     .agg(F.count(F.lit(1)).alias("c")).collect())
+        prefix, need, size = _cut_bucket(sub, need)
+    p = F.substring("_h", 1, len(prefix))
+    w = Window.partitionBy("_p").orderBy("_h", id_col)
+    inside = (h.filter(p == prefix).withColumn("_p", p)
               .withColumn("split", F.when(F.row_number().over(w) <= need, F.lit("train"))
-                          .otherwise(F.lit("eval"))))
-    outside = (h.filter(F.col("_b") != cut_bucket)
-               .withColumn("split", F.when(F.col("_b") < cut_bucket, F.lit("train"))
-                           .otherwise(F.lit("eval"))))
-    return inside.unionByName(outside).drop("_h", "_b")
+                          .otherwise(F.lit("eval"))).drop("_p"))
+    outside = (h.filter(p != prefix)
+               .withColumn("split", F.when(p < prefix, F.lit("train")).otherwise(F.lit("eval"))))
+    return inside.unionByName(outside).drop("_h")
 
 
 def leakage_report(split: DataFrame, id_col: str = "pair_id") -> DataFrame:

@@ -104,3 +104,12 @@ def test_split_too_small():
         cut_index(1)
     with pytest.raises(ValueError):
         cut_index(0)
+
+
+def test_split_refines_a_large_cut_bucket(spark):
+    import hashlib
+    df = spark.range(3000).withColumnRenamed("id", "pair_id")
+    got = {r["pair_id"]: r["split"] for r in
+           train_eval_split(df, "pair_id", digits=1, max_ranked_rows=20).collect()}
+    order = sorted(range(3000), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert got == {i: ("train" if pos < 2400 else "eval") for pos, i in enumerate(order)}
