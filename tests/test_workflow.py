@@ -106,3 +106,24 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     stream_ingest(spark, str(src), table, str(tmp_path / "ck2"), RAW_SCHEMA)
     rows = sorted((r["pair_id"], r["nlq"], r["sql"]) for r in spark.read.parquet(table).collect())
     assert rows == [(1, "a", "SELECT 1"), (3, "b", "SELECT 2")]
+
+
+def test_eval_with_live_model(spark):
+    items = _items(spark, [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.8, 0.2])])
+
+    def factory():
+        def fn(system, human, temperature):
+            if "Generate a reusable lesson" in human:
+                return ('{"title": "t", "trigger": "g", "diagnosis": "d", "fix_rule": "f", '
+                        '"error_category": "filter", "example": "e"}')
+            if "Identify the specific errors" in human:
+                return "1. wrong table"
+            # first attempts are wrong for question q2, retries are right
+            if human.endswith("### Question\nq2") and temperature == 0.0:
+                return "SELECT COUNT(*) FROM customers"
+            return "```sql\nSELECT COUNT(*) FROM orders\n```"
+        return fn
+
+    out = {r["item_id"]: r for r in workflow.eval_attempts(spark, "", items=items, model_factory=factory).collect()}
+    assert out[1]["pass1"] and out[3]["pass1"]
+    assert (out[2]["pass1"], out[2]["pass2"], out[2]["used_lesson_id"]) == (False, True, 2)
