@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import one_col
 from tessera.functions import sqltext as st

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import repair
 from tessera.plans import workflow
