@@ -121,6 +121,29 @@ def extract_json(x) -> Column:
     return F.when(m == "", F.lit(None).cast("string")).otherwise(m)
 
 
+def _lesson_stages():
+    def fields_ok(e):
+        ok = F.lit(True)
+        for f in LESSON_FIELDS:
+            kind = F.schema_of_variant(F.try_variant_get(e["v"], f"$.{f}", "variant"))
+            ok = ok & F.coalesce(kind == "STRING", F.lit(False))
+        return ok
+
+    return [
+        {"js": lambda e: extract_json(e["text"])},
+        {"v": lambda e: F.try_parse_json(e["js"])},
+        {"is_obj": lambda e: F.startswith(F.schema_of_variant(e["v"]), F.lit("OBJECT")),
+         "fields_ok": fields_ok},
+        {"reason": lambda e: (F.when(e["js"].isNull(), F.lit("no_json"))
+                              .when(e["v"].isNull(), F.lit("bad_json"))
+                              .when(~(F.coalesce(e["is_obj"], F.lit(False)) & e["fields_ok"]),
+                                    F.lit("invalid_lesson")))},
+        {"ok": lambda e: e["reason"].isNull(),
+         **{f: (lambda e, f=f: F.when(e["reason"].isNull(), F.try_variant_get(e["v"], f"$.{f}", "string")))
+            for f in LESSON_FIELDS}},
+    ]
+
+
 def parse_lesson(x) -> Column:
     """Parse model output into a lesson struct.
 
@@ -130,19 +153,18 @@ def parse_lesson(x) -> Column:
     Strict parsing uses the variant parser: ``from_json`` would accept single quotes and
     turn numbers into text.
     """
-    js = extract_json(x)
-    v = F.try_parse_json(js)
-    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
-    is_obj = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-    fields_ok = F.lit(True)
-    for f in LESSON_FIELDS:
-        fields_ok = fields_ok & F.coalesce(kind(f) == "STRING", F.lit(False))
-    reason = (F.when(js.isNull(), F.lit("no_json"))
-              .when(v.isNull(), F.lit("bad_json"))
-              .when(~(is_obj & fields_ok), F.lit("invalid_lesson")))
-    ok = reason.isNull()
-    vals = [F.when(ok, F.try_variant_get(v, f"$.{f}", "string")).alias(f) for f in LESSON_FIELDS]
-    return F.struct(ok.alias("ok"), reason.alias("reason"), *vals)
+    env = _run_inline(_lesson_stages(), {"text": _c(x)})
+    return F.struct(env["ok"].alias("ok"), env["reason"].alias("reason"),
+                    *[env[f].alias(f) for f in LESSON_FIELDS])
+
+
+def with_parsed_lesson(df: DataFrame, text_col: str, prefix: str = "l") -> DataFrame:
+    """Add ``{prefix}_ok``, ``{prefix}_reason`` and one column per lesson field; same rules as
+    :func:`parse_lesson`, computed in stages (the JSON is parsed once per row)."""
+    tmp = f"__{prefix}_"
+    out, env = _run_staged(df, _lesson_stages(), {"text": F.col(text_col)}, tmp)
+    out = out.withColumns({f"{prefix}_{k}": env[k] for k in ("ok", "reason", *LESSON_FIELDS)})
+    return out.drop(*[c for c in out.columns if c.startswith(tmp)])
 
 
 # ---------------------------------------------------------------------------- validation

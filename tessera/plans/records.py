@@ -92,9 +92,9 @@ def q_kb_append(spark: SparkSession, d: str) -> DataFrame:
 
 def lessons_table(spark: SparkSession, d: str) -> DataFrame:
     """Lessons that parsed, keyed by the id of the item they came from."""
-    p = st.parse_lesson("text")
-    lt = bindings.lesson_texts(spark, d).select(F.col("id").alias("lesson_id"), p.alias("p"))
-    return lt.filter("p.ok").select("lesson_id", *[F.col(f"p.{f}").alias(f) for f in st.LESSON_FIELDS])
+    lt = st.with_parsed_lesson(bindings.lesson_texts(spark, d), "text", "p")
+    return lt.filter("p_ok").select(F.col("id").alias("lesson_id"),
+                                    *[F.col(f"p_{f}").alias(f) for f in st.LESSON_FIELDS])
 
 
 def run_events(spark: SparkSession, d: str) -> DataFrame:

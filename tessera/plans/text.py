@@ -38,6 +38,5 @@ def q_extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_parse_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = st.parse_lesson("text")
-    return bindings.lesson_texts(spark, sf_dir).select(
-        "id", *[p[f].alias(f) for f in ("ok", "reason") + st.LESSON_FIELDS])
+    p = st.with_parsed_lesson(bindings.lesson_texts(spark, sf_dir), "text", "l")
+    return p.select("id", *[F.col(f"l_{f}").alias(f) for f in ("ok", "reason") + st.LESSON_FIELDS])
