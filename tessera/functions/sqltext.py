@@ -275,6 +275,12 @@ def with_validation(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
 # ---------------------------------------------------------------------------- canonical form
 
 
+def _starts_word(t: Column) -> Column:
+    """First character is an ASCII letter or ``_`` (a comparison, no regex per token)."""
+    a = F.ascii(t)
+    return ((a >= 65) & (a <= 90)) | ((a >= 97) & (a <= 122)) | (a == 95)
+
+
 def _glue(e):
     """Join tokens with one space, except none before "," or ")", none after "(", and none
     between a non-keyword word and its "(". Works token by token, so quoted text is never
@@ -283,7 +289,7 @@ def _glue(e):
     nxt = F.concat(F.slice(tr, 2, F.greatest(F.size(tr), F.lit(1))), F.array(F.lit("")))
     return F.array_join(F.zip_with(tr, nxt, lambda t, n: F.concat(t, F.when(
         (n == "") | (n == ",") | (n == ")") | (t == "(")
-        | ((n == "(") & F.regexp_like(t, F.lit("^[A-Za-z_]")) & ~t.isin(*CANON_KEYWORDS)),
+        | ((n == "(") & _starts_word(t) & ~t.isin(*CANON_KEYWORDS)),
         F.lit("")).otherwise(F.lit(" ")))), "")
 
 
