@@ -104,3 +104,21 @@ def test_approx_lsh_scores_exact_and_salting_invariant(spark, vecs):
         hit += len(want & {i for i, _ in lst})
         total += len(want)
     assert hit / total > 0.5                        # measured recall of this setting
+
+
+def test_auto_broadcasts_queries_when_only_they_fit(spark, vecs):
+    e, rows = vecs
+    q = e.filter("id < 20")
+    got = similarity_topk(q, e, 3, query_id="id", corpus_id="id", broadcast_limit_bytes=20 * 300)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "MapInArrow" in plan
+    qrows = [r for r in rows if r[0] < 20]
+    assert _as_dict(got) == _brute(qrows, rows, 3)
+
+
+def test_spread_only_when_narrow(spark):
+    from tessera.session import spread
+    wide = spark.range(0, 100, numPartitions=spark.sparkContext.defaultParallelism)
+    assert spread(wide) is wide
+    narrow = spark.range(0, 100, numPartitions=1)
+    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
