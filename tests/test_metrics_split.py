@@ -113,3 +113,26 @@ def test_split_refines_a_large_cut_bucket(spark):
            train_eval_split(df, "pair_id", digits=1, max_ranked_rows=20).collect()}
     order = sorted(range(3000), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
     assert got == {i: ("train" if pos < 2400 else "eval") for pos, i in enumerate(order)}
+
+
+def test_full_report_text(spark):
+    rows = ([_row(i, True, False, sim1=0.812, lat=1243.0) for i in range(7)]
+            + [_row(7 + i, False, i < 2, had=True, sim1=0.812, sim2=0.743, lat=1243.0) for i in range(3)])
+    m = mt.eval_metrics(_items(spark, rows), by="run_id")
+    rep = m.select(mt.format_report(m).alias("r")).first()["r"]
+    heavy, light = "═" * 50, "  " + "─" * 46
+    assert rep.split("\n") == [
+        heavy, "  Evaluation Report", heavy,
+        "  Total items:          10",
+        "  pass@1:               7  (70.0%)",
+        "  pass@2:               2  (20.0%)",
+        "  Hard failures:        1  (10.0%)",
+        "  Overall pass rate:    90.0%",
+        light,
+        "  KB recovery rate:     66.7%   (2 of 3 failures recovered)",
+        "  Lesson utilization:   100.0%",
+        light,
+        "  Avg retrieval sim:    0.812",
+        "  Avg lesson sim:       0.743",
+        "  Avg latency:          1243 ms",
+        heavy]
