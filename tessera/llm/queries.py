@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, pii, secret_crf
+from tessera.llm import bpe, pii, quality, secret_crf
 from tessera.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.disclosing_terms(docs))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False, with_text=False)
 
@@ -28,5 +33,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_crf.find(docs, secret_crf.train(docs))
 
 
-QUERIES = {"op2_pii": op2_pii, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+QUERIES = {"op2_pii": op2_pii, "op3_quality": op3_quality, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
