@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, pii, quality, secret_crf
+from tessera.llm import bpe, pii, quality, secret_crf, simhash
 from tessera.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False, with_text=False)
 
@@ -33,5 +37,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_crf.find(docs, secret_crf.train(docs))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_quality": op3_quality, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+QUERIES = {"op2_pii": op2_pii, "op3_quality": op3_quality, "op4_simhash": op4_simhash,
+           "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
