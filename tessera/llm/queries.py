@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, decontaminate, pii, quality, secret_crf, simhash
+from tessera.llm import bpe, decontaminate, mtree, pii, quality, secret_crf, simhash
 from tessera.llm.common import table
 
 
@@ -36,13 +36,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), byte_bpe(), with_ids=False, with_text=False)
 
 
+def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_crf.find(docs, secret_crf.train(docs))
 
 
 QUERIES = {"op2_pii": op2_pii, "op3_quality": op3_quality, "op4_simhash": op4_simhash,
-           "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+           "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_mtree": op9_mtree, "op10_secrets": op10_secrets}
 
 def _words_sql(table_: str, key: str) -> str:
     return (f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -64,4 +68,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
-SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
+OP9_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
+SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op9_mtree": OP9_SQL}
