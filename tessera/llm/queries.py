@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, decontaminate, mtree, pii, quality, secret_crf, simhash, url_alias, warc
+from tessera.llm import bpe, decontaminate, line_dedup, mtree, pii, quality, secret_crf, simhash, url_alias, warc
 from tessera.llm.common import table
 
 
@@ -14,6 +14,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.disclosing_terms(docs))
@@ -53,7 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_crf.find(docs, secret_crf.train(docs))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_quality": op3_quality, "op4_simhash": op4_simhash,
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_pii": op2_pii, "op3_quality": op3_quality, "op4_simhash": op4_simhash,
            "op5_warc": op5_warc, "op6_url_alias": op6_url_alias,
            "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_mtree": op9_mtree, "op10_secrets": op10_secrets}
 
