@@ -131,6 +131,24 @@ def near(index: DataFrame, rare: DataFrame, slop: int, max_terms: int = MAX_TERM
         .groupBy("wid", "d", "t", F.col("a").alias("start")).agg(F.min(F.expr("abs(a - start)")).alias("away"))
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, max_terms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    wins = saved(windows(benchmark), "decon-windows")
+    rare = saved(rarest(docs, wins, max_terms), "decon-rarest")
+    index = postings(docs, rare, max_terms)
+    return wins, index, saved(occurrences(index.where("term is not null"), rare, max_terms), "decon-found")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The rows of documents in which no window occurs."""
+    _, _, found = _found(docs, benchmark, max_terms)
+    hit = saved(found.select("d", "t").distinct(), "decon-hit")
+    if broadcastable(hit, max_terms):
+        hit = F.broadcast(hit)
+    d = known(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
+    return d.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("t", F.xxhash64(F.coalesce("text", F.lit("")))) \
+        .join(hit, ["d", "t"], "left_anti").select(d.columns)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -138,10 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_terms: int = MAX_TE
     items count each. Rows with a null id are judged; rows equal in id and text have equal
     results. Further columns are ignored; empty tables give no rows, or rows without hits.
     """
-    wins = saved(windows(benchmark), "decon-windows")
-    rare = saved(rarest(docs, wins, max_terms), "decon-rarest")
-    index = postings(docs, rare, max_terms)
-    found = saved(occurrences(index.where("term is not null"), rare, max_terms), "decon-found")
+    wins, index, found = _found(docs, benchmark, max_terms)
     in_order = Window.partitionBy("d", "t").orderBy("start", "stop")
     before = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     hits = found.select("d", "t", "start", (F.col("start") + F.col("size")).alias("stop")).distinct() \

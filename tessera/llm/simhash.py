@@ -121,3 +121,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
     to = of.join(lows, "component").select("fp", "component_id")
     return fps.join(to, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+    """The rows of documents, one of each component: that with the smallest id (of rows that
+    repeat this id, one). Rows without an id cannot be named and stay."""
+    d = known(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
+    heads = near_duplicates(docs, shingle, most).where("doc_id = component_id").select("doc_id").distinct()
+    return d.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]) \
+        .select(d.columns).union(d.where("doc_id is null"))
