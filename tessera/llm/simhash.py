@@ -5,16 +5,17 @@ bit counts (0 to 2). The Manhattan distance of two embeddings never exceeds the
 of the fingerprints. Written in unary (0: 00, 1: 01, 2: 11), an embedding is a 64-bit number
 again, and Manhattan distance is the number of differing bits of two such numbers.
 
-Range join: at distance ``most`` (even) one half of the vector differs by at most ``most / 2``.
-So two fingerprints meet in a grid cell if each enters, for either half, all cells within
-``most / 4`` steps (for 4: its own cell and those one step away). Pairs that meet pass the
-bound, then the exact test.
+Range join: cut the vector into three groups of segments. At distance ``most`` two of the three
+groups together differ by at most two thirds of it. So two fingerprints meet in a grid cell if
+each enters, for every two groups, all cells within half as many steps (for 4 bits: its own cell
+and those one step away). Pairs that meet pass the bound, then the exact test.
 
 Only components are asked for, so no group is expanded into all its pairs. Equal fingerprints
-are one node. First, every node is tested against the smallest of its cell; the links found
-make provisional components. Then, cells that still hold several components test the members
-outside the cell's largest component against all of another component. A cell of one dense group
-of copies costs one row per member, and no link between two components is lost.
+are one node. Cells with one node go. Every other node is tested against the smallest of its
+cell; the links found make provisional components. Then, cells that still hold several
+components test the members outside the cell's largest component against all of another
+component. A cell of one dense group of copies costs one row per member, and no link between two
+components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import known, saved, slices
 from tessera.llm.components import components
@@ -62,41 +64,52 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return known(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
 
 
-def _unary(fp: str) -> Column:
+def _unary(fp: str) -> str:
     """The embedding in unary: in each segment the bits, the set ones last."""
-    return F.expr(f"(({fp} | shiftright({fp}, 1)) & {LOW}L) | shiftleft({fp} & shiftright({fp}, 1) & {LOW}L, 1)")
+    return f"((({fp} | shiftright({fp}, 1)) & {LOW}L) | shiftleft({fp} & shiftright({fp}, 1) & {LOW}L, 1))"
 
 
 def _cells(nodes: DataFrame, most: int) -> DataFrame:
-    """(cell, node, u): the cells within ``most / 4`` steps of each half. A step flips one bit of
-    the unary number, unless that leaves 10, which is no count."""
-    half = "explode(array(u & 4294967295L, shiftrightunsigned(u, 32) | 4294967296L)) as c"
-    cells = nodes.selectExpr("node", "u", half)
-    ok = f"((shiftrightunsigned(x, 1) & ~x & {LOW & 0xFFFFFFFF}L & 4294967295L) = 0)"
-    for _ in range(max(0, (most + 3) // 4)):
-        near = "concat(array(c), filter(transform(sequence(0, 31), i -> c ^ shiftleft(1L, i)), x -> " + ok + "))"
-        cells = cells.selectExpr("node", "u", f"explode({near}) as c").distinct() if most > 4 else \
-            cells.selectExpr("node", "u", f"explode({near}) as c")
-    return cells.withColumnRenamed("c", "cell")
+    """(cell, node): the cells near each node in every two groups. A step flips one bit of the
+    unary number, unless that leaves 10, which is no count."""
+    groups = [range(0, 22), range(22, 44), range(44, 64)]
+    steps = (2 * most // 3 + 1) // 2
+    out = None
+    for left_out in range(3):
+        bits = [_signed(1 << b) for g, r in enumerate(groups) if g != left_out for b in r]
+        mask = _signed(sum(1 << b for g, r in enumerate(groups) if g != left_out for b in r))
+        cells = nodes.selectExpr("node", f"{_unary('node')} & {mask} as cell")
+        count = f"(shiftrightunsigned(y, 1) & ~y & {LOW}L) = 0"
+        for step in range(steps):
+            flipped = f"filter(transform(array({', '.join(bits)}), x -> cell ^ x), y -> {count})"
+            cells = cells.selectExpr("node", f"explode(concat(array(cell), {flipped})) as cell")
+            cells = cells.distinct() if step else cells
+        out = cells if out is None else out.union(cells)
+    return out
+
+
+def _signed(x: int) -> str:
+    return "(-9223372036854775807L - 1L)" if x == 1 << 63 else f"{x - (1 << 64) if x >> 63 else x}L"
 
 
 def link(nodes: DataFrame, most: int = 4) -> DataFrame:
     """(node, component) of distinct fingerprints that have a link of at most ``most`` bits."""
-    close = f"bit_count(a.u ^ b.u) <= {most} and bit_count(a.node ^ b.node) <= {most}"
-    cells = saved(_cells(nodes.select("node", _unary("node").alias("u")), most), "simhash-cells")
-    firsts = cells.groupBy("cell").agg(F.min_by(F.struct("node", "u"), "node").alias("f"), F.count("*").alias("n")) \
-        .where("n > 1").select("cell", "f.*")
-    star = cells.alias("a").join(firsts.alias("b"), F.expr(f"a.cell = b.cell and a.node != b.node and {close}")) \
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    def close(a, b):
+        return f"(bit_count({_unary(a)} ^ {_unary(b)}) <= {most} and bit_count({a} ^ {b}) <= {most})"
+
+    of_cell = Window.partitionBy("cell")
+    shared = saved(_cells(nodes.select("node"), most).select(
+        "cell", "node", F.min("node").over(of_cell).alias("head"), F.count("*").over(of_cell).alias("n")).where("n > 1").drop("n"), "simhash-cells")
+    star = shared.where(f"node != head and {close('node', 'head')}").select(F.col("node").alias("a"), F.col("head").alias("b"))
     first = components(star, "simhash-star")
-    found = cells.join(firsts.select("cell"), "cell").join(first, "node", "left") \
-        .select("cell", "node", "u", F.coalesce("component", "node").alias("part"))
+    found = saved(shared.join(first, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("part")), "simhash-parts")
     sizes = found.groupBy("cell", "part").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")) \
         .where("parts > 1").select("cell", "main")
     found = saved(found.join(mixed, "cell"), "simhash-mixed")
     more = found.where("part != main").alias("a").join(
-        found.alias("b"), F.expr(f"a.cell = b.cell and a.part != b.part and (b.part = b.main or a.node < b.node) and {close}")) \
+        found.alias("b"), F.expr(f"a.cell = b.cell and a.part != b.part and (b.part = b.main or a.node < b.node) and {close('a.node', 'b.node')}")) \
         .select(F.col("a.part").alias("a"), F.col("b.part").alias("b"))
     second = components(more, "simhash-more").withColumnRenamed("node", "part").withColumnRenamed("component", "whole")
     parts = first.withColumnRenamed("component", "part")
