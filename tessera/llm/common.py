@@ -30,9 +30,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about ``size`` bytes in the column number ``text``; empty ones go."""
+    """Batches cut to about ``size`` bytes (or elements) in the column number ``text``; empty ones
+    go."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        col = batch.column(text)
+        sizes = pc.list_value_length(col) if pa.types.is_list(col.type) else pc.binary_length(col)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0

@@ -49,7 +49,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of the base matches, by start, then kind."""
     out = []
     low = text.lower()
-    if any(k in low for k in _KEYWORDS) or "ſ" in text or "K" in text:
+    if any(k in low for k in _KEYWORDS):
         out += [(m.start(), 0, m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
