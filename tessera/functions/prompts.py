@@ -140,13 +140,13 @@ def example_blocks(hits: DataFrame, key: str = "query_id", mean_alias: str | Non
     """``(key, [mean_alias,] examples_block, n_examples)`` from hits left-joined to their
     records (``rank, score, nlq, sql``; record columns null when a hit has no record).
 
-    One grouped aggregate: the mean is over all hits; the block numbers the hits that have
+    One grouped aggregate: the mean is over the hits that have records; the block numbers the hits that have
     records in rank order (1, 2, ...), at most k per query. No hit with a record: no block.
     """
     has = F.col("nlq").isNotNull() & F.col("sql").isNotNull()
     aggs = [F.array_sort(F.collect_list(F.when(has, F.struct("rank", "score", "nlq", "sql")))).alias("h")]
     if mean_alias:
-        aggs.insert(0, F.avg("score").alias(mean_alias))
+        aggs.insert(0, F.avg(F.when(has, F.col("score"))).alias(mean_alias))
     g = hits.groupBy(key).agg(*aggs)
     lines = F.transform("h", lambda e, i: F.format_string(
         EXAMPLE_LINE, (i + 1), F.round(e["score"], 2), e["nlq"], e["sql"]))
@@ -162,7 +162,7 @@ def lesson_blocks(hits: DataFrame, key: str = "query_id", mean_alias: str | None
     aggs = [F.array_sort(F.collect_list(F.when(has, F.struct(
         "rank", "title", "error_category", "trigger", "fix_rule")))).alias("h")]
     if mean_alias:
-        aggs.insert(0, F.avg("score").alias(mean_alias))
+        aggs.insert(0, F.avg(F.when(has, F.col("score"))).alias(mean_alias))
     g = hits.groupBy(key).agg(*aggs)
     lines = F.transform("h", lambda e, i: F.format_string(
         LESSON_LINE, (i + 1), e["title"], e["error_category"], e["trigger"], e["fix_rule"]))

@@ -1,9 +1,9 @@
 """Native column functions over SQL text and model output.
 
 Everything here is built from Spark SQL expressions (regexes, arrays, higher-order
-functions), so it stays inside whole-stage codegen and scales with the data. The regex
-constants are shared with the DuckDB oracle (:mod:`tessera.plans.oracle`), which is why
-they are written in the common subset of Java regex and RE2.
+functions), so it stays inside whole-stage codegen and scales with the data. The quoted-text
+patterns use possessive quantifiers, so literals of any length neither recurse nor
+backtrack; the DuckDB oracle (:mod:`tessera.plans.oracle`) has patterns of its own there.
 
 Validation and canonicalisation are lexical, not a full parser. What they decide:
 
@@ -28,10 +28,8 @@ WS = (r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 # Comments (group 1) or quoted text (group 2), scanned left to right in one pass.
-COMMENT_OR_QUOTED = (r"(--[^\n]*|/\*[\s\S]*?\*/)|('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")")
-QUOTED = r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\""
-INNER_PARENS = r"\([^()]*\)"
-PAREN_PASSES = 12
+QUOTED = r"'[^']*+(?:''[^']*+)*+'|\"[^\"]*+(?:\"\"[^\"]*+)*+\""
+COMMENT_OR_QUOTED = r"(--[^\n]*+|/\*[\s\S]*?\*/)|(" + QUOTED + ")"
 
 # Statement kinds by leading keyword (fixed values: the kind names a SQL parser reports).
 STATEMENT_KINDS = {
@@ -69,7 +67,7 @@ TRY_CAST EXTRACT DECIMAL
 CANON_UPPER = CANON_KEYWORDS + CANON_FUNCTIONS
 
 # Token pattern of the canonical form: quoted text, words, numbers, operators, punctuation.
-TOKEN = (r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|[A-Za-z_][A-Za-z0-9_$]*"
+TOKEN = (QUOTED + r"|[A-Za-z_][A-Za-z0-9_$]*"
          r"|[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+|<>|!=|<=|>=|\|\||::"
          r"|[^\t\n\x{0B}\f\r A-Za-z0-9_]")
 
@@ -176,12 +174,18 @@ def mask_sql(x) -> Column:
     return F.regexp_replace(t, QUOTED, " _lit_ ")
 
 
-def depth0(masked: Column) -> Column:
-    """Text outside any parentheses (innermost groups removed repeatedly)."""
-    t = masked
-    for _ in range(PAREN_PASSES):
-        t = F.regexp_replace(t, INNER_PARENS, " ")
-    return t
+def paren_fold(masked: Column) -> Column:
+    """``struct(depth, low, text)``: final and lowest parenthesis depth, and the text outside any
+    parentheses (a blank per group). One pass over the parentheses, whatever the nesting."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"), F.lit("").alias("text"))
+
+    def step(acc, t):
+        depth = acc["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        outside = F.when(acc["depth"] != 0, F.lit("")).when(t == "(", F.lit(" ")).when(t == ")", F.lit("")).otherwise(t)
+        return F.struct(depth.alias("depth"), F.least(acc["low"], depth).alias("low"),
+                        F.when(outside == "", acc["text"]).otherwise(F.concat(acc["text"], outside)).alias("text"))
+
+    return F.aggregate(F.regexp_extract_all(masked, F.lit("[()]|[^()]+"), F.lit(0)), start, step)
 
 
 def _lookup(word: Column, table: dict[str, str]) -> Column:
@@ -198,11 +202,10 @@ def _validation_stages():
         {"s": lambda e: py_strip(F.coalesce(e["text"], F.lit("")))},
         {"m": lambda e: mask_sql(e["s"])},
         {"pieces": lambda e: F.split(e["m"], ";"),
-         "flat": lambda e: depth0(e["m"]),
-         "open_quote": lambda e: F.regexp_like(e["m"], F.lit(r"['\"]|/\*")),
-         "n_paren": lambda e: ((F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\(", "")))
-                               - (F.length(e["m"]) - F.length(F.regexp_replace(e["m"], r"\)", ""))))},
-        {"unbalanced": lambda e: (e["n_paren"] != 0) | F.regexp_like(e["flat"], F.lit(r"[()]"))},
+         "fold": lambda e: paren_fold(e["m"]),
+         "open_quote": lambda e: F.regexp_like(e["m"], F.lit(r"['\"]|/\*"))},
+        {"unbalanced": lambda e: (e["fold"]["depth"] != 0) | (e["fold"]["low"] < 0),
+         "flat": lambda e: e["fold"]["text"]},
         {"first": lambda e: F.try_element_at(e["pieces"], F.lit(1)),
          "n_stmt": lambda e: F.size(e["pieces"]) - F.when(
              F.coalesce(F.regexp_like(F.try_element_at(e["pieces"], F.lit(-1)), F.lit(f"^{WS}*$")), F.lit(False))

@@ -88,9 +88,8 @@ def repair_outcome(jobs: DataFrame, candidates: DataFrame, max_iterations: int =
 
 
 def _json_str(c):
-    esc = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"')
-    esc = F.regexp_replace(F.regexp_replace(esc, "\n", "\\\\n"), "\t", "\\\\t")
-    return F.concat(F.lit('"'), esc, F.lit('"'))
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def repair_observations(jobs: DataFrame, candidates: DataFrame, max_iterations: int = 3) -> DataFrame:

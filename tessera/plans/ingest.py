@@ -17,7 +17,7 @@ from tessera.streaming.ingest import stream_ingest
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("pair_id", "nlq", "sql", "note")])
 
 
-def ingest(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
+def ingest(spark: SparkSession, d: str, files: int | None = None) -> DataFrame:
     path = scratch_path(spark, "pairs-csv")
     src.write_pairs_csv(bindings.pair_csv_rows(spark, d), path, files)
     return src.read_pairs_csv(spark, path)
@@ -47,7 +47,7 @@ def q_fill_missing_nlq(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_ingest_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Stream the CSV files into a pair table twice; the second run adds nothing."""
     source = scratch_path(spark, "pairs-stream-src")
-    src.write_pairs_csv(bindings.pair_csv_rows(spark, d), source, files=4)
+    src.write_pairs_csv(bindings.pair_csv_rows(spark, d), source)
     table = scratch_path(spark, "pairs-table")
     ckpt = scratch_path(spark, "pairs-stream-ckpt")
     stream_ingest(spark, source, table, ckpt, RAW_SCHEMA)

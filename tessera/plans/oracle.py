@@ -111,6 +111,13 @@ FROM t JOIN p ON p.pair_id = t.id
 from tessera.functions import sqltext as _st  # noqa: E402
 
 
+# RE2 neither recurses nor backtracks, so the plain forms do here. The rendered inputs nest no
+# deeper than the passes below; deep nesting is covered by unit tests.
+_QUOTED = r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\""
+_COMMENT_OR_QUOTED = r"(--[^\n]*|/\*[\s\S]*?\*/)|(" + _QUOTED + ")"
+_TOKEN = _QUOTED + _st.TOKEN.removeprefix(_st.QUOTED)
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -144,8 +151,8 @@ def d_extract_json(x: str) -> str:
 
 def d_depth0(x: str) -> str:
     t = x
-    for _ in range(_st.PAREN_PASSES):
-        t = f"regexp_replace({t}, {_lit(_st.INNER_PARENS)}, ' ', 'g')"
+    for _ in range(12):
+        t = f"regexp_replace({t}, {_lit(r"\([^()]*\)")}, ' ', 'g')"
     return t
 
 
@@ -161,8 +168,8 @@ def validate_ctes(src: str, id_col: str, sql_col: str, prefix: str = "v") -> str
     p = prefix
     return f"""
 {p}_a AS (SELECT {id_col} AS id, {d_strip(f"coalesce({sql_col}, '')")} AS s FROM {src}),
-{p}_b AS (SELECT id, s, regexp_replace(regexp_replace(s, {_lit(_st.COMMENT_OR_QUOTED)}, ' \\2 ', 'g'),
-                                  {_lit(_st.QUOTED)}, ' _lit_ ', 'g') AS masked FROM {p}_a),
+{p}_b AS (SELECT id, s, regexp_replace(regexp_replace(s, {_lit(_COMMENT_OR_QUOTED)}, ' \\2 ', 'g'),
+                                  {_lit(_QUOTED)}, ' _lit_ ', 'g') AS masked FROM {p}_a),
 {p}_c AS (SELECT id, s, masked, string_split(masked, ';') AS pieces FROM {p}_b),
 {p}_d AS (SELECT id, s, masked, pieces, pieces[1] AS first_stmt,
              regexp_matches(masked, {_lit(chr(39) + '["' + chr(39) + ']|/\\*')}) AS open_quote,
@@ -211,8 +218,8 @@ def canonical_ctes(src: str, id_col: str, sql_col: str, prefix: str = "k") -> st
     allw = "[" + ", ".join(_lit(w) for w in _st.CANON_UPPER) + "]"
     return f"""
 {p}_a AS (SELECT {id_col} AS id,
-             regexp_extract_all(regexp_replace(coalesce({sql_col}, ''), {_lit(_st.COMMENT_OR_QUOTED)}, ' \\2 ', 'g'),
-                                {_lit(_st.TOKEN)}, 0) AS toks FROM {src}),
+             regexp_extract_all(regexp_replace(coalesce({sql_col}, ''), {_lit(_COMMENT_OR_QUOTED)}, ' \\2 ', 'g'),
+                                {_lit(_TOKEN)}, 0) AS toks FROM {src}),
 {p}_b AS (SELECT id, list_transform(toks, lambda t: CASE WHEN t = '!=' THEN '<>'
                  WHEN list_contains({allw}, upper(t)) THEN upper(t) ELSE t END) AS m FROM {p}_a),
 {p}_c AS (SELECT id, CASE WHEN m[-1] = ';' THEN m[1:len(m) - 1] ELSE m END AS tr FROM {p}_b),

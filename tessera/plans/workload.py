@@ -113,9 +113,9 @@ def wl_qty_per_part(spark: SparkSession, d: str) -> DataFrame:
 def wl_revenue_by_brand(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     li = table(spark, d, "lineitem")
-    unit_price = F.col("l_extendedprice") / F.col("l_quantity")
+    # Quantity times unit price is the extended price, also for a quantity of 0.
     # Pre-aggregate line revenue per part before joining to the (smaller) part table.
-    per = li.groupBy("l_partkey").agg(F.sum(F.col("l_quantity") * unit_price).alias("rev"))
+    per = li.groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("rev"))
     return (p.join(per, p.p_partkey == per.l_partkey).groupBy(F.col("p_brand").alias("category"))
             .agg(F.round(F.sum("rev"), 2).alias("revenue")).orderBy(F.col("revenue").desc()))
 

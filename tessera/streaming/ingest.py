@@ -10,21 +10,27 @@ from tessera.sources.pairs import clean_pairs, content_key
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint_path: str,
-                  raw_schema: T.StructType) -> None:
+                  raw_schema: T.StructType | None = None) -> None:
     """Ingest every CSV file of ``source_dir`` into the parquet table ``table_path``.
 
     A file-source stream with an ``availableNow`` trigger processes what is there and
     stops; each micro-batch applies the reading rules and appends only rows whose content
     key is new (within the batch and against the table), so a repeated run or a replayed
-    batch adds nothing.
+    batch adds nothing. Columns go by the header: ``raw_schema`` names them in file order (by
+    default as the files there now do), and a file with another header fails.
     """
+    if raw_schema is None:
+        found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(source_dir).columns
+        raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in found])
+    if "sql" not in raw_schema.names:
+        raise ValueError(f"CSV must have a 'sql' column. Found: {raw_schema.names}")
     stream = (spark.readStream.schema(raw_schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+              .option("escape", '"').option("enforceSchema", False).option("ignoreLeadingWhiteSpace", False)
               .option("ignoreTrailingWhiteSpace", False).csv(source_dir))
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
         rows = clean_pairs(batch).withColumn("_k", content_key())
-        fresh = rows.groupBy("_k").agg(F.min_by(F.struct("pair_id", "nlq", "sql"), F.col("pair_id")).alias("r"))
+        fresh = rows.groupBy("_k").agg(F.min(F.struct("pair_id", "nlq", "sql")).alias("r"))
         try:
             # The table stores its content key, so only that narrow column is read here.
             existing = spark.read.parquet(table_path).select(F.col("content_key").alias("_k"))
