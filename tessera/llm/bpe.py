@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import known, slices
 
-CACHE = 400_000
+CACHE = 200_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (fixed values).
 _PIECE = regex.compile(

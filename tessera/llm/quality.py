@@ -23,7 +23,7 @@ from tessera.llm.common import known, saved, slices
 WORDS, SHAPES, DIM, REACH, NONZERO = 1 << 14, 1 << 10, 64, 2, 4
 UNITS = WORDS + SHAPES
 #: Tokens whose buckets a worker keeps; more are hashed again.
-CACHE = 400_000
+CACHE = 200_000
 RATIOS = 6
 _FORM = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"},
                        **{c: "9" for c in "0123456789"}})
