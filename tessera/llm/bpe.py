@@ -7,7 +7,7 @@ a token and may stand after the last token of the path without ``t``; two tokens
 neighbours if merging their joint bytes keeps the border between them. So a prefix that many
 pieces share is encoded once, and a piece's tokens are read by walking the states back.
 
-Encodings of pieces are kept per Python worker, about twice ``CACHE`` of them. That bounds
+Encodings of pieces are kept while a task runs, about twice ``CACHE`` of them. That bounds
 memory and never changes results.
 """
 
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import known, slices
 
-CACHE = 200_000
+CACHE = 50_000
+#: Bytes of text cut into pieces at a time.
+SLICE = 1 << 20
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (fixed values).
 _PIECE = regex.compile(
@@ -168,6 +170,10 @@ class Codec:
             ids = coded[w.encode()]
             cache[w] = ",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids])
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that goes on to other work does not keep them."""
+        self.cache, self.older, self.beside = {}, {}, {}
+
     def split(self, text: str) -> list[str]:
         """Pieces of a text; a special token's text is a piece of its own."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -214,7 +220,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = True, with_text:
 
     def run(batches):
         c = codec(path)
-        for s in slices(batches):
+        for s in slices(batches, size=SLICE):
             texts = [t or "" for t in s.column(1).to_pylist()]
             got = c.code(texts)
             cols = [s.column(0), pa.array([g[1] for g in got], pa.int64()), pa.array([_sha(g[0]) for g in got]),
@@ -227,6 +233,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = True, with_text:
                 cols.append(pa.array([g[2] for g in got], pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
+        c.forget()
 
     return known(docs, **{id_col: "long", text_col: "string"}).mapInArrow(run, schema)
 

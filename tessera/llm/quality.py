@@ -23,7 +23,7 @@ from tessera.llm.common import known, saved, slices
 WORDS, SHAPES, DIM, REACH, NONZERO = 1 << 14, 1 << 10, 64, 2, 4
 UNITS = WORDS + SHAPES
 #: Tokens whose buckets a worker keeps; more are hashed again.
-CACHE = 200_000
+CACHE = 50_000
 RATIOS = 6
 _FORM = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"},
                        **{c: "9" for c in "0123456789"}})
@@ -69,7 +69,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         index = _index_vectors()
-        dims = [(np.argsort(-np.abs(index), 1, kind="stable")[:, z]) for z in range(NONZERO)]
+        dims = list(np.argsort(-np.abs(index), 1, kind="stable")[:, :NONZERO].T.copy())
         signs = [index[np.arange(UNITS), d].astype(np.float64) for d in dims]
         total = np.zeros(UNITS * DIM)
         for s in slices(batches, 0):
