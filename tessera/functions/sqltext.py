@@ -19,6 +19,9 @@ Validation and canonicalisation are lexical, not a full parser. What they decide
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,17 @@ TOKEN = (QUOTED + r"|[A-Za-z_][A-Za-z0-9_$]*"
          r"|[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+|<>|!=|<=|>=|\|\||::"
          r"|[^\t\n\x{0B}\f\r A-Za-z0-9_]")
 
+# Clauses of a query that cannot be right: a keyword that needs an operand at the end of the text
+# or of a group, a clause directly followed by the next one, a word after SELECT * that no clause
+# starts with.
+BROKEN_CLAUSES = (
+    r"(?i)(?<![.\w])(?:SELECT|FROM|WHERE|AND|OR|NOT|ON|BY|HAVING|JOIN|IN|LIKE|BETWEEN|WHEN|THEN|ELSE|CASE)\s*(?:\)|$)",
+    r"(?i)(?<![.\w])(?:SELECT|FROM|WHERE|HAVING|AND|OR|ON|BY)\s+(?:FROM|WHERE|GROUP\s+BY|ORDER\s+BY|HAVING|LIMIT|AND|OR)\b",
+    r"(?i)\bSELECT\s+\*\s+(?!(?:FROM|EXCLUDE|EXCEPT|REPLACE|RENAME|LIKE|ILIKE|GLOB|SIMILAR|WHERE|UNION|INTERSECT|ORDER|LIMIT)\b)[A-Z_]",
+)
+# The EXCEPT of a column list, which is no set operation (upper-case text).
+STAR_EXCEPT = r"\*\s*EXCEPT\b(?!\s+(?:ALL\s+)?SELECT\b)"
+
 FENCE_HEAD = r"(?i)^```(?:sql)?" + WS + r"*\n?"
 FENCE_TAIL = r"\n?```" + WS + r"*$"
 JSON_OBJECT = r"(?s)\{.*\}"
@@ -216,7 +230,10 @@ def _validation_stages():
          "flat_first": lambda e: F.upper(F.coalesce(F.try_element_at(F.split(e["flat"], ";"), F.lit(1)), F.lit(""))),
          "first_word": lambda e: F.regexp_extract(e["first"], f"^{WS}*([^{ws_inner}]*)", 1)},
         {"kind": lambda e: _lookup(e["lead"], STATEMENT_KINDS),
-         "set_op": lambda e: F.regexp_extract(e["flat_first"], r"\b(UNION|INTERSECT|EXCEPT)\b", 1),
+         "broken": lambda e: e["lead"].isin("SELECT", "WITH", "FROM") & reduce(
+             or_, [F.regexp_like(e["first"], F.lit(p)) for p in BROKEN_CLAUSES]),
+         "set_op": lambda e: F.regexp_extract(F.regexp_replace(e["flat_first"], STAR_EXCEPT, "*"),
+                                              r"\b(UNION|INTERSECT|EXCEPT)\b", 1),
          "with_write": lambda e: F.regexp_extract(
              e["flat_first"], r"^[^;]*?\bWITH\b[\s\S]*?\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\b", 1)},
         {"top_kind": lambda e: (F.when(e["starts_paren"], F.lit("Subquery"))
@@ -228,7 +245,8 @@ def _validation_stages():
                                  .when(e["unbalanced"], F.lit("SQL parse error: unbalanced parentheses."))
                                  .when(~e["starts_paren"] & e["kind"].isNull(),
                                        F.concat(F.lit("SQL parse error: unexpected token '"), e["first_word"],
-                                                F.lit("'."))))},
+                                                F.lit("'.")))
+                                 .when(e["broken"], F.lit("SQL parse error: incomplete clause.")))},
         {"reason": lambda e: (F.when(e["s"] == "", F.lit("SQL is empty."))
                               .when(e["parse_err"].isNotNull(), e["parse_err"])
                               .when(e["n_stmt"] > 1, F.concat(F.lit("Multiple statements detected ("),

@@ -31,11 +31,12 @@ LINE_INVALID = "iteration %d: candidate SQL still invalid — %s"
 LINE_EXHAUSTED = "max iterations (%d) reached without a valid fix"
 
 
-def judged_candidates(candidates: DataFrame, max_iterations: int = 3) -> DataFrame:
-    """Candidates within the bound, cleaned, validated and classified."""
+def judged_candidates(jobs: DataFrame, candidates: DataFrame, max_iterations: int = 3) -> DataFrame:
+    """Candidates of the jobs within the bound, cleaned, validated and classified."""
     # Hash-partition by job id: the per-job aggregates below reuse this partitioning, and the
-    # validation runs in its own code-generated stage.
+    # validation runs in its own code-generated stage, on candidates that a job needs only.
     c = (candidates.filter((F.col("iteration") >= 1) & (F.col("iteration") <= max_iterations))
+         .join(jobs.select("id"), "id", "left_semi")
          .repartition("id")
          .withColumn("clean", strip_fences("text")))
     c = with_validation(c, "clean", "v")
@@ -55,7 +56,7 @@ def repair_history(jobs: DataFrame, candidates: DataFrame, max_iterations: int =
     last iteration of each job; the last line of an exhausted job expands into two rows.
     """
     w = Window.partitionBy("id")
-    j = (judged_candidates(candidates, max_iterations).join(jobs.select("id"), "id", "left_semi")
+    j = (judged_candidates(jobs, candidates, max_iterations)
          .withColumn("t", F.min(F.when(F.col("kind") != "invalid", F.col("iteration"))).over(w))
          .withColumn("last", F.max("iteration").over(w)))
     kept = j.filter(F.col("t").isNull() | (F.col("iteration") <= F.col("t")))
@@ -69,7 +70,7 @@ def repair_history(jobs: DataFrame, candidates: DataFrame, max_iterations: int =
 
 def repair_outcome(jobs: DataFrame, candidates: DataFrame, max_iterations: int = 3) -> DataFrame:
     """``(id, fixed_sql, success, iterations)`` per job."""
-    j = judged_candidates(candidates, max_iterations)
+    j = judged_candidates(jobs, candidates, max_iterations)
     per = j.groupBy("id").agg(
         F.min_by(F.struct("iteration", "kind", "clean"),
                  F.when(F.col("kind") != "invalid", F.col("iteration"))).alias("first_term"),
@@ -97,7 +98,7 @@ def repair_observations(jobs: DataFrame, candidates: DataFrame, max_iterations:
     critic prompt for an invalid one (question plus validation error; the broken SQL is
     both prediction and gold)."""
     from tessera.functions.prompts import critic_human
-    j = judged_candidates(candidates, max_iterations).join(jobs.select("id", "nlq", "broken_sql"), "id")
+    j = judged_candidates(jobs, candidates, max_iterations).join(jobs.select("id", "nlq", "broken_sql"), "id")
     vjson = F.concat(F.lit('{"valid": '), F.when(F.col("v_valid"), F.lit("true")).otherwise(F.lit("false")),
                      F.lit(', "error": '), F.when(F.col("v_reason").isNull(), F.lit("null"))
                      .otherwise(_json_str(F.col("v_reason"))), F.lit("}"))

@@ -38,11 +38,16 @@ from pyspark.sql import functions as F
 
 HITS_SCHEMA = "query_id long, rank long, id long, score double"
 
-DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024   # bytes of float32 matrix we accept to broadcast
+DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024   # bytes of float64 matrix we accept to broadcast
 DEFAULT_BLOCK_BYTES = 128 * 1024 * 1024        # bytes per side in one blocked task
 _MAX_SCORE_CELLS = 8 * 1024 * 1024             # cells of one float64 score chunk (64 MB)
 
 
+def _side_bytes(n: int, d: int) -> int:
+    """Size of a side as tasks hold it: float64 values, an id and two as-of keys a row."""
+    return n * (max(d, 1) * 8 + 24)
+
+
 @dataclass
 class _Side:
     ids: np.ndarray            # int64 (n,)
@@ -92,7 +97,7 @@ def _topk_rows(scores: np.ndarray, cids: np.ndarray, k: int):
         # Rows whose k-th score is tied with unselected columns: redo exactly so the
         # smallest ids win the tie.
         kth = psc.min(axis=1)
-        tied = np.nonzero((scores >= kth[:, None]).sum(axis=1) > kk)[0]
+        tied = np.nonzero(np.isfinite(kth) & ((scores >= kth[:, None]).sum(axis=1) > kk))[0]
         for r in tied:
             cand = np.nonzero(scores[r] >= kth[r])[0]
             order = np.lexsort((cids[cand], -scores[r, cand]))[:kk]
@@ -277,12 +282,11 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     if strategy == "auto":
         sizes["c"] = _size_of(c, "_cvec")
         nc, dc = sizes["c"]
-        if nc * (max(dc, 1) * 4 + 24) <= broadcast_limit_bytes:
+        if _side_bytes(nc, dc) <= broadcast_limit_bytes:
             strategy = "broadcast_corpus"
         else:
             sizes["q"] = _size_of(q, "_qvec")
-            nq, dq = sizes["q"]
-            strategy = "broadcast_queries" if nq * (max(dq, 1) * 4 + 24) <= broadcast_limit_bytes else "blocked"
+            strategy = "broadcast_queries" if _side_bytes(*sizes["q"]) <= broadcast_limit_bytes else "blocked"
 
     if strategy == "broadcast_corpus":
         return _plan_broadcast_corpus(spark, q, c, k, exclude_self, key_q, key_c,
@@ -298,7 +302,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
 
 
 def _check_bound(n: int, d: int, limit: int, what: str) -> None:
-    size = n * (max(d, 1) * 4 + 24)
+    size = _side_bytes(n, d)
     if size > limit:
         raise ValueError(f"{what} is {size} bytes, above the broadcast bound of {limit}")
 
@@ -330,16 +334,29 @@ def _plan_broadcast_queries(spark: SparkSession, q: DataFrame, c: DataFrame, k:
 
     def run(batches):
         qs = bq.value
+        best = None  # of the partition so far: at most k rows per query
         for b in batches:
             cs = _side_from_batch(b, "_cid", "_cvec", key_c)
-            res = _score_and_rank(qs, cs, k, exclude_self)
-            if len(res[0]):
-                yield _hits_batch(*res)
+            best = _best_of(best, _score_and_rank(qs, cs, k, exclude_self), k)
+        if best is not None and len(best[0]):
+            yield _hits_batch(*best)
 
     partial = c.mapInArrow(run, HITS_SCHEMA)
     return _merge_partial(partial, k)
 
 
+def _best_of(a, b, k: int):
+    """The k best hits per query of two hit lists (query id, rank, corpus id, score)."""
+    if a is None:
+        return b
+    qid, cid, score = (np.concatenate([a[i], b[i]]) for i in (0, 2, 3))
+    order = np.lexsort((cid, -score, qid))
+    qid, cid, score = qid[order], cid[order], score[order]
+    rank = np.arange(1, len(qid) + 1) - np.searchsorted(qid, qid, side="left")
+    keep = rank <= k
+    return qid[keep], rank[keep], cid[keep], score[keep]
+
+
 def _merge_partial(partial: DataFrame, k: int) -> DataFrame:
     """Final top-k over partial top-k lists; Spark plans it as WindowGroupLimit + window."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
@@ -353,8 +370,8 @@ def _plan_blocked(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, key_q,
     sizes = sizes or {}
     nq, dq = sizes.get("q") or _size_of(q, "_qvec")
     nc, dc = sizes.get("c") or _size_of(c, "_cvec")
-    qb = max(1, math.ceil(nq * (max(dq, 1) * 4 + 24) / block_bytes))
-    cb = max(1, math.ceil(nc * (max(dc, 1) * 4 + 24) / block_bytes))
+    qb = max(1, math.ceil(_side_bytes(nq, dq) / block_bytes))
+    cb = max(1, math.ceil(_side_bytes(nc, dc) / block_bytes))
     # Each query row is copied to every corpus block and vice versa; a (qb, cb) group holds
     # one block of each side. Ids are unique, so hash blocks are even: no hot group.
     qx = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))

@@ -6,14 +6,13 @@ error. Repeatable for a given seed, disjoint, sizes exact.
 
 Plan: an unpartitioned ``row_number`` would send every row to one task. Instead rows are
 put in buckets by the leading hex digits of their hash; one small aggregate counts the
-buckets (at most 16**digits rows reach the driver); the bucket holding the cut is the only
-one that is ranked, inside its own window partition. Every other row is decided by a
-comparison with the cut bucket.
+buckets (at most 16**digits rows reach the driver); only the bucket holding the cut is
+ordered, to find the cut. Every row is then decided by a comparison with the cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,9 +45,9 @@ def train_eval_split(df: DataFrame, id_col: str = "pair_id", eval_fraction: floa
     Rows are bucketed by the leading ``digits`` hex digits of the seeded hash; one small
     aggregate counts the buckets (at most 16**digits rows reach the driver). While the bucket
     holding the cut has more than ``max_ranked_rows`` rows it is split again by four more
-    digits (an aggregate over that bucket's rows only), so the one ranked window partition
-    stays bounded whatever the table size. Every other row is decided by comparing its hash
-    prefix with the cut prefix.
+    digits (an aggregate over that bucket's rows only), so what is ordered stays bounded
+    whatever the table size. The cut itself is one (hash, id); every row is decided by a
+    comparison with it, with no window and no shuffle of the table.
     """
     h = df.withColumn("_h", seeded_hash(id_col, seed))
     counts = sorted((r["_b"], r["c"]) for r in
@@ -64,14 +63,11 @@ def train_eval_split(df: DataFrame, id_col: str = "pair_id", eval_fraction: floa
                      .groupBy(F.substring("_h", 1, width).alias("_b"))
                      .agg(F.count(F.lit(1)).alias("c")).collect())
         prefix, need, size = _cut_bucket(sub, need)
-    p = F.substring("_h", 1, len(prefix))
-    w = Window.partitionBy("_p").orderBy("_h", id_col)
-    inside = (h.filter(p == prefix).withColumn("_p", p)
-              .withColumn("split", F.when(F.row_number().over(w) <= need, F.lit("train"))
-                          .otherwise(F.lit("eval"))).drop("_p"))
-    outside = (h.filter(p != prefix)
-               .withColumn("split", F.when(p < prefix, F.lit("train")).otherwise(F.lit("eval"))))
-    return inside.unionByName(outside).drop("_h")
+    # The last training row in the order (hash, id), from the cut bucket alone.
+    last = (h.filter(F.substring("_h", 1, len(prefix)) == prefix).select("_h", F.col(id_col).alias("_id"))
+            .orderBy("_h", "_id").limit(need).agg(F.max(F.struct("_h", "_id")).alias("k")).first()["k"])
+    train = (F.col("_h") < last["_h"]) | ((F.col("_h") == last["_h"]) & (F.col(id_col) <= F.lit(last["_id"])))
+    return h.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("eval"))).drop("_h")
 
 
 def leakage_report(split: DataFrame, id_col: str = "pair_id") -> DataFrame:

@@ -617,8 +617,26 @@ def _topk_rel(name: str, scores: str, k: int) -> str:
 """
 
 
-def eval_sql(prelude: str, corpus: bool = False) -> str:
+def embed_ctes(src: str, id_col: str, text: str, prefix: str, dim: int = 64) -> str:
+    """CTEs ending in ``{prefix}_v(id, embedding)``: the hashed bag of words, unit length."""
+    p = prefix
+    return f"""
+{p}_b AS (SELECT {id_col} AS id, list_transform(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), {_lit(_st.WS + '+')}),
+                 lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim}) AS b FROM {src}),
+{p}_c AS (SELECT id, list_transform(range({dim}), lambda i: len(list_filter(b, lambda z: z = i))) AS c FROM {p}_b),
+{p}_n AS (SELECT id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm FROM {p}_c),
+{p}_v AS (SELECT id, list_transform(c, lambda x: CASE WHEN nrm > 0 THEN CAST(CAST(x / nrm AS FLOAT) AS DOUBLE) ELSE 0.0::DOUBLE END)
+                     AS embedding FROM {p}_n)
+"""
+
+
+def eval_sql(prelude: str, corpus: bool = False, trigger: bool = False) -> str:
+    """``trigger``: a lesson's vector is that of its trigger text, not its item's."""
     ex_from = ("FROM items q CROSS JOIN corpus c" if corpus else "FROM items q JOIN items c ON q.id <> c.id")
+    lesson_vector, trigger_ctes, trigger_join = "i.embedding", "", ""
+    if trigger:
+        lesson_vector, trigger_join = "tr_v.embedding", "JOIN tr_v ON tr_v.id = lp.id"
+        trigger_ctes = embed_ctes("lp", "id", "CASE WHEN json_valid(js) THEN json_extract_string(js, '$.trigger') END", "tr") + ","
     return f"""
 WITH {prelude}, resp AS ({RECORDED}),
 {_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc {ex_from}", 5)},
@@ -631,8 +649,9 @@ failed AS (SELECT i.* FROM items i JOIN j1_pass p ON p.id = i.id WHERE NOT p.pas
 crok AS (SELECT f.id FROM failed f JOIN cr ON cr.id = f.id WHERE cr.cr_error IS NULL),
 {_answer_cte('ls', 'crok', 'lesson')},
 lp AS (SELECT id, {d_extract_json('ls_text')} AS js FROM ls WHERE ls_error IS NULL),
-lessons AS (SELECT i.id AS lesson_id, i.run_id, i.ordinal, i.embedding FROM lp JOIN items i ON i.id = lp.id
-            WHERE js IS NOT NULL AND json_valid(js) AND json_type(js) = 'OBJECT' AND {_LESSON_OK_SQL}),
+{trigger_ctes}
+lessons AS (SELECT i.id AS lesson_id, i.run_id, i.ordinal, {lesson_vector} AS embedding
+            FROM lp JOIN items i ON i.id = lp.id {trigger_join} WHERE js IS NOT NULL AND json_valid(js) AND json_type(js) = 'OBJECT' AND {_LESSON_OK_SQL}),
 {_topk_rel('lh', f"SELECT q.id AS query_id, c.lesson_id AS id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM failed q JOIN lessons c ON c.run_id < q.run_id OR (c.run_id = q.run_id AND c.ordinal < q.ordinal)", 3)},
 sim2 AS (SELECT f.id, coalesce(avg(lh.sc), 0.0) AS sim2, count(lh.id) AS n_lessons FROM failed f LEFT JOIN lh ON lh.query_id = f.id GROUP BY f.id),
 {_answer_cte('a2', 'failed', 'sql2')},
@@ -854,10 +873,12 @@ SELECT n.id AS pair_id, f.f_text AS nlq, n.sql FROM need n JOIN f ON f.id = n.id
 """
 
 _CYCLE_PRELUDE = f"""
-ia AS (SELECT fp.pair_id AS id, e.embedding,
+fp AS ({_FILLED}),
+{embed_ctes('fp', 'pair_id', 'nlq', 'qe')},
+ia AS (SELECT fp.pair_id AS id, qe_v.embedding,
               CAST(('0x' || substr(md5('42:' || CAST(fp.pair_id AS VARCHAR)), 1, 15)) AS BIGINT) AS run_id,
               fp.pair_id AS ordinal, fp.nlq, fp.sql AS gold_sql
-       FROM ({_FILLED}) fp JOIN embeddings e ON e.vec_id = fp.pair_id),
+       FROM fp JOIN qe_v ON qe_v.id = fp.pair_id),
 nn AS (SELECT count(*) AS n FROM ia),
 cc AS (SELECT least(greatest(1, CAST(floor(CAST(n AS DOUBLE) * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT)), n - 1) AS cut FROM nn),
 rr AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS rn FROM ia),
@@ -867,7 +888,7 @@ corpus AS (SELECT ia.id, ia.embedding, ia.nlq, ia.gold_sql AS sql FROM ia JOIN s
 """
 
 _reg("training_cycle_metrics", f"""
-WITH ev AS ({eval_sql(_CYCLE_PRELUDE, corpus=True)}),
+WITH ev AS ({eval_sql(_CYCLE_PRELUDE, corpus=True, trigger=True)}),
 m AS ({metrics_sql('SELECT CAST(1 AS BIGINT) AS run_id, * EXCLUDE (run_id) FROM ev', ['run_id'])}),
 sz AS (WITH {_CYCLE_PRELUDE} SELECT count(*) FILTER (WHERE split = 'train') AS n_train,
                                     count(*) FILTER (WHERE split = 'eval') AS n_eval, count(*) AS n_all FROM sp)

@@ -16,10 +16,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.embed import hash_embed
 from tessera.operators.metrics import METRIC_COLUMNS, eval_metrics
 from tessera.operators.split import seeded_hash, train_eval_split
 from tessera.plans import bindings, ingest, workflow
-from tessera.sources.tables import table
 
 RUN_EVENT_SCHEMA = "run_id long, status string, metrics string, event_time timestamp"
 
@@ -30,16 +30,14 @@ def run_event(spark: SparkSession, run_id: int, status: str, metrics: str | None
 
 
 def cycle_items(spark: SparkSession, d: str, seed: int = 42) -> DataFrame:
-    """Ingested, filled pairs that have a vector, with the as-of key of the shuffle order."""
+    """Ingested, filled pairs, each question embedded, with the as-of key of the shuffle order."""
     pairs = ingest.fill_missing_nlq(ingest.ingest(spark, d).checkpoint(eager=True),
                                     bindings.recorded_responses(spark, d))
-    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("pair_id"), "embedding")
     h = seeded_hash("pair_id", seed)
-    return (pairs.join(vec, "pair_id")
-            .select(F.col("pair_id").alias("id"), "embedding",
-                    F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("run_id"),
-                    F.col("pair_id").alias("ordinal"), "nlq", F.col("sql").alias("gold_sql"),
-                    F.col("pair_id")))
+    return pairs.select(F.col("pair_id").alias("id"), hash_embed("nlq").alias("embedding"),
+                        F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("run_id"),
+                        F.col("pair_id").alias("ordinal"), "nlq", F.col("sql").alias("gold_sql"),
+                        F.col("pair_id"))
 
 
 def training_cycle(spark: SparkSession, d: str, run_id: int = 1, events: list | None = None) -> DataFrame:
@@ -47,12 +45,12 @@ def training_cycle(spark: SparkSession, d: str, run_id: int = 1, events: list |
     events = events if events is not None else []
     events.append(run_event(spark, run_id, "running"))
     try:
-        items = cycle_items(spark, d)
-        split = train_eval_split(items, "pair_id").checkpoint(eager=True)
+        items = cycle_items(spark, d).checkpoint(eager=True)
+        split = train_eval_split(items, "pair_id")
         train = split.filter(F.col("split") == "train")
         held = split.filter(F.col("split") == "eval").drop("split", "pair_id")
         corpus = train.select("id", "embedding", "nlq", F.col("gold_sql").alias("sql"))
-        ev = workflow.eval_attempts(spark, d, items=held, corpus=corpus)
+        ev = workflow.eval_attempts(spark, d, items=held, corpus=corpus, lesson_embed=hash_embed)
         examples = corpus.unionByName(held.select("id", "embedding", "nlq", F.col("gold_sql").alias("sql")))
         m = eval_metrics(ev.withColumn("run_id", F.lit(run_id).cast("long")), by="run_id")
         sizes = split.agg(F.count_if(F.col("split") == "train").cast("long").alias("n_train"),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.similarity import similarity_topk
+from tessera.operators.similarity import _best_of, similarity_topk
 
 SF = "/root/testdata/sf0.01"
 
@@ -109,13 +109,44 @@ def test_approx_lsh_scores_exact_and_salting_invariant(spark, vecs):
 def test_auto_broadcasts_queries_when_only_they_fit(spark, vecs):
     e, rows = vecs
     q = e.filter("id < 20")
-    got = similarity_topk(q, e, 3, query_id="id", corpus_id="id", broadcast_limit_bytes=20 * 300)
+    got = similarity_topk(q, e, 3, query_id="id", corpus_id="id", broadcast_limit_bytes=20 * 600)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "MapInArrow" in plan
     qrows = [r for r in rows if r[0] < 20]
     assert _as_dict(got) == _brute(qrows, rows, 3)
 
 
+def test_broadcast_queries_over_many_batches(spark, vecs):
+    e, rows = vecs
+    q = e.filter("id < 20")
+    qrows = [r for r in rows if r[0] < 20]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for asof in (False, True):
+            got = similarity_topk(q, e, 3, query_id="id", corpus_id="id", strategy="broadcast_queries",
+                                  asof=(("run", "ord"), ("run", "ord")) if asof else None)
+            want = _brute(qrows, rows, 3, asof=asof)
+            assert _as_dict(got) == {k: v for k, v in want.items() if v}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_running_best_keeps_k_rows_per_query():
+    best = None
+    rng = np.random.default_rng(3)
+    every = []
+    for batch in range(10):
+        qid = np.repeat(np.arange(4), 3)
+        cid = rng.permutation(12) + 100 * batch
+        score = rng.integers(0, 5, 12).astype(float)
+        every += list(zip(qid.tolist(), (-score).tolist(), cid.tolist()))
+        best = _best_of(best, (qid, np.tile(np.arange(1, 4), 4), cid, score), 3)
+        assert len(best[0]) == 12
+    got = list(zip(best[0].tolist(), (-best[3]).tolist(), best[2].tolist()))
+    assert got == [r for i in range(4) for r in sorted(x for x in every if x[0] == i)[:3]]
+    assert best[1].tolist() == [1, 2, 3] * 4
+
+
 def test_spread_only_when_narrow(spark):
     from tessera.session import spread
     wide = spark.range(0, 100, numPartitions=spark.sparkContext.defaultParallelism)

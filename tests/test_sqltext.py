@@ -31,6 +31,21 @@ def test_reasons(spark):
     assert got[7:] == [f"Unsafe statement type: {k}. Only SELECT and WITH are allowed." for k in kinds]
 
 
+def test_incomplete_clauses(spark):
+    broken = ["SELECT FROM WHERE", "SELECT l_tax FROM lineitem WHERE", "SELECT l_tax FROM lineitem WHERE l_tax > 1 AND",
+              "SELECT * FORM lineitem", "select l_tax from lineitem where order by l_tax", "SELECT count(*) FROM",
+              "SELECT l_tax FROM lineitem WHERE l_tax IN (SELECT l_tax FROM lineitem WHERE)"]
+    assert [r for _, r in _validate(spark, broken)] == ["SQL parse error: incomplete clause."] * len(broken)
+    whole = ["SELECT * EXCEPT (l_tax) FROM lineitem", "SELECT * FROM lineitem", "select l_tax * l_discount from lineitem",
+             "SELECT l_tax FROM lineitem WHERE l_tax BETWEEN 1 AND 2 OR NOT l_tax IS DISTINCT FROM 3",
+             "SELECT 'x AND', \"FROM\" FROM lineitem", "SELECT t.by FROM lineitem t", "SELECT extract(year FROM l_shipdate) FROM lineitem",
+             "SELECT count(*) FILTER (WHERE l_tax > 1) OVER (PARTITION BY l_orderkey ORDER BY l_tax) FROM lineitem -- WHERE",
+             "SELECT CASE WHEN l_tax > 1 THEN 'FROM WHERE' ELSE 'b' END FROM lineitem"]
+    assert _validate(spark, whole) == [(True, None)] * len(whole)
+    both = "SELECT * EXCEPT (l_tax) FROM lineitem EXCEPT SELECT * FROM orders"
+    assert _validate(spark, [both])[0][1].startswith("Unsafe statement type: Except.")
+
+
 def test_long_and_deep_texts(spark):
     texts = ["SELECT '" + "x" * 1_000_000 + "' FROM orders", "SELECT '" + "''" * 50_000 + "' FROM orders",
              'SELECT "' + '""' * 50_000 + '" FROM orders', "SELECT '" + "''" * 50_000 + " FROM orders"]
