@@ -11,23 +11,20 @@ it (it only softens). Labels, language, source and id are never inputs.
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import known, saved, slices
 
 WORDS, SHAPES, DIM, REACH, NONZERO = 1 << 14, 1 << 10, 64, 2, 4
 UNITS = WORDS + SHAPES
-#: Tokens whose buckets a worker keeps; more are hashed again.
-CACHE = 50_000
 RATIOS = 6
-_FORM = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"},
-                       **{c: "9" for c in "0123456789"}})
-_AGAIN = re.compile(r"(.)\1+")
+#: Bytes of a shape: runs of a byte are written once, and this many count.
+SHAPE_BYTES = 12
+_FORM = np.arange(256, dtype=np.uint8)
+_FORM[ord("a"):ord("z") + 1], _FORM[ord("A"):ord("Z") + 1], _FORM[ord("0"):ord("9") + 1] = ord("a"), ord("A"), ord("9")
 
 
 def _index_vectors() -> np.ndarray:
@@ -39,28 +36,46 @@ def _index_vectors() -> np.ndarray:
     return out
 
 
-class _Buckets(dict):
-    """token -> word bucket * SHAPES + shape bucket."""
-
-    def __missing__(self, token: str) -> int:
-        if token.isalpha():
-            form = "a" if token.islower() else "A" if token.isupper() else "Aa"
-        else:
-            form = _AGAIN.sub(r"\1", token.translate(_FORM))[:12]
-        got = self[token] = zlib.crc32(token.encode()) % WORDS * SHAPES + zlib.crc32(form.encode()) % SHAPES
-        return got
-
-
-_buckets = _Buckets()
-
-
-def units(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Word and shape bucket of each token of a text."""
-    if len(_buckets) > CACHE:
-        _buckets.clear()
-    tokens = text.split()
-    both = np.fromiter(map(_buckets.__getitem__, tokens), np.int64, len(tokens))
-    return both // SHAPES, both % SHAPES + WORDS
+def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A polynomial hash, mixed, of each byte string ``data[at[i]:at[i + 1]]``."""
+    sizes = np.diff(at)
+    powers = np.cumprod(np.full(max(sizes.max(initial=0), 1), 0x100000001B3, np.uint64))
+    place = np.arange(len(data)) - np.repeat(at[:-1], sizes)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place])])[at]
+    h = sums[1:] - sums[:-1]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _shapes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same strings as shapes: letters and digits by class, runs of a byte once."""
+    form = _FORM[data]
+    first = np.zeros(len(data), bool)
+    first[at[:-1][np.diff(at) > 0]] = True
+    new = first.copy()
+    new[1:] |= form[1:] != form[:-1]
+    count = np.concatenate([[0], np.cumsum(new)])
+    keep = new & (count[1:] - np.repeat(count[at[:-1]], np.diff(at)) <= SHAPE_BYTES)
+    return form[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+
+
+def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and shape bucket of each token of some texts, and where each text ends among them.
+    Tokens are split and numbered in Arrow, and only distinct ones are hashed."""
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    at = np.frombuffer(at, np.int32)[:len(coded.dictionary) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[:at[-1]]
+    word = (_hashes(data, at) % np.uint64(WORDS)).astype(np.int64)
+    shape = (_hashes(*_shapes(data, at)) % np.uint64(SHAPES)).astype(np.int64) + WORDS
+    ids = coded.indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+    empty = np.diff(at) == 0
+    if empty.any():  # an empty text is split into one empty token
+        real = ~empty[ids]
+        ids, ends = ids[real], np.concatenate([[0], np.cumsum(real)])[ends]
+    return word[ids], shape[ids], ends
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
@@ -73,18 +88,12 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         signs = [index[np.arange(UNITS), d].astype(np.float64) for d in dims]
         total = np.zeros(UNITS * DIM)
         for s in slices(batches, 0):
-            # Documents of a slice in a row, with gaps of empty units between them.
-            words, shapes = [], []
-            gap = np.full(REACH, -1)
-            for t in s.column(0).to_pylist():
-                w, h = units(t or "")
-                words += [w, gap]
-                shapes += [h, gap]
-            for ids in (np.concatenate(words), np.concatenate(shapes)):
-                for step in range(1, REACH + 1):
-                    a, b = ids[:-step], ids[step:]
-                    real = (a >= 0) & (b >= 0)
-                    a, b = a[real], b[real]
+            words, shapes, ends = units(s.column(0))
+            of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))  # the text of each token
+            for step in range(1, REACH + 1):
+                near = np.flatnonzero(of[step:] == of[:-step])
+                for ids in (words, shapes):
+                    a, b = ids[near], ids[near + step]
                     for d, sign in zip(dims, signs):
                         total += np.bincount(a * DIM + d[b], sign[b], UNITS * DIM)
                         total += np.bincount(b * DIM + d[a], sign[a], UNITS * DIM)
@@ -103,16 +112,21 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def pooled(text: str, vectors: np.ndarray) -> np.ndarray:
-    """Features of a whole text: mean word vector, mean shape vector, ratios."""
-    out = np.zeros(2 * DIM + RATIOS, np.float32)
-    w, h = units(text)
-    n = len(w)
-    if n:
-        out[:DIM] = np.bincount(w, minlength=WORDS)[(u := np.unique(w))] @ vectors[u] / n
-        out[DIM:2 * DIM] = np.bincount(h - WORDS, minlength=SHAPES)[(v := np.unique(h)) - WORDS] @ vectors[v] / n
-        out[2 * DIM:] = (np.log1p(n) / 10, len(u) / n, (w[1:] == w[:-1]).sum() / n, len(v) / n, len(text) / n / 20,
-                         text.count("\n") / n)
+def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Features of each whole text: mean word vector, mean shape vector, ratios."""
+    words, shapes, ends = units(texts)
+    out = np.zeros((len(texts), 2 * DIM + RATIOS), np.float32)
+    chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    lines = pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy(zero_copy_only=False)
+    for i, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
+        n = end - start
+        if n:
+            w = words[start:end]
+            u, many = np.unique(w, return_counts=True)
+            v, often = np.unique(shapes[start:end], return_counts=True)
+            out[i, :DIM] = many @ vectors[u] / n
+            out[i, DIM:2 * DIM] = often @ vectors[v] / n
+            out[i, 2 * DIM:] = (np.log1p(n) / 10, len(u) / n, (w[1:] == w[:-1]).sum() / n, len(v) / n, chars[i] / n / 20, lines[i] / n)
     return out
 
 
@@ -177,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int
 
     def run(batches):
         for s in slices(batches, 2):
-            x = [pooled(t or "", vectors).tolist() for t in s.column(2).to_pylist()]
+            x = pooled(s.column(2), vectors).tolist()
             yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
     rows = (known(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
@@ -203,8 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, at_least: float = 0.3, keep_text:
 
     def run(batches):
         for s in slices(batches):
-            x = np.array([pooled(t or "", vectors) for t in s.column(1).to_pylist()], float)
-            p = net(x)
+            p = net(pooled(s.column(1), vectors).astype(float))
             yield pa.RecordBatch.from_arrays([*s.columns, pa.array(p), pa.array((p >= at_least).astype(np.int32))],
                                              [*s.schema.names, "score", "predicted"])
 
