@@ -29,6 +29,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, once its session hands rows to Python in batches of at most
+    ``SLICE_BYTES``: a batch counts in the JVM and in Python, in and out, for every core."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key).rstrip("bB")) <= SLICE_BYTES:
+        conf.set(key, str(SLICE_BYTES))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``size`` bytes (or elements) in the column number ``text``; empty ones
     go."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import known, saved, slices
+from tessera.llm.common import known, saved, slices, small_batches
 
 WORDS, SHAPES, DIM, REACH, NONZERO = 1 << 14, 1 << 10, 64, 2, 4
 UNITS = WORDS + SHAPES
@@ -211,7 +211,7 @@ def score(docs: DataFrame, labels: DataFrame, at_least: float = 0.3, keep_text:
     The vectors (some 4 MB, whatever the corpus) and the network go to the tasks; texts are
     never shuffled.
     """
-    vectors = context_vectors(docs)
+    vectors = context_vectors(small_batches(docs))
     net = train(docs, labels, vectors)
     d = known(docs, doc_id="long", text="string", **(dict(lang="string", source="string", n_chars="long") if keep_text else {}))
 
