@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import known, slices
+from tessera.llm.common import known, slices, small_batches
 
 CACHE = 50_000
 #: Bytes of text cut into pieces at a time.
@@ -235,7 +235,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = True, with_text:
             yield pa.RecordBatch.from_arrays(cols, names)
         c.forget()
 
-    return known(docs, **{id_col: "long", text_col: "string"}).mapInArrow(run, schema)
+    return known(small_batches(docs), **{id_col: "long", text_col: "string"}).mapInArrow(run, schema)
 
 
 def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -247,4 +247,4 @@ def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "id
             texts = [b"".join(c.bytes_of[i] for i in row or ()).decode("utf-8", "replace") for row in s.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([s.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return known(ids, **{id_col: "long", ids_col: "array<int>"}).mapInArrow(run, "doc_id long, text string")
+    return known(small_batches(ids), **{id_col: "long", ids_col: "array<int>"}).mapInArrow(run, "doc_id long, text string")
