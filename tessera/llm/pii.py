@@ -1,15 +1,18 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
-A protected entity is a value that the base patterns find (an address, a number). The method is
-information-theoretic: over the whole corpus it counts in how many different texts an entity
-``c`` occurs, in how many a term ``t`` stands within ``window`` words of it, and in how many
-documents ``t`` occurs at all. The term discloses the entity if the pointwise mutual
-information reaches a share of the entity's information content,
-
-    log(n(c,t) N / (n(t) n(c))) >= alpha log(N / n(c)),
-
-with at least ``min_texts`` different texts as evidence (copies of a text are one). Such terms
-are marked wherever they occur; ``sanitise`` generalises or removes them.
+A protected entity is a value that the base patterns find (an address, a number), and each kind
+of value as a whole. The method is information-theoretic: over the whole corpus it counts in how
+many different texts an entity ``c`` occurs, in how many a term ``t`` stands within ``window``
+words of it, and in how many documents ``t`` occurs at all. The term discloses the entity if the
+pointwise mutual information reaches a share of the entity's information content,
+
+    log(p(c|t) / p(c)) >= alpha log(1 / p(c)),  p(c) = n(c) / N,
+    p(c|t) = (n(c,t) + prior p(c)) / (n(t) + prior).
+
+The prior, in texts, stands for what is expected without evidence, so that a term seen once or
+twice has to disclose more than one seen often; no pair is left out for being rare (unless by
+``min_texts``). Such terms are marked wherever they occur; ``sanitise`` generalises or removes
+them.
 """
 
 from __future__ import annotations
@@ -94,7 +97,8 @@ def words(text: str) -> list[bytes]:
 
 
 def near_entities(text: str, window: int) -> set[tuple[str, str]]:
-    """(entity, term) pairs of a text: the ``window`` words on either side of each entity."""
+    """(entity, term) pairs of a text: the ``window`` words on either side of each entity, for
+    the value (``kind:value``) and for its kind (``kind``)."""
     out = set()
     spans = base_spans(text)
     if not spans:
@@ -107,9 +111,10 @@ def near_entities(text: str, window: int) -> set[tuple[str, str]]:
         j = i
         while j < len(found) and found[j][0] < span[2]:
             j += 1
-        e = _entity(text, span)
-        out.update((e, _lower(text[a:b])) for a, b in chain(found[max(0, i - window):i], found[j:j + window]))
-        out.add((e, ""))  # the entity itself
+        near = [_lower(text[a:b]) for a, b in chain(found[max(0, i - window):i], found[j:j + window])]
+        for e in (_entity(text, span), KINDS[span[1]]):
+            out.update((e, t) for t in near)
+            out.add((e, ""))  # the entity itself
     return out
 
 
@@ -153,18 +158,26 @@ def _sent(terms: DataFrame, max_sent: int) -> set[bytes] | None:
     return {r[0].encode() for r in terms.select("term").distinct().toLocalIterator()}
 
 
-def disclosing_terms(docs: DataFrame, window: int = 8, min_texts: int = 3, alpha: float = 0.9,
-                     max_sent: int = MAX_SENT) -> DataFrame:
-    """(term, entity, share): the terms that disclose an entity; share is PMI / IC."""
+def disclosing_terms(docs: DataFrame, window: int = 8, min_texts: int = 1, alpha: float = 0.9,
+                     max_sent: int = MAX_SENT, prior: float = 1.0) -> DataFrame:
+    """(term, entity, share): the terms that disclose an entity (``kind:value``, or ``kind`` for
+    all of its values); share is PMI / IC."""
     d = known(docs, text="string")
     pairs = saved(_pairs(d, window).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
                   .where(F.col("n_ct") >= min_texts), "pii-pairs")
-    joint, own = pairs.where("term != ''"), pairs.where("term = ''").select("entity", F.col("n_ct").alias("n_c"))
-    candidates = saved(joint.select("term").distinct(), "pii-terms")
-    counts = _term_counts(d, _sent(candidates, max_sent))
     total = d.where("text != ''").count()
-    found = joint.join(own, "entity").join(counts, "term").where(F.col("n_c") < total).withColumn(
-        "share", F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n") * F.col("n_c"))) / F.log(F.lit(float(total)) / F.col("n_c")))
+    joint, own = pairs.where("term != ''"), pairs.where("term = ''").select("entity", F.col("n_ct").alias("n_c")).where(F.col("n_c") < total)
+    kind = F.col("entity").isin(*KINDS)  # few and hot: sent, not dealt by entity
+    joint = joint.where(~kind).join(own.where(~kind), "entity").union(joint.where(kind).join(F.broadcast(own.where(kind)), "entity"))
+    p, weight = F.col("n_c") / F.lit(float(total)), F.lit(float(prior))
+    joint = saved(joint.withColumn("most", (F.col("n_ct") + weight * p) / F.pow(p, F.lit(1.0 - alpha)) - weight), "pii-joint")
+    # Terms in more documents than any of their entities allows go before the join, so no common word is a hot key.
+    allowed = saved(joint.groupBy("term").agg(F.max("most").alias("allowed")).where(f"allowed >= {1 - 1e-9}"), "pii-terms")
+    counts = saved(_term_counts(d, _sent(allowed, max_sent)).join(allowed, "term").where("n <= allowed * (1 + 1e-9)").select("term", "n"), "pii-counts")
+    if broadcastable(counts, max_sent):
+        counts = F.broadcast(counts)
+    share = F.log((F.col("n_ct") + weight * p) / ((F.col("n") + weight) * p)) / F.log(1 / p)
+    found = joint.join(counts, "term").withColumn("share", share)
     return saved(found.where(F.col("share") >= alpha).select("term", "entity", "share"), "pii-disclosing")
 
 

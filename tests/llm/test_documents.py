@@ -164,6 +164,32 @@ def test_pii_terms(spark, docs, none):
     assert pii.find(none, pii.disclosing_terms(none)).count() == 0
 
 
+def test_pii_terms_of_the_query(spark):
+    """With the query's own parameters, against plain counts: terms of one value in one text and
+    terms of a kind in many."""
+    many = [(i, f"{prose(9)} fax{i % 3} hotline +1 (555) 010-{1000 + i} now {prose(9)}") for i in range(30)] + \
+        [(50, f"{prose(9)} onlyhere john@ex.org {prose(9)}"), (51, "now then")] + [(100 + i, f"{prose(12)} r{i}") for i in range(1500)]
+    d = spark.createDataFrame(many, "doc_id long, text string")
+    got = {(r.entity, r.term): r.share for r in pii.disclosing_terms(d).collect()}
+    n, n_t, n_ct = len(many), {}, {}
+    for _, x in many:
+        for t in set(WORD.findall(low(x))):
+            n_t[t] = n_t.get(t, 0) + 1
+        for p in pii.near_entities(x, 8):
+            n_ct[p] = n_ct.get(p, 0) + 1
+    want = {}
+    for (e, t), k in n_ct.items():
+        p = n_ct[e, ""] / n
+        share = np.log((k + p) / (n_t.get(t, 0) + 1) / p) / np.log(1 / p)
+        if t and share >= 0.9:
+            want[e, t] = share
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert {("email:john@ex.org", "onlyhere"), ("phone", "hotline"), ("phone", "fax1")} <= set(got)
+    assert not {t for _, t in got} & {v.lower() for v in VOCABULARY}
+    spans = {r.doc_id: r.n_term for r in pii.find(d, pii.disclosing_terms(d)).collect()}
+    assert spans[3] >= 2 and spans[50] == 1 and spans[100] == 0
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
