@@ -3,7 +3,8 @@
 A protected entity is a value that the base patterns find (an address, a number), and each kind
 of value as a whole. The method is information-theoretic: over the whole corpus it counts in how
 many different texts an entity ``c`` occurs, in how many a term ``t`` stands within ``window``
-words of it, and in how many documents ``t`` occurs at all. The term discloses the entity if the
+words of it, and in how many of the N texts ``t`` occurs at all (copies of a text are one text
+in all four). The term discloses the entity if the
 pointwise mutual information reaches a share of the entity's information content,
 
     log(p(c|t) / p(c)) >= alpha log(1 / p(c)),  p(c) = n(c) / N,
@@ -129,26 +130,36 @@ def _pairs(docs: DataFrame, window: int) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "entity string, term string, h long")
 
 
-def _term_counts(docs: DataFrame, only: set[bytes] | None) -> DataFrame:
-    """(term, n): documents that hold the term. Tasks add up what they see before the shuffle,
-    a bounded number of terms at a time."""
+def _copies(docs: DataFrame) -> DataFrame:
+    """(h, m): texts by hash that m rows hold, for m from 2 on."""
+    return saved(docs.groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("m")).where("m > 1"), "pii-copies")
+
+
+def _term_counts(docs: DataFrame, copies: DataFrame, only: set[bytes] | None, max_sent: int = MAX_SENT) -> DataFrame:
+    """(term, n): different texts that hold the term. Tasks add up what they see before the
+    shuffle, a bounded number of terms at a time, apart for each number m of copies: rows that
+    hold a text of m copies come m times, so their number is divided by m."""
 
     def flush(n):
-        return pa.RecordBatch.from_arrays([pa.array([t.decode() for t in n], pa.string()), pa.array(list(n.values()), pa.int64())],
-                                          ["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([t.decode() for t, _ in n], pa.string()), pa.array([m for _, m in n], pa.int64()),
+                                           pa.array(list(n.values()), pa.int64())], ["term", "m", "n"])
 
     def run(batches):
         n = Counter()
         for s in slices(batches, 0):
-            for t in s.column(0).to_pylist():
+            for t, m in zip(s.column(0).to_pylist(), s.column(1).to_pylist()):
                 seen = set(words(t or ""))
-                n.update(seen if only is None else seen & only)
+                n.update((x, m) for x in (seen if only is None else seen & only))
             if len(n) > MAX_SENT:
                 yield flush(n)
                 n.clear()
         yield flush(n)
 
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    if broadcastable(copies, max_sent):
+        copies = F.broadcast(copies)
+    each = docs.withColumn("h", F.xxhash64("text")).join(copies, "h", "left").select("text", F.coalesce("m", F.lit(1)).alias("m"))
+    return each.mapInArrow(run, "term string, m long, n long").groupBy("term", "m").agg(F.sum("n").alias("n")) \
+        .groupBy("term").agg(F.sum(F.expr("n div m")).alias("n"))
 
 
 def _sent(terms: DataFrame, max_sent: int) -> set[bytes] | None:
@@ -165,7 +176,9 @@ def disclosing_terms(docs: DataFrame, window: int = 8, min_texts: int = 1, alpha
     d = known(docs, text="string")
     pairs = saved(_pairs(d, window).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
                   .where(F.col("n_ct") >= min_texts), "pii-pairs")
-    total = d.where("text != ''").count()
+    d = d.where("text != ''")
+    copies = _copies(d)
+    total = d.count() - (copies.agg(F.sum(F.col("m") - 1)).first()[0] or 0)
     joint, own = pairs.where("term != ''"), pairs.where("term = ''").select("entity", F.col("n_ct").alias("n_c")).where(F.col("n_c") < total)
     kind = F.col("entity").isin(*KINDS)  # few and hot: sent, not dealt by entity
     joint = joint.where(~kind).join(own.where(~kind), "entity").union(joint.where(kind).join(F.broadcast(own.where(kind)), "entity"))
@@ -173,7 +186,7 @@ def disclosing_terms(docs: DataFrame, window: int = 8, min_texts: int = 1, alpha
     joint = saved(joint.withColumn("most", (F.col("n_ct") + weight * p) / F.pow(p, F.lit(1.0 - alpha)) - weight), "pii-joint")
     # Terms in more documents than any of their entities allows go before the join, so no common word is a hot key.
     allowed = saved(joint.groupBy("term").agg(F.max("most").alias("allowed")).where(f"allowed >= {1 - 1e-9}"), "pii-terms")
-    counts = saved(_term_counts(d, _sent(allowed, max_sent)).join(allowed, "term").where("n <= allowed * (1 + 1e-9)").select("term", "n"), "pii-counts")
+    counts = saved(_term_counts(d, copies, _sent(allowed, max_sent), max_sent).join(allowed, "term").where("n <= allowed * (1 + 1e-9)").select("term", "n"), "pii-counts")
     if broadcastable(counts, max_sent):
         counts = F.broadcast(counts)
     share = F.log((F.col("n_ct") + weight * p) / ((F.col("n") + weight) * p)) / F.log(1 / p)

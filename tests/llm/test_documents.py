@@ -190,6 +190,15 @@ def test_pii_terms_of_the_query(spark):
     assert spans[3] >= 2 and spans[50] == 1 and spans[100] == 0
 
 
+def test_pii_terms_count_copies_once(spark):
+    rows = [(i, f"{prose(9)} gatekeeper mary@ex.org {prose(9)}") for i in range(3)] + [(10 + i, f"{prose(12)} r{i}") for i in range(1500)]
+    one, many = (spark.createDataFrame(rows + rows[:1] * k + rows[-5:] * (k // 2) + [(-1, None), (-2, "")], "doc_id long, text string") for k in (0, 400))
+    terms = [sorted((r.term, r.entity, round(r.share, 9)) for r in pii.disclosing_terms(x, max_sent=m).collect())
+             for x, m in ((one, 10**6), (many, 10**6), (many, 0))]
+    assert terms[0] == terms[1] == terms[2]
+    assert ("gatekeeper", "email:mary@ex.org") in {x[:2] for x in terms[0]}
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
