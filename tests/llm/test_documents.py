@@ -91,6 +91,67 @@ def test_line_classes(docs, none):
     assert line_dedup.line_classes(none).count() == 0
 
 
+def edited(text, k):
+    for _ in range(k):
+        i = random.randrange(len(text) + 1)
+        text = random.choice([text[:i] + random.choice("xyzé ") + text[i:], text[:i] + text[i + 1:], text[:i] + random.choice("xyz中") + text[i + 1:]])
+    return text
+
+
+def spread_edits(text, k):
+    """k substitutions, as evenly spread as can be: the shortest runs without one."""
+    out = list(text)
+    for j in range(k):
+        out[(j + 1) * len(text) // (k + 1) - (j + 1 == k)] = "#"
+    return "".join(out)
+
+
+def near_lines():
+    """Lines with copies changed in about 5% of their length, at the borders of bands too."""
+    random.seed(11)
+    out = []
+    for n in (15, 19, 20, 21, 39, 40, 41, 59, 60, 79, 80, 99, 100, 119, 120, 179, 180, 260, 399, 400):
+        base = (prose(n) + "q" * n)[:n - 1] + "Q"
+        k = max(1, n // 20)
+        out += [base, spread_edits(base, k), spread_edits(base, k + 1), base[k:], base + "z" * k, base + "y" * (k + 1)]
+        out += [edited(base, max(1, k + more)) for more in (-1, 0, 0, 1, 2)]
+    return sorted({x for x in out if x.strip()})
+
+
+def plain_distance(a, b):
+    row, places = np.arange(len(b) + 1), np.arange(len(b) + 1)
+    b = np.array([ord(c) for c in b])
+    for i, c in enumerate(a, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != ord(c)))))
+        row = np.minimum.accumulate(new - places) + places
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 1])
+def test_line_classes_of_the_query(spark, hot):
+    """With the query's own thresholds, against every pair."""
+    texts = near_lines()
+    degree, parent = dict.fromkeys(texts, 0), {x: x for x in texts}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for b in texts[i + 1:]:
+            n = min(len(a), len(b))
+            k = max(1, n // 20)
+            if n >= 20 and abs(len(a) - len(b)) <= k and plain_distance(a, b) <= k:
+                degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.class_doc_id, r.n_links, r.kept) for r in line_dedup.line_classes(d, hot=hot).collect()}
+    first = [texts.index(min(y for y in texts if top(y) == top(x))) for x in texts]
+    assert got == {(i, first[i], degree[x], first[i] == i) for i, x in enumerate(texts)}
+    assert sum(degree.values()) > 100
+
+
 def test_deduplicated_texts(docs, none):
     got = {(r.doc_id, r.text) for r in line_dedup.deduplicated(docs).collect()}
     assert line_dedup.deduplicated(docs).count() == len(ROWS)
