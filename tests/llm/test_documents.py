@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -127,10 +128,8 @@ def plain_distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("hot", [line_dedup.HOT, 1])
-def test_line_classes_of_the_query(spark, hot):
-    """With the query's own thresholds, against every pair."""
-    texts = near_lines()
+def plain_classes(texts):
+    """(number of links, first of the class) of each text, by the query's thresholds and every pair."""
     degree, parent = dict.fromkeys(texts, 0), {x: x for x in texts}
 
     def top(x):
@@ -145,13 +144,38 @@ def test_line_classes_of_the_query(spark, hot):
             if n >= 20 and abs(len(a) - len(b)) <= k and plain_distance(a, b) <= k:
                 degree[a], degree[b] = degree[a] + 1, degree[b] + 1
                 parent[max(top(a), top(b))] = min(top(a), top(b))
+    return degree, {x: min(y for y in texts if top(y) == top(x)) for x in texts}
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 1])
+def test_line_classes_of_the_query(spark, hot):
+    texts = near_lines()
+    degree, first = plain_classes(texts)
     d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.class_doc_id, r.n_links, r.kept) for r in line_dedup.line_classes(d, hot=hot).collect()}
-    first = [texts.index(min(y for y in texts if top(y) == top(x))) for x in texts]
-    assert got == {(i, first[i], degree[x], first[i] == i) for i, x in enumerate(texts)}
+    assert got == {(i, texts.index(first[x]), degree[x], first[x] == x) for i, x in enumerate(texts)}
     assert sum(degree.values()) > 100
 
 
+def test_pipeline_stage_drops_near_lines(spark):
+    """The stage as the pipeline runs it, against every pair of lines."""
+    sys.path.insert(0, ".")
+    import corpus_pipeline
+
+    texts = near_lines()
+    first = plain_classes(texts)[1]
+    rows = [(i, "\n".join(texts[i::20]), "en", "s", 1) for i in range(20)]
+    places = {x: (i, k) for i, r in enumerate(rows) for k, x in enumerate(r[1].split("\n"))}
+    head = {}
+    for x in sorted(texts, key=places.get):
+        head.setdefault(first[x], x)
+    want = {i: "\n".join(x for x in r[1].split("\n") if head[first[x]] == x) for i, r in enumerate(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "")
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    assert sum(map(len, want.values())) < sum(len(r[1]) for r in rows)
+
+
 def test_deduplicated_texts(docs, none):
     got = {(r.doc_id, r.text) for r in line_dedup.deduplicated(docs).collect()}
     assert line_dedup.deduplicated(docs).count() == len(ROWS)
