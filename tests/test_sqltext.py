@@ -117,3 +117,16 @@ def test_canonical_spacing_cases(spark):
 def test_canonical_keeps_literals(spark):
     df = one_col(spark, ["select 'a , b ( c )' , f (x) from t"]).select(st.canonical_sql("v").alias("c"))
     assert df.first()["c"] == "SELECT 'a , b ( c )', f(x) FROM t"
+
+
+def test_strip_is_linear(spark):
+    """A run of blanks of any length, inside or around, costs no more than reading it."""
+    import time
+
+    texts = ["a" + " " * 1_000_000 + "b", " " * 1_000_000 + "x", "\u3000\x1c\n y\u2009\x85", "```sql\n" + "z" + " " * 1_000_000 + "z\n```"]
+    df = one_col(spark, texts)
+    df.select(st.py_strip("v"), st.strip_fences("v")).collect()
+    start = time.perf_counter()
+    got = [tuple(r) for r in df.orderBy("id").select(st.py_strip("v"), st.strip_fences("v")).collect()]
+    assert time.perf_counter() - start < 5
+    assert got == [(texts[0], texts[0]), ("x", "x"), ("y", "y"), (texts[3], "z" + " " * 1_000_000 + "z")]
