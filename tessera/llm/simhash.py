@@ -54,14 +54,19 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null texts have no words: 0."""
+    """(doc_id, t, fp): a hash of the text, and its fingerprint as a signed long. Null texts have no
+    words: 0."""
 
     def run(batches):
         for s in slices(batches):
             fp = np.array([fingerprint(t or "", shingle) for t in s.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(fp.view(np.int64))], ["doc_id", "t", "fp"])
 
-    return known(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    return known(docs, doc_id="long", text="string").select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, t long, fp long")
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
 
 
 def _unary(fp: str) -> str:
@@ -119,6 +124,15 @@ def link(nodes: DataFrame, most: int = 4) -> DataFrame:
     return every.join(second, "part", "left").select("node", F.coalesce("whole", "part").alias("component")).distinct()
 
 
+def _components(docs: DataFrame, shingle: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, fp) of every row, and (fp, low, component): the fingerprints, their smallest id and
+    the fingerprint that names their component."""
+    fps = saved(fingerprints(docs, shingle), "simhash-fp")
+    nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    linked = saved(link(nodes.select(F.col("fp").alias("node")), most), "simhash-linked")
+    return fps, nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id: the smallest id
     that can be reached over links of at most ``most`` differing bits.
@@ -127,19 +141,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     part in links and gets its component's smallest id (null if no row there has one). Repeated
     rows each have a row. Further columns are ignored; an empty table gives no rows.
     """
-    fps = saved(fingerprints(docs, shingle), "simhash-fp")
-    nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    linked = saved(link(nodes.select(F.col("fp").alias("node")), most), "simhash-linked")
-    of = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    fps, of = _components(docs, shingle, most)
     lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
     to = of.join(lows, "component").select("fp", "component_id")
     return fps.join(to, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """The rows of documents, one of each component: that with the smallest id (of rows that
-    repeat this id, one). Rows without an id cannot be named and stay."""
+    """The rows of documents, one of each component: that with the smallest id, of texts under this
+    id that with the smallest hash, of rows equal in both any one. Texts that are not linked both
+    stay, also under one id. Rows without an id cannot be named and stay. Null and empty texts are
+    one text; further columns are ignored; an empty table gives no rows."""
     d = known(docs, doc_id="long", text="string", lang="string", source="string", n_chars="long")
-    heads = near_duplicates(docs, shingle, most).where("doc_id = component_id").select("doc_id").distinct()
-    return d.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]) \
-        .select(d.columns).union(d.where("doc_id is null"))
+    fps, of = _components(docs, shingle, most)
+    heads = fps.where("doc_id is not null").join(of, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("head"))
+    return d.withColumn("t", _text_hash()).where("doc_id is not null").join(heads.select("head.*"), ["doc_id", "t"], "left_semi") \
+        .dropDuplicates(["doc_id", "t"]).select(d.columns).union(d.where("doc_id is null"))
