@@ -212,6 +212,28 @@ def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("id"), F.explode(arr).alias("c")).select("id", "c.iteration", "c.text")
 
 
+def repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded answers of a repair model, turn by turn ``(id, turn, text, error)``: the candidates
+    above in order, after a first turn that calls tools for some keys, by key mod 7: validate_sql; that
+    and analyze_errors; a tool that does not exist. On key mod 11 = 10 the second turn fails."""
+    o = spread(table(spark, sf_dir, "orders"))
+    m = F.col("o_orderkey") % 7
+    sql = F.concat(F.lit("SELET "), F.col("o_orderkey").cast("string"))
+
+    def call(name, **inputs):
+        return F.struct(F.lit(name).alias("name"), F.create_map(*[x for k, v in inputs.items() for x in (F.lit(k), v)]).alias("input"))
+
+    validate = call("validate_sql", sql=sql)
+    analyze = call("analyze_errors", broken_sql=sql, error_message=F.lit("not a statement"))
+    first = F.when(m == 0, F.array(validate)).when(m == 1, F.array(validate, analyze)).when(m == 2, F.array(call("run_sql", sql=sql)))
+    first = o.select(F.col("o_orderkey").alias("id"), first.alias("tool_calls")).where("tool_calls is not null") \
+        .select("id", F.lit(1).cast("long").alias("turn"), F.to_json(F.struct("tool_calls")).alias("text"))
+    later = repair_candidates(spark, sf_dir).select(
+        "id", (F.col("iteration") + F.when(F.col("id") % 7 <= 2, 1).otherwise(0)).cast("long").alias("turn"), "text")
+    lost = (F.col("id") % 11 == 10) & (F.col("turn") == 2)
+    return first.unionByName(later).select("id", "turn", F.when(~lost, F.col("text")).alias("text"), F.when(lost, F.lit("timeout")).alias("error"))
+
+
 def pair_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows of a pair CSV rendered from ``pairs``, by key mod 8: plain; no question;
     padded with whitespace; empty SQL; question ``NA``; SQL over two lines; blank SQL;

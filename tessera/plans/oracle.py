@@ -826,6 +826,28 @@ FROM cand c JOIN jobs j ON j.id = c.id
 """)
 
 
+# The outcome in closed form: a first turn of tools (key mod 7 < 3) shifts the candidates by one turn,
+# and the first of these ends a job: the critic's failure in that turn, the failure of turn 2, a
+# terminal candidate, the third candidate.
+_reg("repair_rounds", f"""
+WITH {REPAIR_BASE},
+s AS (SELECT id, CASE WHEN id % 7 <= 2 THEN 1 ELSE 0 END AS shift, id % 7 = 1 AND id % 5 = 4 AS critic_failed, id % 11 = 10 AS call_failed FROM jobs),
+e AS (SELECT s.*, coalesce(t.t, 3) AS last, t.t FROM s LEFT JOIN term t ON t.id = s.id),
+f AS (SELECT *, CASE WHEN critic_failed THEN 0 WHEN call_failed AND last + shift >= 2 THEN 1 - shift ELSE last END AS iterations,
+             CASE WHEN critic_failed THEN 1 WHEN call_failed AND last + shift >= 2 THEN 2 ELSE last + shift END AS turns,
+             CASE WHEN critic_failed OR call_failed AND last + shift >= 2 THEN 'timeout' END AS error FROM e),
+g AS (SELECT f.id, string_agg(CASE c.kind WHEN 'give_up' THEN printf('iteration %d: agent gave up', c.iteration)
+                                   WHEN 'fixed' THEN printf('iteration %d: fixed SQL validated successfully', c.iteration)
+                                   ELSE printf('iteration %d: candidate SQL still invalid — %s', c.iteration, c.reason) END, chr(10) ORDER BY c.iteration) AS lines
+      FROM f JOIN cand c ON c.id = f.id AND c.iteration <= f.iterations GROUP BY f.id)
+SELECT f.id, CASE WHEN error IS NULL AND c.kind <> 'give_up' THEN c.clean END AS fixed_sql, error IS NULL AND c.kind = 'fixed' AS success,
+       CAST(f.iterations AS BIGINT) AS iterations, CAST(f.turns AS BIGINT) AS turns, f.error,
+       concat_ws(chr(10), CASE WHEN critic_failed OR shift = 0 THEN NULL WHEN f.id % 7 = 0 THEN 'iteration 1: called tools [''validate_sql'']'
+                               WHEN f.id % 7 = 1 THEN 'iteration 1: called tools [''validate_sql'', ''analyze_errors'']' ELSE 'iteration 1: called tools [''run_sql'']' END,
+                 g.lines, CASE WHEN error IS NULL AND f.t IS NULL THEN 'max iterations (3) reached without a valid fix' END) AS history
+FROM f LEFT JOIN g ON g.id = f.id LEFT JOIN cand c ON c.id = f.id AND c.iteration = f.iterations
+""")
+
 # ----------------------------------------------------------------------------- ingest
 
 from tessera.sources.pairs import MISSING_MARKERS as _NA  # noqa: E402

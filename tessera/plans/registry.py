@@ -69,6 +69,7 @@ def all_queries() -> dict[str, QueryFn]:
         "repair_outcome": repairs.q_repair_outcome,
         "repair_history": repairs.q_repair_history,
         "repair_observations": repairs.q_repair_observations,
+        "repair_rounds": repairs.q_repair_rounds,
         "ingest_pairs": ingest.q_ingest_pairs,
         "fill_missing_nlq": ingest.q_fill_missing_nlq,
         "stream_ingest_pairs": ingest.q_stream_ingest_pairs,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sqltext as st
 from tessera.operators import repair
+from tessera.operators.repair_rounds import recorded_turns, repair_rounds
 from tessera.plans import bindings
 
 MAX_ITERATIONS = 3
@@ -32,3 +33,11 @@ def q_repair_history(spark: SparkSession, d: str) -> DataFrame:
 
 def q_repair_observations(spark: SparkSession, d: str) -> DataFrame:
     return repair.repair_observations(repair_jobs(spark, d), bindings.repair_candidates(spark, d), MAX_ITERATIONS)
+
+
+def q_repair_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Round by round, with calls of tools, failed calls and the critic's answers."""
+    critic = bindings.recorded_responses(spark, d).where("call = 'critic'").select("id", "text", "error")
+    jobs = repair_jobs(spark, d).checkpoint(eager=True)
+    turns = bindings.repair_turns(spark, d).join(jobs.select("id"), "id", "left_semi").checkpoint(eager=True)
+    return repair_rounds(jobs, recorded_turns(turns, critic.join(jobs.select("id"), "id", "left_semi").checkpoint(eager=True)), MAX_ITERATIONS)

@@ -81,7 +81,7 @@ def test_a_second_run_makes_no_call(spark, tmp_path):
             return None if human == "nothing" else f"```sql\n{human}\n```"
         return fn
 
-    store = AnswerStore(spark, str(tmp_path / "answers"))
+    store = AnswerStore(spark, str(tmp_path / "answers"), digits=1)
     req = spark.createDataFrame([(i, "s", h, 0.0) for i, h in enumerate(["a", "b", "a", "second", "never", "nothing"])],
                                 "id long, system string, human string, temperature double")
     got = {r.id: (r.text, r.error, r.reused) for r in store.ask(req, factory, attempts=2, pause=0.01).collect()}
