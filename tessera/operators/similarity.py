@@ -9,7 +9,7 @@ visible; none for an empty corpus. Optional filters:
 * ``asof``: a query only sees corpus rows whose ``(run, ordinal)`` key is strictly
   smaller than its own (lessons written by earlier runs or earlier items of its run).
 
-Three physical strategies, picked from a size check (never from a guess):
+Physical strategies, picked from a size check (never from a guess):
 
 1. ``broadcast_corpus``: the corpus fits the broadcast bound. Queries stay where they are
    and each Arrow batch is scored against the broadcast matrix. No shuffle at all.
@@ -17,10 +17,10 @@ Three physical strategies, picked from a size check (never from a guess):
    partitions are scored against the broadcast query matrix, each partition keeps its
    local top-k per query, and one window merges the partial lists (the shuffle carries
    at most ``k`` rows per query and partition).
-3. ``blocked``: neither side fits. Both sides are cut into hash blocks of bounded size;
-   every (query block, corpus block) pair meets in one cogroup task, which emits only its
-   local top-k per query; a window merges them. Memory per task is bounded by the
-   block size, whatever the table sizes.
+3. neither side fits: ``cells``, or ``ranges`` for an as-of search (:mod:`similarity_cells`).
+   The corpus is cut by pivots or by its key, and a query meets only the blocks that may hold
+   one of its hits. ``blocked``, on request: every hash block of queries meets every one of the
+   corpus. Memory per task is bounded by the block size, whatever the table sizes.
 
 No strategy materialises the pairs: a task computes one score matrix per chunk and emits
 top-k rows only.
@@ -263,13 +263,15 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                     strategy: str = "auto",
                     broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
                     block_bytes: int = DEFAULT_BLOCK_BYTES,
-                    lsh: dict | None = None) -> DataFrame:
+                    lsh: dict | None = None, cells: dict | None = None, stats: dict | None = None) -> DataFrame:
     """Exact top-k inner-product join. Returns ``query_id, rank, id, score`` rows.
 
     ``asof=((q_run, q_ord), (c_run, c_ord))`` keeps only corpus rows with
     ``(c_run, c_ord) < (q_run, q_ord)``. ``strategy`` is ``auto`` or one of
-    ``broadcast_corpus``, ``broadcast_queries``, ``blocked`` (all exact), or
-    ``approx_lsh`` (approximate, only on request; ``lsh`` passes its parameters).
+    ``broadcast_corpus``, ``broadcast_queries``, ``cells``, ``ranges``, ``blocked`` (all exact),
+    or ``approx_lsh`` (approximate, only on request; ``lsh`` passes its parameters). ``cells``
+    passes parameters of the plan of that name; ``stats``, a dictionary, is told how many
+    (query, row) pairs and copied rows the plans of cells and ranges came to.
     """
     spark = queries.sparkSession
     if k is None or k <= 0:
@@ -286,7 +288,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
             strategy = "broadcast_corpus"
         else:
             sizes["q"] = _size_of(q, "_qvec")
-            strategy = "broadcast_queries" if _side_bytes(*sizes["q"]) <= broadcast_limit_bytes else "blocked"
+            strategy = "broadcast_queries" if _side_bytes(*sizes["q"]) <= broadcast_limit_bytes else "ranges" if asof else "cells"
 
     if strategy == "broadcast_corpus":
         return _plan_broadcast_corpus(spark, q, c, k, exclude_self, key_q, key_c,
@@ -296,6 +298,12 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                                        broadcast_limit_bytes, sizes.get("q"))
     if strategy == "blocked":
         return _plan_blocked(q, c, k, exclude_self, key_q, key_c, block_bytes, sizes)
+    if strategy in ("cells", "ranges"):
+        from tessera.operators import similarity_cells
+        told = stats if stats is not None else {}
+        if strategy == "ranges":
+            return similarity_cells.plan_ranges(q, c, k, exclude_self, key_q, key_c, block_bytes, sizes, told)
+        return similarity_cells.plan_cells(q, c, k, exclude_self, key_q, key_c, block_bytes, sizes, told, **(cells or {}))
     if strategy == "approx_lsh":
         return _plan_lsh(q, c, k, exclude_self, key_q, key_c, **(lsh or {}))
     raise ValueError(f"unknown strategy {strategy!r}")
@@ -379,31 +387,27 @@ def _plan_blocked(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, key_q,
     cx = (c.withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(cb)))
            .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>"))))
 
-    def run(qpdf, cpdf):
-        import pandas as pd
-        qs = _side_from_pandas(qpdf, "_qid", "_qvec", key_q)
-        cs = _side_from_pandas(cpdf, "_cid", "_cvec", key_c)
-        res = _score_and_rank(qs, cs, k, exclude_self)
-        return pd.DataFrame({"query_id": res[0], "rank": res[1], "id": res[2], "score": res[3]})
-
     partial = (qx.groupBy("_qb", "_cb")
                .cogroup(cx.groupBy("_qb", "_cb"))
-               .applyInPandas(run, HITS_SCHEMA))
+               .applyInArrow(_met(k, exclude_self, key_q, key_c), HITS_SCHEMA))
     return _merge_partial(partial, k)
 
 
-def _side_from_pandas(pdf, id_col: str, vec_col: str, key_cols) -> _Side:
-    if len(pdf) == 0:
-        return _Side(np.zeros(0, np.int64), np.zeros((0, 0)),
-                     None if key_cols is None else np.zeros((0, 2), np.int64))
-    vec = pdf[vec_col]
-    ok = vec.map(lambda v: v is not None and len(v) > 0).to_numpy()
-    mat = np.stack([np.asarray(v, dtype=np.float64) for v in vec[ok]]) if ok.any() else np.zeros((0, 0))
-    ids = pdf[id_col].to_numpy(dtype=np.int64)[ok]
-    keys = None
-    if key_cols is not None:
-        keys = pdf[list(key_cols)].to_numpy(dtype=np.int64)[ok]
-    return _Side(ids, mat, keys)
+def _met(k: int, exclude_self: bool, key_q, key_c):
+    """Body of a cogroup: the local top-k of the group's queries, read from Arrow's list buffers."""
+    def side(t: pa.Table, *cols) -> _Side:
+        whole = t.combine_chunks()
+        batch = whole.to_batches()[0] if whole.num_rows else pa.RecordBatch.from_pylist([], whole.schema)
+        return _side_from_batch(batch, *cols)
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if mine.num_rows and theirs.num_rows:
+            res = _score_and_rank(side(mine, "_qid", "_qvec", key_q), side(theirs, "_cid", "_cvec", key_c), k, exclude_self)
+        else:
+            res = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.Table.from_batches([_hits_batch(*res)])
+
+    return run
 
 
 # ----------------------------------------------------------------------------- helpers
@@ -507,14 +511,8 @@ def _plan_lsh(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, key_q, key
           .withColumn("_rq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sq") - 1)))
           .drop("_sq", "_sc"))
 
-    def run(qpdf, cpdf):
-        import pandas as pd
-        res = _score_and_rank(_side_from_pandas(qpdf, "_qid", "_qvec", key_q),
-                              _side_from_pandas(cpdf, "_cid", "_cvec", key_c), k, exclude_self)
-        return pd.DataFrame({"query_id": res[0], "rank": res[1], "id": res[2], "score": res[3]})
-
     keys = ["_t", "_b", "_rq", "_rc"]
-    partial = qx.groupBy(*keys).cogroup(cx.groupBy(*keys)).applyInPandas(run, HITS_SCHEMA)
+    partial = qx.groupBy(*keys).cogroup(cx.groupBy(*keys)).applyInArrow(_met(k, exclude_self, key_q, key_c), HITS_SCHEMA)
     # The same pair can be found through several tables (same score): keep it once.
     once = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return _merge_partial(once.withColumn("rank", F.lit(0).cast("long")), k)

@@ -73,6 +73,9 @@ WITH {_topk(ASOF_SCORES, 3)}
 SELECT query_id, rank, id, round(sc, 6) AS score FROM t
 """)
 
+_reg("topk_examples_cells", SQL["topk_examples"])
+_reg("topk_lessons_ranges", SQL["topk_lessons_asof"])
+
 _reg("retrieval_confidence", f"""
 WITH ex AS (WITH {_topk(EX_SCORES, 5)} SELECT query_id, avg(sc) AS m, count(*) AS n FROM t GROUP BY query_id),
      ls AS (WITH {_topk(ASOF_SCORES, 3)} SELECT query_id, avg(sc) AS m, count(*) AS n FROM t GROUP BY query_id)

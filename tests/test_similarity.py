@@ -38,7 +38,7 @@ def vecs(spark):
     return e, rows
 
 
-@pytest.mark.parametrize("strategy", ["broadcast_corpus", "broadcast_queries", "blocked"])
+@pytest.mark.parametrize("strategy", ["broadcast_corpus", "broadcast_queries", "blocked", "cells"])
 def test_strategies_equal_brute_force(spark, vecs, strategy):
     e, rows = vecs
     got = similarity_topk(e, e, 5, query_id="id", corpus_id="id", exclude_self=True, strategy=strategy,
@@ -46,7 +46,7 @@ def test_strategies_equal_brute_force(spark, vecs, strategy):
     assert _as_dict(got) == _brute(rows, rows, 5, exclude_self=True)
 
 
-@pytest.mark.parametrize("strategy", ["broadcast_corpus", "broadcast_queries", "blocked"])
+@pytest.mark.parametrize("strategy", ["broadcast_corpus", "broadcast_queries", "blocked", "cells", "ranges"])
 def test_asof_equal_brute_force(spark, vecs, strategy):
     e, rows = vecs
     got = similarity_topk(e, e, 3, query_id="id", corpus_id="id", strategy=strategy, block_bytes=20_000,
@@ -153,3 +153,38 @@ def test_spread_only_when_narrow(spark):
     assert spread(wide) is wide
     narrow = spark.range(0, 100, numPartitions=1)
     assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_cells_meet_fewer_pairs(spark):
+    """Clustered vectors, ties, copies, a zero vector and null ones: as by brute force, and most pairs
+    of queries and rows never meet."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 16)) * 4
+    vecs = np.concatenate([c + rng.standard_normal((25, 16)) * 0.1 for c in centres] + [np.repeat(centres[:1], 60, 0), np.zeros((1, 16))]).round(3)
+    rows = [(i, [float(x) for x in v], 0, 0) for i, v in enumerate(vecs.astype(np.float32))]
+    e = spark.createDataFrame([(i, v) for i, v, *_ in rows] + [(9001, None), (9002, [])], "id long, embedding array<float>").repartition(4)
+    q = e.where("id % 7 = 0")
+    stats = {}
+    got = similarity_topk(q, e, 4, query_id="id", corpus_id="id", exclude_self=True, strategy="cells", block_bytes=20_000, cells={"cell_rows": 8}, stats=stats)
+    want = _brute([r for r in rows if r[0] % 7 == 0], rows, 4, exclude_self=True)
+    assert _as_dict(got) == want
+    whole = sum(r[0] % 7 == 0 for r in rows) * len(rows)
+    assert stats["first_pairs"] + stats["second_pairs"] < whole / 4
+    none = similarity_topk(q, e.where("false"), 4, query_id="id", corpus_id="id", strategy="cells")
+    assert none.collect() == []
+
+
+def test_ranges_meet_only_what_comes_before(spark, vecs):
+    """Ranges above a query's key never meet it; a key that a third of the rows share is cut into parts."""
+    e, rows = vecs
+    stats = {}
+    asof = (("run", "ord"), ("run", "ord"))
+    got = similarity_topk(e, e, 3, query_id="id", corpus_id="id", strategy="ranges", block_bytes=10_000, asof=asof, stats=stats)
+    assert _as_dict(got) == {k: v for k, v in _brute(rows, rows, 3, asof=True).items() if v}
+    assert stats["ranges_pairs"] < 0.62 * len(rows) ** 2
+    hot = e.withColumn("ord", F.expr("if(id % 3 = 0, 7, ord)")).withColumn("run", F.expr("if(id % 3 = 0, 1, run)"))
+    hot_rows = [(i, v, 1 if i % 3 == 0 else r, 7 if i % 3 == 0 else o) for i, v, r, o in rows]
+    got = similarity_topk(hot, hot, 3, query_id="id", corpus_id="id", strategy="ranges", block_bytes=10_000, asof=asof)
+    assert _as_dict(got) == {k: v for k, v in _brute(hot_rows, hot_rows, 3, asof=True).items() if v}
+    with pytest.raises(ValueError):
+        similarity_topk(e, e, 3, query_id="id", corpus_id="id", strategy="ranges")
