@@ -512,6 +512,21 @@ SELECT user_id AS run_id,
        ts AS event_time, event_id FROM events
 """
 
+_reg("kb_append_stored", f"""
+WITH k AS (SELECT pair_id, md5(nlq || chr(31) || sql) AS k, o_orderstatus = 'F' AS old, o_orderpriority = '1-URGENT' AS batch
+           FROM ({PAIRS}) p JOIN orders ON o_orderkey = pair_id),
+d AS (SELECT k, substr(k, 1, 2) AS bucket, bool_or(old) AS old, bool_or(batch) AS batch, count(*) FILTER (old) AS n_old, count(*) FILTER (batch) AS n_batch FROM k GROUP BY k),
+n AS (SELECT sum(n_old) AS offered1, sum(n_batch) AS offered2, count(*) FILTER (old) AS added1, count(*) FILTER (batch AND NOT old) AS added2,
+             count(DISTINCT bucket) FILTER (old) AS t1, count(DISTINCT bucket) FILTER (batch) AS t2, count(DISTINCT bucket) FILTER (old AND batch) AS r2 FROM d)
+SELECT CAST(step AS INTEGER) AS step, CAST(CASE step WHEN 1 THEN offered1 ELSE offered2 END AS BIGINT) AS n_offered, CASE step WHEN 1 THEN added1 WHEN 2 THEN added2 ELSE 0 END AS n_added,
+       CASE step WHEN 1 THEN added1 ELSE added1 + added2 END AS n_after, CAST(CASE step WHEN 1 THEN t1 ELSE t2 END AS INTEGER) AS buckets_touched,
+       CAST(CASE step WHEN 1 THEN 0 WHEN 2 THEN r2 ELSE t2 END AS INTEGER) AS buckets_read, added1 + added2 AS n_stored, added1 + added2 AS n_embedded
+FROM n CROSS JOIN (SELECT unnest(range(1, 4)) AS step)
+""")
+
+_reg("stream_lessons", "SELECT min(id) AS lesson_id, " + ", ".join(_st.LESSON_FIELDS)
+     + f" FROM ({SQL['parse_lessons']}) WHERE ok GROUP BY " + ", ".join(_st.LESSON_FIELDS))
+
 _reg("run_status_latest", f"""
 SELECT run_id, status, event_time AS updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_time DESC, event_id DESC) AS rn FROM ({RUN_EVENTS}))

@@ -75,6 +75,8 @@ def all_queries() -> dict[str, QueryFn]:
         "ingest_pairs": ingest.q_ingest_pairs,
         "fill_missing_nlq": ingest.q_fill_missing_nlq,
         "stream_ingest_pairs": ingest.q_stream_ingest_pairs,
+        "stream_lessons": ingest.q_stream_lessons,
+        "kb_append_stored": ingest.q_kb_append_stored,
         "training_cycle_metrics": training.q_training_cycle_metrics,
     })
     q.update(workload.QUERIES)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 KEY = "content_key"
 _COMMITS = "commit string, replaces array<string>, n_offered long, n_added long, buckets_touched int, buckets_read int"
 _BLOOMS = "bucket string, n long, bits binary"
-BITS_PER_KEY, HASHES = 12, 8
+BITS_PER_KEY, HASHES = 20, 12
 
 
 def _places(keys: list[str], bits: int) -> np.ndarray:
@@ -128,14 +128,16 @@ class KeyedTable:
             one = one.join(self.rows(read).select(KEY), KEY, "left_anti").select(*self.schema.names)
         return one, touched, read
 
-    def append(self, batch: DataFrame, commit: str | None = None, order: str | None = None) -> Appended:
-        """Add the rows whose key is new. Under the name of a completed commit nothing is done again."""
+    def append(self, batch: DataFrame, commit: str | None = None, order: str | None = None, finish=None) -> Appended:
+        """Add the rows whose key is new. Under the name of a completed commit nothing is done again.
+        ``finish`` turns the new rows into those that are stored (it may fill columns that the batch
+        has as null), so that work on rows that are known already is not done."""
         commit = commit or uuid.uuid4().hex
         done = self.commits().where(F.col("commit") == commit).first()
         if done is not None:
             return Appended(commit, done.n_offered, 0, 0, 0, self.rows([]))
         fresh, touched, read = self.new(batch, order)
-        fresh = fresh.checkpoint(eager=True)
+        fresh = (finish(fresh).select(*self.schema.names) if finish else fresh).checkpoint(eager=True)
         sizes = (batch.count(), fresh.count(), len(touched), len(read))
         self._write(fresh, commit, [], sizes)
         return Appended(commit, *sizes, fresh)

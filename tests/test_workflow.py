@@ -101,12 +101,48 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     src.mkdir()
     (src / "1.csv").write_text("pair_id,nlq,sql,note\n1,a,SELECT 1,\n2,a,SELECT 1,\n3,b,SELECT 2,\n")
     table = str(tmp_path / "t")
-    stream_ingest(spark, str(src), table, str(tmp_path / "ck1"), RAW_SCHEMA)
-    stream_ingest(spark, str(src), table, str(tmp_path / "ck2"), RAW_SCHEMA)
-    rows = sorted((r["pair_id"], r["nlq"], r["sql"]) for r in spark.read.parquet(table).collect())
+    stream_ingest(spark, str(src), table, str(tmp_path / "ck1"), RAW_SCHEMA, digits=1)
+    t = stream_ingest(spark, str(src), table, str(tmp_path / "ck2"), RAW_SCHEMA, digits=1)
+    rows = sorted((r["pair_id"], r["nlq"], r["sql"]) for r in t.rows().collect())
     assert rows == [(1, "a", "SELECT 1"), (3, "b", "SELECT 2")]
 
 
+def test_many_micro_batches_give_the_same_table(spark, tmp_path):
+    """One file a batch or all at once: the same pairs. A batch that is replayed, and a file that
+    comes later, add what is new only."""
+    from tessera.streaming.ingest import pairs_table, stream_ingest
+    src = tmp_path / "src"
+    src.mkdir()
+    for f in range(5):
+        (src / f"{f}.csv").write_text("nlq,sql\n" + "".join(f"q{(f * 3 + i) % 8},SELECT {(f * 3 + i) % 8}\n" for i in range(4)))
+    one = stream_ingest(spark, str(src), str(tmp_path / "one"), str(tmp_path / "ck1"), digits=1)
+    many = stream_ingest(spark, str(src), str(tmp_path / "many"), str(tmp_path / "ck2"), files_per_batch=1, digits=1)
+    assert many.commits().count() == 5 and one.commits().count() == 1
+    key = lambda t: sorted((r.nlq, r.sql, r.content_key) for r in t.rows().collect())
+    assert key(one) == key(many) and len(key(one)) == 8
+    (src / "9.csv").write_text("nlq,sql\nq1,SELECT 1\nnew,SELECT 9\n")
+    later = stream_ingest(spark, str(src), str(tmp_path / "many"), str(tmp_path / "ck2"), files_per_batch=1, digits=1)
+    assert later.commits().count() == 6 and len(key(later)) == 9
+    assert len(key(pairs_table(spark, str(tmp_path / "many"), 1))) == 9
+
+
+def test_stream_of_lessons(spark, tmp_path):
+    import json
+
+    from tessera.sources.corpus import lessons_table
+    from tessera.streaming.ingest import stream_lessons
+    lesson = json.dumps({"title": "t", "trigger": "date questions", "diagnosis": "d", "fix_rule": "f", "error_category": "filter", "example": "e"})
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "1.json").write_text("".join(json.dumps({"id": i, "text": x}) + "\n" for i, x in enumerate([lesson, "Here: " + lesson, "none"])))
+    (src / "2.json").write_text(json.dumps({"id": 7, "text": lesson.replace("date", "join")}) + "\n")
+    t = lessons_table(spark, str(tmp_path / "t"), digits=1)
+    for ck in ("a", "b"):
+        stream_lessons(spark, str(src), t, str(tmp_path / ck), files_per_batch=1)
+    rows = sorted((r.lesson_id, r.trigger, len(r.embedding)) for r in t.rows().collect())
+    assert rows == [(0, "date questions", 64), (7, "join questions", 64)]
+
+
 def test_eval_with_live_model(spark):
     items = _items(spark, [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.8, 0.2])])
 
