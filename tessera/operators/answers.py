@@ -71,3 +71,13 @@ def _call(fn, system: str, human: str, temperature: float, attempts: int, pause:
         except Exception as e:  # noqa: BLE001 - any model failure becomes an error row
             error = f"{type(e).__name__}: {e}"
     return text, error, (time.perf_counter() - start) * 1000.0
+
+
+class StoredModel:
+    """A model and the store that its answers go through."""
+
+    def __init__(self, store: AnswerStore, fn_factory: ModelFactory, **options):
+        self.store, self.fn_factory, self.options = store, fn_factory, options
+
+    def ask(self, requests: DataFrame) -> DataFrame:
+        return self.store.ask(requests, self.fn_factory, **self.options)

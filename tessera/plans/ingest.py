@@ -29,16 +29,22 @@ def ingest(spark: SparkSession, d: str, files: int | None = None) -> DataFrame:
     return src.read_pairs_csv(spark, path)
 
 
-def fill_missing_nlq(pairs: DataFrame, responses: DataFrame) -> DataFrame:
+def fill_missing_nlq(pairs: DataFrame, responses) -> DataFrame:
     """Rows without a question get one from the model; a row whose call fails is dropped.
     Rows that have a question never reach the model."""
+    return filled_and_dropped(pairs, responses)[0]
+
+
+def filled_and_dropped(pairs: DataFrame, responses) -> tuple[DataFrame, DataFrame]:
+    """The filled pairs, and the rows (pair_id, sql, error) that went because their call failed.
+    ``responses``: a recorded table, or a ``StoredModel``."""
     have = pairs.filter(F.col("nlq") != "")
     need = pairs.filter(F.col("nlq") == "").withColumn("id", F.col("pair_id"))
     req = (need.withColumn("call", F.lit("nlq")).withColumn("system", F.lit(pr.NLQ_GEN_SYSTEM))
            .withColumn("human", pr.nlq_gen_human("sql")).withColumn("temperature", F.lit(0.0)))
-    got = model.recorded(req, responses, ["id", "call"])
+    got = model.recorded(req, responses, ["id", "call"]) if isinstance(responses, DataFrame) else responses.ask(req)
     filled = got.filter(F.col("error").isNull()).select("pair_id", F.col("text").alias("nlq"), "sql")
-    return have.select("pair_id", "nlq", "sql").unionByName(filled)
+    return have.select("pair_id", "nlq", "sql").unionByName(filled), got.filter(F.col("error").isNotNull()).select("pair_id", "sql", "error")
 
 
 def q_ingest_pairs(spark: SparkSession, d: str) -> DataFrame:

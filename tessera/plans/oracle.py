@@ -937,3 +937,6 @@ SELECT m.run_id, 'done' AS status, sz.n_train, sz.n_eval, sz.n_all AS n_examples
        {', '.join(f'round(m.{c}, 6) AS {c}' for c in _ROUND6)}
 FROM m, sz
 """)
+
+# A stored run gives what the same cycle in memory gives.
+_reg("training_run_stored", SQL["training_cycle_metrics"])

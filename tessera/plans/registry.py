@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import ensure_checkpoint_dir
 
-from tessera.plans import ingest, records, repairs, retrieval, text, training, workflow, workload
+from tessera.plans import ingest, records, repairs, retrieval, runs, text, training, workflow, workload
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,7 @@ def all_queries() -> dict[str, QueryFn]:
         "stream_lessons": ingest.q_stream_lessons,
         "kb_append_stored": ingest.q_kb_append_stored,
         "training_cycle_metrics": training.q_training_cycle_metrics,
+        "training_run_stored": runs.q_training_run_stored,
     })
     q.update(workload.QUERIES)
     return {k: _with_checkpoint_dir(f) for k, f in q.items()}

@@ -41,10 +41,11 @@ def _with_vector(table: KeyedTable, text: str, embed: Embed, batch: DataFrame, c
     return table.append(blank, commit, order, finish=lambda new: new.withColumn("embedding", embed(F.col(text)).cast(VECTOR.dataType)))
 
 
-def add_pairs(table: KeyedTable, pairs: DataFrame, embed: Embed = hash_embed, commit: str | None = None) -> Appended:
+def add_pairs(table: KeyedTable, pairs: DataFrame, embed: Embed = hash_embed, commit: str | None = None, by_id: bool = False) -> Appended:
     """Add pairs (pair_id, nlq, sql) whose question and SQL are new, their questions embedded; of
-    equal ones the smallest id."""
-    return _with_vector(table, "nlq", embed, pairs.withColumn(KEY, content_key()), commit, "pair_id")
+    equal ones the smallest id. ``by_id``: equal pairs under different ids all count."""
+    key = F.md5(F.concat_ws("\u001f", F.col("pair_id").cast("string"), content_key())) if by_id else content_key()
+    return _with_vector(table, "nlq", embed, pairs.withColumn(KEY, key), commit, "pair_id")
 
 
 def add_lessons(table: KeyedTable, lessons: DataFrame, embed: Embed = hash_embed, commit: str | None = None) -> Appended:
