@@ -186,6 +186,49 @@ def _score_and_rank(q: _Side, c: _Side, k: int, exclude_self: bool):
             np.concatenate(out_s))
 
 
+def _same(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different vector, and each row's number among those."""
+    rows = np.ascontiguousarray(mat + 0.0)  # -0.0 and 0.0 are one value
+    _, first, of = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
+def _few_of_each(c: _Side, k: int) -> _Side:
+    """The corpus without rows that no top-k can hold: of equal vectors those with the k + 1 least ids
+    (one of them may be the query itself). As-of keys hide rows, so there all stay."""
+    if c.keys is not None or len(c.ids) <= k + 1:
+        return c
+    first, of = _same(c.mat)
+    if len(first) == len(c.ids):
+        return c
+    order = np.lexsort((c.ids, of))
+    nth = np.arange(len(order)) - np.searchsorted(of[order], of[order], side="left")
+    keep = np.sort(order[nth <= k])
+    return _Side(c.ids[keep], c.mat[keep], None)
+
+
+def _rank_for_each(q: _Side, c: _Side, k: int, exclude_self: bool):
+    """``_score_and_rank`` in which equal query vectors are scored once; a query's own row goes from
+    the list of its vector, which is one longer for that."""
+    if q.keys is not None or len(q.ids) < 64:
+        return _score_and_rank(q, c, k, exclude_self)
+    first, of = _same(q.mat)
+    if 2 * len(first) > len(q.ids):
+        return _score_and_rank(q, c, k, exclude_self)
+    row, rank, cid, score = _score_and_rank(_Side(np.arange(len(first)), q.mat[first], None), c, k + exclude_self, False)
+    start = np.searchsorted(row, np.arange(len(first) + 1))
+    n = np.diff(start)[of]
+    query = np.repeat(np.arange(len(of)), n)
+    at = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[:-1][of], n)
+    qid, cid, score = q.ids[query], cid[at], score[at]
+    if exclude_self:
+        other = qid != cid
+        query, qid, cid, score = query[other], qid[other], cid[other], score[other]
+    rank = np.arange(len(query)) - np.searchsorted(query, query, side="left") + 1
+    keep = rank <= k
+    return qid[keep], rank[keep].astype(np.int64), cid[keep], score[keep]
+
+
 def _sorted_by_keys(c: _Side) -> _Side:
     """Corpus ordered by its as-of key (no-op when there is none or it is already sorted)."""
     if c.keys is None or len(c.ids) < 2:
@@ -319,14 +362,14 @@ def _plan_broadcast_corpus(spark: SparkSession, q: DataFrame, c: DataFrame, k: i
                            exclude_self: bool, key_q, key_c, limit: int, size=None) -> DataFrame:
     nc, dc = size or _size_of(c, "_cvec")
     _check_bound(nc, dc, limit, "corpus")
-    side = _sorted_by_keys(_collect_side(c, "_cid", "_cvec", key_c))
+    side = _few_of_each(_sorted_by_keys(_collect_side(c, "_cid", "_cvec", key_c)), k)
     bc = spark.sparkContext.broadcast(side)
 
     def run(batches):
         cs = bc.value
         for b in batches:
             qs = _side_from_batch(b, "_qid", "_qvec", key_q)
-            res = _score_and_rank(qs, cs, k, exclude_self)
+            res = _rank_for_each(qs, cs, k, exclude_self)
             if len(res[0]):
                 yield _hits_batch(*res)
 

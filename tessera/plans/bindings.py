@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.embed import hash_embed_batch
 from tessera.session import spread
 from tessera.sources.tables import table
 
@@ -146,6 +147,15 @@ def vector_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").cast("long").alias("run_id"), F.col("vec_id").alias("ordinal"))
 
 
+def question_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair as an item to evaluate: its question embedded, the digit of the order's priority as
+    run and the key as ordinal."""
+    p = pairs(spark, sf_dir).join(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("pair_id"), F.substring("o_orderpriority", 1, 1).cast("long").alias("run_id")), "pair_id")
+    return spread(p).select(F.col("pair_id").alias("id"), hash_embed_batch("nlq").alias("embedding"), "run_id",
+                            F.col("pair_id").alias("ordinal"), "nlq", F.col("sql").alias("gold_sql"))
+
+
 CALLS = ("sql1", "sql2", "critic", "lesson", "nlq")
 
 

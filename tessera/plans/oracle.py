@@ -546,14 +546,6 @@ UNION ALL
 SELECT item_id AS result_id, 'run' AS ref_kind, run_id AS ref_id FROM i
 WHERE run_id NOT IN (SELECT DISTINCT user_id FROM events)""")
 
-_reg("retry_gate", f"""
-WITH {_topk(EX_SCORES, 5)},
-conf AS (SELECT e.vec_id AS query_id, coalesce(avg(t.sc), 0.0) AS c FROM embeddings e LEFT JOIN t ON t.query_id = e.vec_id GROUP BY e.vec_id),
-src AS ({SQL_TEXTS}), {validate_ctes('src', 'id', 'sql')}
-SELECT conf.query_id, round(conf.c, 6) AS confidence, v_out.reason IS NULL AS valid,
-       (conf.c < 0.75 OR v_out.reason IS NOT NULL) AS retry
-FROM conf JOIN v_out ON v_out.id = conf.query_id""")
-
 _reg("hash_embed", f"""
 WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), {_lit(_st.WS + '+')}),
                                              lambda x: x <> '')) AS tok FROM documents),
@@ -594,10 +586,25 @@ SELECT o_orderkey, 'nlq', CASE WHEN o_orderkey % 9 = 0 THEN NULL
        CASE WHEN o_orderkey % 9 = 0 THEN 'timeout' END, base_ms + 5 FROM h
 """
 
-ITEMS = f"""
-SELECT e.vec_id AS id, e.embedding, CAST(e.label AS BIGINT) AS run_id, e.vec_id AS ordinal, p.nlq, p.sql AS gold_sql
-FROM embeddings e JOIN ({PAIRS}) p ON p.pair_id = e.vec_id
+def embed_ctes(src: str, id_col: str, text: str, prefix: str, dim: int = 64) -> str:
+    """CTEs ending in ``{prefix}_v(id, embedding)``: the hashed bag of words, unit length."""
+    p = prefix
+    return f"""
+{p}_b AS (SELECT {id_col} AS id, list_transform(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), {_lit(_st.WS + '+')}),
+                 lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim}) AS b FROM {src}),
+{p}_c AS (SELECT id, list_transform(range({dim}), lambda i: len(list_filter(b, lambda z: z = i))) AS c FROM {p}_b),
+{p}_n AS (SELECT id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm FROM {p}_c),
+{p}_v AS (SELECT id, list_transform(c, lambda x: CASE WHEN nrm > 0 THEN CAST(CAST(x / nrm AS FLOAT) AS DOUBLE) ELSE 0.0::DOUBLE END)
+                     AS embedding FROM {p}_n)
+"""
+
+
+QUESTIONS = f"""
+WITH pq AS (SELECT p.*, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS run_id FROM ({PAIRS}) p JOIN orders ON o_orderkey = p.pair_id),
+{embed_ctes('pq', 'pair_id', 'nlq', 'qe')}
+SELECT pq.pair_id AS id, qe_v.embedding, pq.run_id, pq.pair_id AS ordinal, pq.nlq, pq.sql AS gold_sql FROM pq JOIN qe_v ON qe_v.id = pq.pair_id
 """
+ITEMS = QUESTIONS
 
 
 def _answer_cte(name: str, src: str, call: str) -> str:
@@ -628,24 +635,27 @@ def _judge_ctes(name: str, text_src: str, text_col: str) -> str:
 
 
 def _topk_rel(name: str, scores: str, k: int) -> str:
+    """``{name}(query_id, id, sc, rank)``: the k best of ``scores`` per query, ties to the smaller id."""
     return f"""
-{name}_s AS ({scores}),
-{name} AS (SELECT * FROM (SELECT query_id, id, sc, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, id) AS rank
-                          FROM {name}_s) WHERE rank <= {k})
+{name}_s AS (SELECT query_id, max({{'s': sc, 'n': -id}}, {k}) AS best FROM ({scores}) GROUP BY query_id),
+{name} AS (SELECT query_id, -b.n AS id, b.s AS sc, rank FROM (SELECT query_id, unnest(best) AS b, unnest(range(1, len(best) + 1)) AS rank FROM {name}_s))
 """
 
 
-def embed_ctes(src: str, id_col: str, text: str, prefix: str, dim: int = 64) -> str:
-    """CTEs ending in ``{prefix}_v(id, embedding)``: the hashed bag of words, unit length."""
-    p = prefix
-    return f"""
-{p}_b AS (SELECT {id_col} AS id, list_transform(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), {_lit(_st.WS + '+')}),
-                 lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim}) AS b FROM {src}),
-{p}_c AS (SELECT id, list_transform(range({dim}), lambda i: len(list_filter(b, lambda z: z = i))) AS c FROM {p}_b),
-{p}_n AS (SELECT id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm FROM {p}_c),
-{p}_v AS (SELECT id, list_transform(c, lambda x: CASE WHEN nrm > 0 THEN CAST(CAST(x / nrm AS FLOAT) AS DOUBLE) ELSE 0.0::DOUBLE END)
-                     AS embedding FROM {p}_n)
-"""
+_reg("topk_turns", f"""
+WITH u AS (SELECT conv_id * {1 << 20} + turn AS id, text FROM conversations WHERE role = 'user'),
+{embed_ctes('u', 'id', 'text', 'ue')},
+{_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM ue_v q JOIN ue_v c ON q.id <> c.id", 5)}
+SELECT query_id, rank, id, round(sc, 6) AS score FROM ex""")
+
+_reg("retry_gate", f"""
+WITH items AS MATERIALIZED ({ITEMS}),
+{_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM items q JOIN items c ON q.id <> c.id", 5)},
+conf AS (SELECT i.id AS query_id, coalesce(avg(ex.sc), 0.0) AS c FROM items i LEFT JOIN ex ON ex.query_id = i.id GROUP BY i.id),
+src AS ({SQL_TEXTS}), {validate_ctes('src', 'id', 'sql')}
+SELECT conf.query_id, round(conf.c, 6) AS confidence, v_out.reason IS NULL AS valid,
+       (conf.c < 0.75 OR v_out.reason IS NOT NULL) AS retry
+FROM conf JOIN v_out ON v_out.id = conf.query_id""")
 
 
 def eval_sql(prelude: str, corpus: bool = False, trigger: bool = False) -> str:
@@ -687,15 +697,16 @@ LEFT JOIN cr ON cr.id = i.id LEFT JOIN ls ON ls.id = i.id LEFT JOIN lessons l ON
 """
 
 
-EVAL_ATTEMPTS = eval_sql(f"items AS ({ITEMS})")
+EVAL_ATTEMPTS = eval_sql(f"items AS MATERIALIZED ({ITEMS})", trigger=True)
 
 _reg("eval_attempts", EVAL_ATTEMPTS)
 _reg("eval_run_metrics", f"SELECT run_id, {_M_ROUNDED} FROM ({metrics_sql(EVAL_ATTEMPTS, ['run_id'])})")
 
 ANSWERS = f"""
-WITH items AS ({ITEMS}), resp AS ({RECORDED}),
+WITH items AS MATERIALIZED ({ITEMS}), resp AS ({RECORDED}),
 {LESSONS_OK},
-lessons AS (SELECT i.id AS lesson_id, i.embedding FROM items i JOIN lessons_ok l ON l.lesson_id = i.id),
+{embed_ctes('lessons_ok', 'lesson_id', "json_extract_string(js, '$.trigger')", 'tr')},
+lessons AS (SELECT id AS lesson_id, embedding FROM tr_v),
 {_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM items q JOIN items c ON q.id <> c.id", 5)},
 sim1 AS (SELECT i.id, coalesce(avg(ex.sc), 0.0) AS sim1 FROM items i LEFT JOIN ex ON ex.query_id = i.id GROUP BY i.id),
 {_answer_cte('a1', 'items', 'sql1')},
@@ -723,7 +734,7 @@ def _sql_lit_long(s: str) -> str:
 _HUMAN_HEAD = _lit("### Schema\n" + _pr.SCHEMA + "\n### Examples\n")
 
 EXAMPLE_BLOCKS = f"""
-items AS ({ITEMS}),
+items AS MATERIALIZED ({ITEMS}),
 {_topk_rel('ex', f"SELECT q.id AS query_id, c.id, {DOT.format(a='q.embedding', b='c.embedding')} AS sc FROM items q JOIN items c ON q.id <> c.id", 5)},
 exr AS (SELECT ex.query_id, ex.rank, ex.sc, p.nlq, p.sql FROM ex JOIN ({PAIRS}) p ON p.pair_id = ex.id),
 exn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM exr),

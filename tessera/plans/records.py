@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import sqltext as st
 from tessera.functions.embed import hash_embed_sparse
 from tessera.operators import metrics as mt
+from tessera.operators.similarity import mean_score, similarity_topk
 from tessera.operators.split import leakage_report, train_eval_split
 from tessera.plans import bindings, retrieval
 from tessera.session import spread
@@ -133,8 +134,9 @@ def q_fk_orphans(spark: SparkSession, d: str) -> DataFrame:
 def q_retry_gate(spark: SparkSession, d: str) -> DataFrame:
     """Retry when the retrieval confidence is below the threshold (strict) or the first
     attempt is not valid SQL."""
-    v = bindings.vector_items(spark, d)
-    conf = retrieval.mean_score(retrieval.example_hits(spark, d), v, "id", "confidence")
+    v = bindings.question_items(spark, d).select("id", "embedding").checkpoint(eager=True)
+    hits = similarity_topk(v, v, retrieval.EXAMPLES_K, query_id="id", corpus_id="id", exclude_self=True)
+    conf = mean_score(hits, v, "id", "confidence")
     first = st.with_validation(bindings.sql_texts(spark, d), "sql", "v").select(
         F.col("id").alias("query_id"), F.col("v_valid").alias("valid"))
     return (conf.join(first, "query_id")

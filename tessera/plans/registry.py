@@ -31,6 +31,7 @@ def all_queries() -> dict[str, QueryFn]:
         "topk_lessons_asof": retrieval.q_topk_lessons_asof,
         "topk_examples_cells": retrieval.q_topk_examples_cells,
         "topk_lessons_ranges": retrieval.q_topk_lessons_ranges,
+        "topk_turns": retrieval.q_topk_turns,
         "retrieval_confidence": retrieval.q_retrieval_confidence,
         "l2_normalize": retrieval.q_l2_normalize,
         "kb_counts": retrieval.q_kb_counts,

@@ -188,3 +188,14 @@ def test_ranges_meet_only_what_comes_before(spark, vecs):
     assert _as_dict(got) == {k: v for k, v in _brute(hot_rows, hot_rows, 3, asof=True).items() if v}
     with pytest.raises(ValueError):
         similarity_topk(e, e, 3, query_id="id", corpus_id="id", strategy="ranges")
+
+
+@pytest.mark.parametrize("strategy", ["broadcast_corpus", "broadcast_queries"])
+def test_many_equal_vectors(spark, strategy):
+    """Equal vectors are scored once; ties still go to the smaller ids, and a query never finds itself."""
+    kinds = [[1.0, 0.0, 0.0], [0.5, 0.75, 0.0], [0.0, 0.0, 1.0], [-0.0, 0.0, 1.0]]
+    rows = [(i * 7 % 500, kinds[i % 4], 0, 0) for i in range(500)]
+    e = spark.createDataFrame([(i, v) for i, v, *_ in rows], "id long, embedding array<float>").repartition(3)
+    for k, own in ((5, True), (5, False), (400, True)):
+        got = similarity_topk(e, e, k, query_id="id", corpus_id="id", exclude_self=own, strategy=strategy)
+        assert _as_dict(got) == _brute(rows, rows, k, exclude_self=own)
