@@ -88,6 +88,15 @@ BROKEN_CLAUSES = (
 # The EXCEPT of a column list, which is no set operation (upper-case text).
 STAR_EXCEPT = r"\*\s*EXCEPT\b(?!\s+(?:ALL\s+)?SELECT\b)"
 
+# Tokens of the clause automaton, over masked upper-case text.
+CLAUSE_TOKEN = r"[A-Z_][A-Z0-9_$]*|[0-9.]+|<>|!=|<=|>=|\|\||::|\S"
+COMPARISONS = ("=", "<>", "!=", "<=", ">=", "<", ">")
+# Words that start a clause or end an operand, and words that need something behind them.
+CLAUSE_WORDS = ("FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT", "QUALIFY", "AND", "OR")
+UNFINISHED = (",", *COMPARISONS, "LIMIT", "OFFSET", "ORDER", "GROUP")
+# Functions whose arguments may be parted by FROM.
+FROM_FUNCTIONS = ("EXTRACT", "SUBSTRING", "SUBSTR", "TRIM", "OVERLAY", "POSITION")
+
 FENCE_HEAD = r"(?i)^```(?:sql)?" + WS + r"*\n?"
 FENCE_TAIL = r"\n?```$"  # of a stripped text
 JSON_OBJECT = r"(?s)\{.*\}"
@@ -205,6 +214,37 @@ def paren_fold(masked: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(masked, F.lit("[()]|[^()]+"), F.lit(0)), start, step)
 
 
+def clause_fault(first: Column) -> Column:
+    """Whether the clauses of a masked statement cannot be right: a pushdown automaton over its tokens.
+
+    The state is the token before and, per open parenthesis, what it holds: a query (SELECT, or FROM
+    at its start, was seen), a function that FROM may part, or an expression. Faults: a comma, a
+    comparison, LIMIT or OFFSET with nothing behind it (a clause word, a closing parenthesis or the
+    end), ORDER or GROUP without BY, two comparisons in a row, FROM in an expression.
+    """
+    end = "$"
+    toks = F.concat(F.regexp_extract_all(F.upper(first), F.lit(CLAUSE_TOKEN), F.lit(0)), F.array(F.lit(end)))
+    start = F.struct(F.lit("").alias("prev"), F.array(F.lit("query")).alias("open"), F.lit(False).alias("bad"))
+
+    def step(acc, tok):
+        prev, stack = acc["prev"], acc["open"]
+        t = F.when(prev == ".", F.lit("a name")).otherwise(tok)
+        closes = t.isin(")", end)
+        top = F.element_at(stack, -1)
+        inner = F.when(F.size(stack) > 1, F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(1)))).otherwise(stack)
+        query = (t == "SELECT") | ((t == "FROM") & (prev == "("))
+        then = (F.when(t == "(", F.concat(stack, F.array(F.when(prev.isin(*FROM_FUNCTIONS), F.lit("parted")).otherwise(F.lit("expression")))))
+                .when(t == ")", inner)
+                .when(query, F.concat(F.when(F.size(stack) > 1, inner).otherwise(F.array().cast("array<string>")), F.array(F.lit("query"))))
+                .otherwise(stack))
+        bad = ((closes | t.isin(*CLAUSE_WORDS)) & prev.isin(*UNFINISHED)) | (prev.isin(*COMPARISONS) & t.isin(*COMPARISONS)) \
+            | ((prev == "ORDER") & (t != "BY")) | ((prev == "GROUP") & ~t.isin("BY", "(")) \
+            | ((t == "FROM") & (top == "expression") & ~prev.isin("(", "DISTINCT"))
+        return F.struct(t.alias("prev"), then.alias("open"), (acc["bad"] | bad).alias("bad"))
+
+    return F.aggregate(toks, start, step, lambda acc: acc["bad"])
+
+
 def _lookup(word: Column, table: dict[str, str]) -> Column:
     m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.element_at(m, word)
@@ -233,8 +273,8 @@ def _validation_stages():
          "flat_first": lambda e: F.upper(F.coalesce(F.try_element_at(F.split(e["flat"], ";"), F.lit(1)), F.lit(""))),
          "first_word": lambda e: F.regexp_extract(e["first"], f"^{WS}*([^{ws_inner}]*)", 1)},
         {"kind": lambda e: _lookup(e["lead"], STATEMENT_KINDS),
-         "broken": lambda e: e["lead"].isin("SELECT", "WITH", "FROM") & reduce(
-             or_, [F.regexp_like(e["first"], F.lit(p)) for p in BROKEN_CLAUSES]),
+         "broken": lambda e: F.when(e["lead"].isin("SELECT", "WITH", "FROM"), reduce(
+             or_, [F.regexp_like(e["first"], F.lit(p)) for p in BROKEN_CLAUSES]) | clause_fault(e["first"])).otherwise(False),
          "set_op": lambda e: F.regexp_extract(F.regexp_replace(e["flat_first"], STAR_EXCEPT, "*"),
                                               r"\b(UNION|INTERSECT|EXCEPT)\b", 1),
          "with_write": lambda e: F.regexp_extract(
@@ -317,23 +357,61 @@ def _glue(e):
         F.lit("")).otherwise(F.lit(" ")))), "")
 
 
+# After these words a name stands before a parenthesis that is no call.
+NAMES_FOLLOW = ("INTO", "TABLE", "VIEW", "WITH", "RECURSIVE")
+# Keywords that end an expression, so that an alias may follow them.
+ENDS = ("END", "NULL", "TRUE", "FALSE", "CURRENT_DATE", "CURRENT_TIMESTAMP")
+
+
+def _at(tokens: Column, i) -> Column:
+    return F.coalesce(F.get(tokens, i), F.lit(""))
+
+
+def _fold_calls(e):
+    """Keywords and known functions, and any unquoted word before a parenthesis, in upper case; INNER
+    before JOIN goes."""
+    toks = e["toks"]
+
+    def one(t, i):
+        before = F.when(i > 0, F.upper(_at(toks, i - 1))).otherwise(F.lit(""))
+        call = _starts_word(t) & (_at(toks, i + 1) == "(") & ~before.isin(*NAMES_FOLLOW)
+        return F.when(t == "!=", F.lit("<>")).when(F.upper(t).isin(*CANON_UPPER) | call, F.upper(t)).otherwise(t)
+
+    up = F.transform(toks, one)
+    return F.filter(up, lambda t, i: ~((t == "INNER") & (F.upper(_at(toks, i + 1)) == "JOIN")))
+
+
+def _with_as(e):
+    """The optional AS written out: a name after the end of an expression, or of a table, is an alias."""
+    toks = e["mapped"]
+
+    def one(t, i):
+        before, two = [F.when(i >= n, _at(toks, i - n)).otherwise(F.lit("")) for n in (1, 2)]
+        name = _starts_word(t) & ~t.isin(*CANON_KEYWORDS) & ~_at(toks, i + 1).isin("(", ".")
+        a = F.ascii(before)
+        ends = (_starts_word(before) & (~before.isin(*CANON_KEYWORDS) | before.isin(*ENDS))) | before.isin(")", "]") | ((a >= 48) & (a <= 57)) | before.startswith("'") | before.startswith('"')
+        return F.when(name & ends & (two != "INTERVAL"), F.array(F.lit("AS"), t)).otherwise(F.array(t))
+
+    return F.flatten(F.transform(toks, one))
+
+
 def _canonical_stages():
     return [
         {"toks": lambda e: F.regexp_extract_all(
             F.regexp_replace(F.coalesce(e["text"], F.lit("")), COMMENT_OR_QUOTED, " $2 "), F.lit(TOKEN), 0)},
-        {"mapped": lambda e: F.transform(e["toks"], lambda t: F.when(t == "!=", F.lit("<>"))
-                                         .when(F.upper(t).isin(*CANON_UPPER), F.upper(t)).otherwise(t))},
-        {"tr": lambda e: F.when(F.coalesce(F.try_element_at(e["mapped"], F.lit(-1)) == ";", F.lit(False)),
-                                F.slice(e["mapped"], 1, F.greatest(F.size(e["mapped"]) - 1, F.lit(0))))
-         .otherwise(e["mapped"])},
+        {"mapped": _fold_calls},
+        {"named": _with_as},
+        {"tr": lambda e: F.when(F.coalesce(F.try_element_at(e["named"], F.lit(-1)) == ";", F.lit(False)),
+                                F.slice(e["named"], 1, F.greatest(F.size(e["named"]) - 1, F.lit(0))))
+         .otherwise(e["named"])},
         {"canonical": _glue},
     ]
 
 
 def canonical_sql(x) -> Column:
-    """Canonical text: comments dropped, tokens single-spaced, keywords and known functions
-    upper-cased, ``!=`` written ``<>``, a trailing ``;`` dropped. Literals and other
-    identifiers are kept as written."""
+    """Canonical text: comments dropped, tokens single-spaced, keywords and called functions
+    upper-cased, the optional ``AS`` written, ``INNER JOIN`` as ``JOIN``, ``!=`` as ``<>``, a trailing
+    ``;`` dropped. Literals and other identifiers are kept as written."""
     return _run_inline(_canonical_stages(), {"text": _c(x)})["canonical"]
 
 

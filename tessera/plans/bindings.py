@@ -78,6 +78,27 @@ def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("id"), text.alias("sql"))
 
 
+def sql_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement per order and another way to write it ``(id, pred_sql, gold_sql)``, by key mod 12:
+    other case of a function; no AS; INNER JOIN; !=; another literal; another alias; lower case with a
+    comment; and five broken ones."""
+    o = spread(table(spark, sf_dir, "orders"))
+    key = F.col("o_orderkey")
+    head = "SELECT c.o_custkey AS k, MEDIAN(c.o_totalprice) AS m FROM orders AS c JOIN customer AS d ON c.o_custkey = d.c_custkey WHERE c.o_orderkey <> "
+    tail = " GROUP BY c.o_custkey"
+
+    def text(h=head, t=tail, k=key):
+        return F.concat(F.lit(h), k.cast("string"), F.lit(t))
+
+    ways = [text(head.replace("MEDIAN", "median")), text(head.replace(" AS ", " ")), text(head.replace("JOIN", "INNER JOIN")), text(head.replace("<>", "!=")),
+            text(k=key + 1), text(head.replace("AS m", "AS n")), text(head.replace("SELECT", "select -- what\n ").replace("FROM", "\tfrom"), tail.replace("GROUP BY", "group  by")),
+            text(t=tail + " HAVING"), text(t=tail + " ORDER"), text(head.replace("<> ", "<> = ")), text(t=tail + " LIMIT"), text(head.replace("SELECT c.o_custkey", "SELECT (c.o_custkey"), tail + ")")]
+    pred = ways[0]
+    for n, w in enumerate(ways[1:], 1):
+        pred = F.when(key % 12 == n, w).otherwise(pred)
+    return o.select(key.alias("id"), pred.alias("pred_sql"), text().alias("gold_sql"))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw model output per order: fenced, bare-fenced, upper-case tag, plain, padded."""
     o = spread(table(spark, sf_dir, "orders"))

@@ -321,6 +321,21 @@ FROM src JOIN vp_out ON vp_out.id = src.id JOIN vg_out ON vg_out.id = src.id
          JOIN kp_out ON kp_out.id = src.id JOIN kg_out ON kg_out.id = src.id
 """)
 
+# What DuckDB's own parser makes of both texts, without the places in them.
+_VARIANT = ("'SELECT c.o_custkey AS k, MEDIAN(c.o_totalprice) AS m FROM orders AS c JOIN customer AS d ON c.o_custkey = d.c_custkey WHERE c.o_orderkey <> '"
+            " || CAST({k} AS VARCHAR) || ' GROUP BY c.o_custkey'")
+_reg("sql_variants", f"""
+WITH t AS (SELECT o_orderkey AS id, {_VARIANT.format(k='o_orderkey')} AS gold, {_VARIANT.format(k='o_orderkey + 1')} AS other FROM orders),
+v AS (SELECT id, gold, CASE id % 12 WHEN 0 THEN replace(gold, 'MEDIAN', 'median') WHEN 1 THEN replace(gold, ' AS ', ' ') WHEN 2 THEN replace(gold, 'JOIN', 'INNER JOIN')
+    WHEN 3 THEN replace(gold, '<>', '!=') WHEN 4 THEN other WHEN 5 THEN replace(gold, 'AS m', 'AS n')
+    WHEN 6 THEN replace(replace(replace(gold, 'SELECT', 'select -- what' || chr(10) || ' '), 'FROM', chr(9) || 'from'), 'GROUP BY', 'group  by')
+    WHEN 7 THEN gold || ' HAVING' WHEN 8 THEN gold || ' ORDER' WHEN 9 THEN replace(gold, '<> ', '<> = ') WHEN 10 THEN gold || ' LIMIT'
+    ELSE replace(gold, 'SELECT c.o_custkey', 'SELECT (c.o_custkey') || ')' END AS pred FROM t),
+j AS (SELECT id, regexp_replace(json_serialize_sql(pred), '"query_location(_length)?":[0-9]+', '', 'g') AS p,
+             regexp_replace(json_serialize_sql(gold), '"query_location(_length)?":[0-9]+', '', 'g') AS g FROM v)
+SELECT id, p NOT LIKE '{{"error":true%' AS valid, p = g AS ast_match FROM j
+""")
+
 _reg("extract_json", f"""
 SELECT id, {d_extract_json('text')} AS json FROM ({LESSON_TEXTS})
 """)

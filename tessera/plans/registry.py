@@ -41,6 +41,7 @@ def all_queries() -> dict[str, QueryFn]:
         "token_similarity": text.q_token_similarity,
         "sql_canonical": text.q_sql_canonical,
         "sql_compare": text.q_sql_compare,
+        "sql_variants": text.q_sql_variants,
         "extract_json": text.q_extract_json,
         "parse_lessons": text.q_parse_lessons,
     }

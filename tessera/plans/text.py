@@ -40,3 +40,9 @@ def q_extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_parse_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = st.with_parsed_lesson(bindings.lesson_texts(spark, sf_dir), "text", "l")
     return p.select("id", *[F.col(f"l_{f}").alias(f) for f in ("ok", "reason") + st.LESSON_FIELDS])
+
+
+def q_sql_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two ways to write a statement match, and whether the second one parses."""
+    c = st.with_comparison(bindings.sql_variants(spark, sf_dir), "pred_sql", "gold_sql", "c")
+    return c.select("id", F.col("c_valid").alias("valid"), F.col("c_match").alias("ast_match"))

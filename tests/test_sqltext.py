@@ -110,13 +110,13 @@ def test_canonical_spacing_cases(spark):
              "with c as (select 1) select * from c", "select x.y from t limit 5"]
     df = one_col(spark, texts).select("id", st.canonical_sql("v").alias("c"))
     got = [r["c"] for r in df.orderBy("id").collect()]
-    assert got == ["SELECT f(g(x)), a FROM t WHERE b IN (1, 2)", "SELECT COUNT(*) AS n FROM (SELECT 1) s",
+    assert got == ["SELECT F(G(x)), a FROM t WHERE b IN (1, 2)", "SELECT COUNT(*) AS n FROM (SELECT 1) AS s",
                    "WITH c AS (SELECT 1) SELECT * FROM c", "SELECT x . y FROM t LIMIT 5"]
 
 
 def test_canonical_keeps_literals(spark):
     df = one_col(spark, ["select 'a , b ( c )' , f (x) from t"]).select(st.canonical_sql("v").alias("c"))
-    assert df.first()["c"] == "SELECT 'a , b ( c )', f(x) FROM t"
+    assert df.first()["c"] == "SELECT 'a , b ( c )', F(x) FROM t"
 
 
 def test_strip_is_linear(spark):
@@ -130,3 +130,26 @@ def test_strip_is_linear(spark):
     got = [tuple(r) for r in df.orderBy("id").select(st.py_strip("v"), st.strip_fences("v")).collect()]
     assert time.perf_counter() - start < 5
     assert got == [(texts[0], texts[0]), ("x", "x"), ("y", "y"), (texts[3], "z" + " " * 1_000_000 + "z")]
+
+
+def test_broken_clauses(spark):
+    bad = ["SELECT a, FROM t", "SELECT a FROM t,", "SELECT * FROM t LIMIT", "SELECT count(*) FROM t ORDER", "SELECT a FROM t WHERE x = = 1", "SELECT (a FROM t)",
+           "SELECT a FROM t WHERE x =", "SELECT a FROM (SELECT b, FROM u) v", "SELECT a FROM t GROUP x", "SELECT f(a, (b FROM t)) FROM u", "SELECT a FROM t WHERE (x >) AND y"]
+    good = ["SELECT a, b FROM t, u LIMIT 3 OFFSET 2", "SELECT EXTRACT(year FROM d), TRIM(BOTH 'x' FROM s) FROM t", "SELECT a FROM t WHERE a IS DISTINCT FROM b",
+            "SELECT count(*) FILTER (WHERE x >= 1) OVER (PARTITION BY a ORDER BY b) FROM t", "WITH c AS (SELECT 1 AS a) SELECT (SELECT max(a) FROM c) AS m FROM c",
+            "SELECT t.order, t.group, t.limit FROM t", "FROM t SELECT a", "SELECT * FROM (FROM t) u WHERE x <> -1", "SELECT quantile_cont(0.5) WITHIN GROUP (ORDER BY x) FROM t",
+            "SELECT a FROM t WHERE s = 'x, FROM' AND b IN (SELECT c FROM u ORDER BY c LIMIT 1) GROUP BY a, b HAVING count(*) > 1 ORDER BY 1 DESC"]
+    got = _validate(spark, bad + good)
+    assert [ok for ok, _ in got] == [False] * len(bad) + [True] * len(good)
+    assert all("incomplete clause" in why for ok, why in got if not ok)
+
+
+def test_other_ways_to_write_it(spark):
+    pairs = [("SELECT MEDIAN(a) FROM t", "select median(a) from t", True), ("SELECT COUNT(*) n FROM t u", "SELECT COUNT(*) AS n FROM t AS u", True),
+             ("SELECT a FROM t INNER JOIN u ON t.i = u.i", "SELECT a FROM t JOIN u ON t.i = u.i", True), ("SELECT a x, 1 y, 's' z FROM (SELECT 2 b) q", "SELECT a AS x, 1 AS y, 's' AS z FROM (SELECT 2 AS b) AS q", True),
+             ("SELECT CASE WHEN a THEN 1 END c FROM t", "SELECT CASE WHEN a THEN 1 END AS c FROM t", True), ("SELECT d + INTERVAL '1' month FROM t", "SELECT d + INTERVAL '1' month FROM t", True),
+             ("SELECT t.a FROM t", "SELECT t.A FROM t", False), ("SELECT 'median' FROM t", "SELECT 'MEDIAN' FROM t", False), ("SELECT a b FROM t", "SELECT a AS c FROM t", False),
+             ("SELECT a FROM t LEFT JOIN u ON t.i = u.i", "SELECT a FROM t JOIN u ON t.i = u.i", False)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "id long, a string, b string")
+    got = {r.id: r.m for r in st.with_comparison(df, "a", "b", "c").select("id", "c_match").toDF("id", "m").collect()}
+    assert [got[i] for i in range(len(pairs))] == [m for *_, m in pairs]
