@@ -24,8 +24,7 @@ def test_stream_without_ids_and_by_header(spark, tmp_path):
     source = _file(tmp_path / "s", "x.csv", "sql,nlq\nSELECT 1,how many\nSELECT 2,\nSELECT 1,how many\n")
     table = str(tmp_path / "t")
     for k in range(2):
-        stream_ingest(spark, source, table, str(tmp_path / f"c{k}"))
-    rows = spark.read.parquet(table).collect()
+        rows = stream_ingest(spark, source, table, str(tmp_path / f"c{k}"), digits=1).rows().collect()
     assert sorted((r.nlq, r.sql) for r in rows) == [("", "SELECT 2"), ("how many", "SELECT 1")]
     assert all(r.pair_id is not None for r in rows)
     with pytest.raises(ValueError):
