@@ -9,7 +9,8 @@ others. Each shard is one M-tree, kept as a table of pages: a pivot, a covering
 distance to the parent's pivot, and in leaves the rows with their distance to the pivot.
 Queries meet every shard in blocks. A query visits pages by their least possible distance; a
 page or row whose stored distance to its pivot rules it out by the triangle inequality is never
-computed. Each (query, shard) returns at most k rows, which a window merges.
+visited. The queries of a block go step by step: each takes its next page, and those that take the
+same page are computed together. Each (query, shard) returns at most k rows, which a window merges.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import known, saved
 
-SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
+#: Rows of a shard, fewer for long vectors (``SHARD_CELLS`` numbers); queries of a block.
+SHARD_ROWS, SHARD_CELLS, BLOCK_QUERIES = 32768, 1 << 22, 8192
 PAGE, FANOUT = 128, 8
+#: Queries times pages that a task searches at a time.
+CELLS = 1 << 21
 #: Sums below this are exact in doubles.
 EXACT = float(1 << 52)
 
@@ -43,12 +48,18 @@ def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return v.where(fine)
 
 
+def _lists(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, and the length of each, from Arrow's buffers."""
+    return pc.list_flatten(col).to_numpy(), pc.list_value_length(col).to_numpy()
+
+
 def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """Rows padded with zeros to ``dim``, scaled and floored."""
+    values, sizes = _lists(col)
     out = np.zeros((len(col), dim))
-    for i, row in enumerate(col.to_pylist()):
-        out[i, :len(row)] = row
-    return np.floor(256 * out)
+    at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(col)), sizes), at] = values
+    return np.floor(256 * out) + 0.0  # no negative zeros
 
 
 def _lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -74,12 +85,21 @@ class _Builder:
         far = _far(y, pivot)
         leaf = len(rows) <= PAGE
         page = len(self.rows)
-        self.rows.append({"shard": self.shard, "page": page, "parent": parent, "leaf": leaf, "radius": float(far.max()),
-                          "to_parent": 0.0 if above is None else float(_far(pivot[None], above)[0]), "pivot": pivot.tolist(),
-                          "ids": self.ids[rows].tolist() if leaf else [], "vectors": self.x[rows].ravel().tolist() if leaf else [],
-                          "to_pivot": far.tolist() if leaf else []})
+        held = rows if leaf else rows[:0]
+        self.rows.append((self.shard, page, parent, leaf, float(far.max()), 0.0 if above is None else float(_far(pivot[None], above)[0]),
+                          pivot, self.ids[held], self.x[held].ravel(), far if leaf else far[:0]))
         return [] if leaf else [(part, page, pivot) for part in self._split(rows, y, far)]
 
+    def table(self) -> pa.Table:
+        """The page rows."""
+        columns = []
+        for values, field in zip(zip(*self.rows), _PAGES_ARROW):
+            if pa.types.is_list(field.type):
+                ends = np.cumsum([0, *map(len, values)])
+                values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), field.type.value_type))
+            columns.append(values if isinstance(values, pa.Array) else pa.array(values, field.type))
+        return pa.Table.from_arrays(columns, schema=_PAGES_ARROW)
+
     @staticmethod
     def _split(rows: np.ndarray, y: np.ndarray, far: np.ndarray) -> list[np.ndarray]:
         """Up to FANOUT parts around seeds that are far from each other; equal parts by distance
@@ -104,11 +124,85 @@ class _Tree:
         self.parent = pages["parent"].to_numpy()
         self.leaf = pages["leaf"].to_numpy(zero_copy_only=False)
         self.radius, self.to_parent = pages["radius"].to_numpy(), pages["to_parent"].to_numpy()
-        self.pivot = np.array(pages["pivot"].to_pylist(), float).reshape(len(self.parent), dim + 1)
-        self.ids = [np.array(x, np.int64) for x in pages["ids"].to_pylist()]
-        self.x = [np.array(x, float).reshape(-1, dim) for x in pages["vectors"].to_pylist()]
-        self.to_pivot = [np.array(x, float) for x in pages["to_pivot"].to_pylist()]
-        self.children = [np.flatnonzero(self.parent == p) for p in range(len(self.parent))]
+        self.pivot = _lists(pages["pivot"])[0].reshape(len(self.parent), dim + 1)
+        ids, sizes = _lists(pages["ids"])
+        ends = np.cumsum(sizes)[:-1]
+        self.ids, self.to_pivot = np.split(ids, ends), np.split(_lists(pages["to_pivot"])[0], ends)
+        self.x = np.split(_lists(pages["vectors"])[0].reshape(-1, dim), ends)
+        self.most = max((np.abs(x).max(initial=0) for x in self.x), default=0)
+        by_parent = np.argsort(self.parent, kind="stable")
+        pages_of = np.searchsorted(self.parent[by_parent], np.arange(len(self.parent) + 1))
+        self.children = [by_parent[a:b] for a, b in zip(pages_of, pages_of[1:])]
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, vec_id, score) of the k best rows of each query."""
+        out = []
+        for at in np.array_split(np.arange(len(q)), -(-len(q) * len(self.parent) // CELLS)):
+            if self.most * np.abs(q[at]).sum(1).max() < EXACT:
+                out.append(self._together(q[at], own[at], k, top, at))
+            else:
+                one = [(i, v, s) for i in at for s, v in self.best(q[i], own[i], k, top)]
+                out.append(tuple(np.array(c, np.int64) for c in zip(*one)) if one else (np.zeros(0, np.int64),) * 3)
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _together(self, q: np.ndarray, own: np.ndarray, k: int, top: float, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = (q * q).sum(1) + top
+        slack = 4 * np.sqrt((q.shape[1] + 8) * np.finfo(float).eps * whole) + 1e-9  # doubles' error; bounds are never too tight
+        scores, ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        limit = np.full(len(q), np.inf)
+        far, least = np.zeros((len(q), len(self.parent))), np.full((len(q), len(self.parent)), np.inf)  # least: of pages to visit
+
+        def visit(rows: np.ndarray, pages: np.ndarray, wanted: np.ndarray) -> None:
+            """Distances of the rows to the pages, which are to be visited where wanted."""
+            d = np.sqrt(np.maximum(whole[rows, None] - 2 * (q[rows] @ self.pivot[pages, :-1].T), 0))
+            far[rows[:, None], pages], least[rows[:, None], pages] = d, np.where(wanted, d - self.radius[pages], np.inf)
+
+        live = np.arange(len(q))
+        visit(live, np.zeros(1, int), np.ones((len(q), 1), bool))
+        while True:
+            page = least[live].argmin(1)
+            bound = least[live, page]
+            going = (bound < np.inf) & (bound <= limit[live] + slack[live])
+            live, page = live[going], page[going]
+            if not len(live):
+                break
+            least[live, page] = np.inf
+            order = np.argsort(page, kind="stable")
+            taken, new = page[order], []
+            for rows in np.split(live[order], np.flatnonzero(np.diff(taken)) + 1):
+                p = int(taken[0])
+                taken = taken[len(rows):]
+                reach = (limit + slack)[rows, None]
+                if not self.leaf[p]:
+                    c = self.children[p]
+                    wanted = np.abs(far[rows, p, None] - self.to_parent[c]) - self.radius[c] <= reach
+                    some = wanted.any(0)
+                    if some.any():
+                        visit(rows, c[some], wanted[:, some])
+                    continue
+                may = (np.abs(far[rows, p, None] - self.to_pivot[p]) <= reach) & (self.ids[p] != own[rows, None])
+                some = np.flatnonzero(may.any(0))
+                s = q[rows] @ self.x[p][some].T
+                i, j = np.nonzero(may[:, some] & (s >= scores[rows, -1:]))
+                new.append((rows[i], s[i, j], self.ids[p][some[j]]))
+            if new:
+                self._merge(scores, ids, *(np.concatenate(c) for c in zip(*new)))
+                limit = np.where(np.isfinite(scores[:, -1]), np.sqrt(np.maximum(whole - 2 * scores[:, -1], 0)), np.inf)
+        i, j = np.nonzero(np.isfinite(scores))
+        return names[i], ids[i, j], scores[i, j].astype(np.int64)
+
+    @staticmethod
+    def _merge(scores: np.ndarray, ids: np.ndarray, row: np.ndarray, score: np.ndarray, vec_id: np.ndarray) -> None:
+        """Puts new candidates into the rows' best ones, which stay in order."""
+        k = scores.shape[1]
+        rows = np.unique(row)
+        row = np.concatenate((np.repeat(rows, k), row))
+        score, vec_id = np.concatenate((scores[rows].ravel(), score)), np.concatenate((ids[rows].ravel(), vec_id))
+        order = np.lexsort((vec_id, -score, row))
+        row, score, vec_id = row[order], score[order], vec_id[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = nth < k
+        scores[row[kept], nth[kept]], ids[row[kept], nth[kept]] = score[kept], vec_id[kept]
 
     def best(self, q: np.ndarray, own: int, k: int, top: float) -> list[tuple[int, int]]:
         """(score, vec_id) of the k best rows, by score and then the smaller id."""
@@ -158,12 +252,11 @@ def build(vectors: DataFrame, dim: int, top: float, n_shards: int) -> DataFrame:
     """The page table, saved: (shard, page, parent, leaf, radius, to_parent, pivot, ids, vectors, to_pivot)."""
 
     def load(t: pa.Table) -> pa.Table:
-        seen = {}
-        for i, key in enumerate(zip(t["vec_id"].to_pylist(), map(tuple, t["v"].to_pylist()))):
-            seen.setdefault(key, i)  # rows equal in id and vector are one
-        t = t.take(sorted(seen.values()))
-        b = _Builder(t["shard"][0].as_py(), t["vec_id"].to_numpy(), _matrix(t["v"], dim), top)
-        return pa.Table.from_pylist(b.rows, _PAGES_ARROW)
+        x, ids = _matrix(t["v"], dim), t["vec_id"].to_numpy()
+        whole = np.hstack([x, ids.view(np.float64)[:, None]])
+        _, first = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True)
+        first.sort()  # rows equal in id and numbers are one
+        return _Builder(t["shard"][0].as_py(), ids[first], x[first], top).table()
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int"))
     return saved(dealt.groupBy("shard").applyInArrow(load, _PAGES), "mtree-pages")
@@ -176,14 +269,15 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, shard_rows: int =
     Candidates are all rows but those with the query's id. Ties go to the smaller id; fewer
     candidates give fewer rows. Rows with a null id, a null vector or a component that is null
     or not finite take no part; shorter vectors count as padded with zeros; rows equal in id and
-    vector are one; of rows that share an id only, each is a candidate, and as queries their
+    scaled vector are one; of rows that share an id only, each is a candidate, and as queries their
     best rows are merged. Further columns are ignored; an empty table gives no rows. A score
     beyond a long is an error.
     """
     v = usable(embeddings, id_col, vector_col)
     n, dim, top = v.agg(F.count("*"), F.max(F.size("v")),
                         F.max(F.expr("aggregate(v, 0d, (a, x) -> a + pow(256 * abs(x) + 1, 2))"))).first()
-    n_shards, dim, top = -(-max(n, 1) // shard_rows), max(dim or 0, 1), float(top or 0)
+    dim, top = max(dim or 0, 1), float(top or 0)
+    n_shards = -(-max(n, 1) // min(shard_rows, max(PAGE, SHARD_CELLS // dim)))
     pages = build(v, dim, top, n_shards)
     queries = v.where(F.col("vec_id") % every == 0)
     n_blocks = -(-max(queries.count(), 1) // block_queries)
@@ -192,12 +286,12 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, shard_rows: int =
     given = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        found = (np.zeros(0, np.int64),) * 3
         if len(left) and len(right):
-            tree = _Tree(right, dim)
-            for own, q in zip(left["vec_id"].to_pylist(), _matrix(left["v"], dim)):
-                out += [{"query_id": own, "vec_id": i, "score": s} for s, i in tree.best(q, own, k, top)]
-        return pa.Table.from_pylist(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+            own = left["vec_id"].to_numpy()
+            row, vec_id, score = _Tree(right, dim).search(_matrix(left["v"], dim), own, k, top)
+            found = own[row], vec_id, score
+        return pa.table(list(map(pa.array, found)), ["query_id", "vec_id", "score"])
 
     found = asked.groupBy("shard", "block").cogroup(given.groupBy("shard", "block")) \
         .applyInArrow(search, "query_id long, vec_id long, score long")
