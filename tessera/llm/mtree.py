@@ -9,8 +9,8 @@ others. Each shard is one M-tree, kept as a table of pages: a pivot, a covering
 distance to the parent's pivot, and in leaves the rows with their distance to the pivot.
 Queries meet every shard in blocks. A query visits pages by their least possible distance; a
 page or row whose stored distance to its pivot rules it out by the triangle inequality is never
-visited. The queries of a block go step by step: each takes its next page, and those that take the
-same page are computed together. Each (query, shard) returns at most k rows, which a window merges.
+visited. The queries of a block go step by step: each takes its next pages, in each step twice as
+many as before, and those that take the same page are computed together. Each (query, shard) returns at most k rows, which a window merges.
 """
 
 from __future__ import annotations
@@ -157,21 +157,21 @@ class _Tree:
             d = np.sqrt(np.maximum(whole[rows, None] - 2 * (q[rows] @ self.pivot[pages, :-1].T), 0))
             far[rows[:, None], pages], least[rows[:, None], pages] = d, np.where(wanted, d - self.radius[pages], np.inf)
 
-        live = np.arange(len(q))
+        live, step = np.arange(len(q)), 1
         visit(live, np.zeros(1, int), np.ones((len(q), 1), bool))
         while True:
-            page = least[live].argmin(1)
-            bound = least[live, page]
-            going = (bound < np.inf) & (bound <= limit[live] + slack[live])
-            live, page = live[going], page[going]
+            bound = least[live]
+            taken = (bound < np.inf) & (bound <= (limit + slack)[live, None])
+            going = taken.any(1)
+            live, bound, taken = live[going], bound[going], taken[going]
             if not len(live):
                 break
-            least[live, page] = np.inf
-            order = np.argsort(page, kind="stable")
-            taken, new = page[order], []
-            for rows in np.split(live[order], np.flatnonzero(np.diff(taken)) + 1):
-                p = int(taken[0])
-                taken = taken[len(rows):]
+            if step < bound.shape[1]:
+                taken &= bound <= np.partition(bound, step - 1, 1)[:, step - 1:step]
+            step, new = 2 * step, []
+            for p in np.flatnonzero(taken.any(0)).tolist():
+                rows = live[taken[:, p]]
+                least[rows, p] = np.inf
                 reach = (limit + slack)[rows, None]
                 if not self.leaf[p]:
                     c = self.children[p]

@@ -128,7 +128,7 @@ def test_queries_match_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "embeddings"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in SQL.items():
         df = QUERIES[name](spark, SF)
