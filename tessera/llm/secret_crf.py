@@ -2,10 +2,12 @@
 
 The field tags each token as the begin of a secret, inside one, or outside. Its features are
 the token's shape, length and characters, the two words before it and the one after, and
-coarse features of the whole file. It learns from a bounded, documented sample: ``sample``
-excerpts around base matches (whose values are the labels) and twice as many from other
-documents, each the ones with the smallest text hashes. Every whole text is then decoded by
-Viterbi.
+coarse features of the whole file. It learns from a bounded, documented sample: per kind
+``sample`` excerpts around a base match (whose values are the labels), and twice as many from
+texts without one, each of the texts with the smallest hashes; in a text, hashes decide which match
+and which place. In half of them keywords and prefixes are overwritten with random letters, while
+the labels stay: what base patterns go by is then no clue, and the field learns how a secret itself
+and its surroundings look. Every whole text is then decoded by Viterbi.
 
 Decoding is exact but skips what is certain: where a token's score for "outside" exceeds the
 others by more than transitions can ever make up, every best path passes "outside" there. Only
@@ -15,13 +17,16 @@ the runs of tokens between such points need the dynamic programme.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import known, slices
 
@@ -67,14 +72,18 @@ def _hash(feature: str) -> int:
 
 def _form(t: str) -> tuple[str, int, int, int]:
     """What a token looks like: its shape without repeats, length class, and for tokens over
-    15 characters the eighths that are digits and that are different characters."""
+    15 characters the eighths that are digits and that are different characters. Long mixtures of
+    letters and digits look alike, whatever their alphabet: what is learnt of one holds for others."""
     n = len(t)
     if t.isalpha() and n < 16:
         return ("a" if t.islower() else "A" if t.isupper() else "Aa" if t[1:].islower() else "aA"), n.bit_length(), 0, 0
+    digits = sum(map(str.isdigit, t)) if n >= 16 else 0
+    if n <= 8 * digits <= 7 * n and t.isalnum():
+        return "*", max(6, min(n.bit_length(), 8)), 1, min(2, 1 + len(set(t)) // 8)
     shape = _AGAIN.sub(r"\1", t.translate(_SHAPE))[:12]
     if n < 16:
         return shape, n.bit_length(), 0, 0
-    return shape, min(n.bit_length(), 8), 1 + 8 * sum(c.isdigit() for c in t) // n, 1 + min(7, 8 * len(set(t)) // n)
+    return shape, min(n.bit_length(), 8), 1 + 8 * digits // n, 1 + min(7, 8 * len(set(t)) // n)
 
 
 def _own(form: tuple[str, int, int, int]) -> list[int]:
@@ -178,15 +187,32 @@ class Field:
         return [(s, e) for s, e, _ in out]
 
 
-def _labelled(text: str, excerpt: int) -> tuple[list[str], list[int]]:
-    """Tokens of the part of a text around its first base match, and their tags."""
-    spans = base_spans(text)
-    at = max(0, spans[0][0] - excerpt // 2) if spans else 0
-    tokens, tags = [], []
-    values = [(v, e) for _, _, e, v in spans]
-    before = -1
-    for m in _TOKEN.finditer(text, at, at + excerpt):
-        inside = next((i for i, (s, e) in enumerate(values) if s < m.end() and m.start() < e), -1)
+def _hidden(text: str, spans: list[tuple[int, int, int, int]], chance: random.Random) -> str:
+    """The text with other letters, of the same case, in the keywords and prefixes of its matches."""
+    out, done = [], 0
+    for start, kind, _, value in spans:
+        stop = (value, start + 4, start)[kind]
+        if start >= done and stop > start:
+            other = [chance.choice(string.ascii_uppercase if c.isupper() else string.ascii_lowercase) if c.isalpha() else c for c in text[start:stop]]
+            out += [text[done:start], *other]
+            done = stop
+    return "".join(out) + text[done:]
+
+
+def _excerpt(text: str, spans: list[tuple[int, int, int, int]], middle: int, excerpt: int, chance: random.Random) -> tuple[str, list[int]]:
+    """The part of a text around a place, and where its values begin and end, one after the other."""
+    at = max(0, min(middle - excerpt // 2, len(text) - excerpt))
+    stop = at + excerpt
+    if chance.random() < 0.5:
+        text = _hidden(text, spans, chance)
+    return text[at:stop], [min(max(x - at, 0), excerpt) for _, _, e, v in spans if v < stop and e > at for x in (v, e)]
+
+
+def _labelled(text: str, values: list[int]) -> tuple[list[str], list[int]]:
+    """Tokens of an excerpt, and their tags."""
+    tokens, tags, before = [], [], -1
+    for m in _TOKEN.finditer(text):
+        inside = next((i for i in range(0, len(values), 2) if values[i] < m.end() and m.start() < values[i + 1]), -1)
         tokens.append(m[0])
         tags.append(O if inside < 0 else I if inside == before else B)
         before = inside
@@ -194,26 +220,37 @@ def _labelled(text: str, excerpt: int) -> tuple[list[str], list[int]]:
 
 
 def _excerpts(docs: DataFrame, sample: int, excerpt: int) -> list[tuple[list[str], list[int], int]]:
-    """A bounded sample: excerpts with base matches, and of other documents."""
-    schema = "h long, hit boolean, text string, file int"
+    """The bounded sample. A task keeps the smallest hashes of its own rows, so little is shuffled."""
+    fields = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("text", pa.string()), ("values", pa.list_(pa.int32())), ("file", pa.int32())])
+    bounds = {-1: 2 * sample, **{kind: sample for kind in range(len(KINDS))}}  # -1: no match
 
     def run(batches):
+        kept = {kind: {} for kind in bounds}
         for s in slices(batches):
-            rows = []
-            for h, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist()):
-                t = t or ""
-                spans = base_spans(t)
-                at = max(0, spans[0][0] - excerpt // 2) if spans else 0
-                rows.append({"h": h, "hit": bool(spans), "text": t[at:at + excerpt], "file": _file_feature(t)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("h", pa.int64()), ("hit", pa.bool_()), ("text", pa.string()), ("file", pa.int32())]))
-
-    got = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema)
-    rank = got.groupBy("hit", "h").agg(F.min("text").alias("text"), F.min("file").alias("file"))
-    rows = rank.where("hit").orderBy("h").limit(sample).union(rank.where("not hit").orderBy("h").limit(2 * sample)).collect()
-    return [(*_labelled(r["text"], excerpt), r["file"]) for r in rows]
-
-
-def train(docs: DataFrame, sample: int = 200, excerpt: int = 500, rounds: int = 40, rate: float = 0.15,
+            for h, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist()):
+                text = text or ""
+                spans, chance = base_spans(text), random.Random(h)
+                places = {}
+                for start, kind, _, _ in spans:
+                    places.setdefault(kind, []).append(start)
+                for kind, starts in (places or {-1: range(len(text) + 1)}).items():
+                    got = kept[kind]
+                    if h in got or len(got) >= bounds[kind] and h > max(got):
+                        continue
+                    got[h] = (*_excerpt(text, spans, chance.choice(starts), excerpt, chance), _file_feature(text))
+                    if len(got) > bounds[kind]:
+                        del got[max(got)]
+        rows = [{"kind": kind, "h": h, "text": t, "values": v, "file": f} for kind, got in kept.items() for h, (t, v, f) in got.items()]
+        yield pa.RecordBatch.from_pylist(rows, fields)
+
+    got = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "kind int, h long, text string, values array<int>, file int")
+    one = got.groupBy("kind", "h").agg(F.min(F.struct("text", "values", "file")).alias("x"))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    rows = one.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("kind") < 0, 2 * sample).otherwise(sample)).orderBy("kind", "nth").collect()
+    return [(*_labelled(r.x["text"], r.x["values"]), r.x["file"]) for r in rows]
+
+
+def train(docs: DataFrame, sample: int = 120, excerpt: int = 500, rounds: int = 40, rate: float = 0.15,
           decay: float = 1e-4) -> Field:
     """Fit the field by gradient ascent (Adagrad) on the log likelihood of the sample. With no
     base match in the corpus there is nothing to learn: the field tags everything outside."""
