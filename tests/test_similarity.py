@@ -199,3 +199,32 @@ def test_many_equal_vectors(spark, strategy):
     for k, own in ((5, True), (5, False), (400, True)):
         got = similarity_topk(e, e, k, query_id="id", corpus_id="id", exclude_self=own, strategy=strategy)
         assert _as_dict(got) == _brute(rows, rows, k, exclude_self=own)
+
+
+def test_rows_of_equal_vectors_beyond_the_bound_are_few(spark):
+    """Above the broadcast bound a corpus of few different vectors is cut to the rows that count, and
+    results are those of brute force; without that, every block would meet every query."""
+    rng = np.random.default_rng(3)
+    kinds = rng.standard_normal((6, 4)).astype(np.float32)
+    n = 400
+    ids = rng.permutation(n)
+    rows = [(int(i), [float(x) for x in kinds[j % 6]], int(r), int(o))
+            for j, (i, r, o) in enumerate(zip(ids, rng.integers(0, 3, n), rng.integers(0, 50, n)))]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, run long, ord long").repartition(5)
+    limit = 200 * 60  # of 400 rows of 56 bytes
+    key = (("run", "ord"), ("run", "ord"))
+    for asof in (None, key):
+        stats = {}
+        got = similarity_topk(df, df, 3, query_id="id", corpus_id="id", exclude_self=True, asof=asof,
+                              broadcast_limit_bytes=limit, stats=stats)
+        want = _brute(rows, rows, 3, exclude_self=True, asof=asof is not None)
+        assert _as_dict(got) == {q: x for q, x in want.items() if x}
+        assert not stats  # neither cells nor ranges: what is left of the corpus is broadcast
+
+
+def test_pruning_keeps_rows_without_vector_id_or_key(spark):
+    from tessera.operators.similarity import _without_hopeless
+    rows = [(i, [1.0, 0.0], 1, i) for i in range(50)] + [(None, [1.0, 0.0], 1, 1), (60, None, 1, 1), (61, [], 1, 1), (62, [1.0, -0.0], None, 1)]
+    c = spark.createDataFrame(rows, "_cid long, _cvec array<float>, _crun long, _cord long")
+    got = {r["_cid"] for r in _without_hopeless(c, 2, ("_crun", "_cord"), seen_bytes=500).collect()}
+    assert {0, 1, 2, None, 60, 61, 62} <= got and len(got) < 40
