@@ -228,3 +228,29 @@ def test_pruning_keeps_rows_without_vector_id_or_key(spark):
     c = spark.createDataFrame(rows, "_cid long, _cvec array<float>, _crun long, _cord long")
     got = {r["_cid"] for r in _without_hopeless(c, 2, ("_crun", "_cord"), seen_bytes=500).collect()}
     assert {0, 1, 2, None, 60, 61, 62} <= got and len(got) < 40
+
+
+def test_copies_per_query_stop_growing_with_the_table(spark):
+    """A query goes to at most ``MAX_RANGES`` ranges, however small the blocks asked for."""
+    from tessera.operators.similarity_cells import MAX_RANGES
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], 0, i) for i, v in enumerate(rng.standard_normal((600, 3)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, run long, ord long")
+    stats, asof = {}, (("run", "ord"), ("run", "ord"))
+    got = similarity_topk(df, df, 3, query_id="id", corpus_id="id", strategy="ranges", block_bytes=5 * 48, asof=asof, stats=stats)
+    want = _brute(rows, rows, 3, asof=True)
+    assert _as_dict(got) == {q: x for q, x in want.items() if x}
+    assert stats["ranges_copies"] <= 4 * MAX_RANGES * len(rows)
+
+
+def test_ranking_by_column_chunks(spark, monkeypatch):
+    """Chunks of few columns give the hits of one chunk, ties by smaller id included."""
+    from tessera.operators import similarity as s
+    rng = np.random.default_rng(9)
+    mat = rng.integers(-2, 3, (300, 3)).astype(float)
+    side = s._Side(rng.permutation(300).astype(np.int64), mat, None)
+    want = s._score_and_rank(side, side, 4, True)
+    monkeypatch.setattr(s, "_SCORE_COLUMNS", 16)
+    monkeypatch.setattr(s, "_MAX_SCORE_CELLS", 16 * 50)
+    got = s._score_and_rank(side, side, 4, True)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
