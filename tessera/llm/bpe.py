@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import known, slices, small_batches
 
-CACHE = 50_000
+CACHE = 200_000
+#: Borders of tokens whose check is kept, at most.
+BORDERS = 200_000
 #: Bytes of text cut into pieces at a time.
 SLICE = 1 << 20
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -149,7 +151,7 @@ class Codec:
                 ids.append(t := state[k])
                 k -= len(self.bytes_of[t])
             out[w] = ids[::-1]
-        if len(beside) > 4 * CACHE:
+        if len(beside) > BORDERS:
             beside.clear()
         return out
 

@@ -495,3 +495,15 @@ def test_bpe_pieces_of_odd_text():
     texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 50))) for _ in range(3000)] + ["a" * 3000, " " * 999, "-" * 700 + "\n" * 90]
     for t, (ids, n, back), want in zip(texts, codec.code(texts), reference.encode_batch(texts, add_special_tokens=False)):
         assert ids == ",".join(map(str, want.ids)) and n == len(want.ids) and back == t
+
+
+def test_bpe_keeps_the_encodings_of_a_task(monkeypatch):
+    """Pieces that come again after some hundred thousand others are not encoded again."""
+    c = bpe.Codec(byte_bpe())
+    coded = []
+    plain = c.encode_words
+    monkeypatch.setattr(c, "encode_words", lambda words: coded.append(len(words)) or plain(words))
+    slices_ = [[f"w{n:x}" for n in range(at, at + 60_000)] for at in (0, 60_000, 120_000)]
+    for s in [*slices_, slices_[0]]:
+        c.learn([s])
+    assert coded == [60_000] * 3 + [0]
