@@ -1,6 +1,7 @@
 import pytest
 
 from conftest import one_col
+from pyspark.sql import functions as F
 from tessera.functions import sqltext as st
 
 
@@ -153,3 +154,17 @@ def test_other_ways_to_write_it(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "id long, a string, b string")
     got = {r.id: r.m for r in st.with_comparison(df, "a", "b", "c").select("id", "c_match").toDF("id", "m").collect()}
     assert [got[i] for i in range(len(pairs))] == [m for *_, m in pairs]
+
+
+def test_clauses_without_a_fold(spark):
+    """Only a FROM that may stand in an expression is left to the fold, and the canonical form is taken
+    by the batch: a plan of comparisons folds no tokens but those."""
+    texts = ["SELECT a . . LIMIT )", "SELECT a.limit FROM t", "SELECT 1LIMIT", "SELECT a FROM (SELECT b FROM (SELECT c FROM u) v) w",
+             "SELECT (f(a) FROM t)", "SELECT (SELECT max(a) FROM c) FROM t", "SELECT f((a IS DISTINCT FROM b)) FROM t", "SELECT ((a) FROM t"]
+    df = one_col(spark, texts)
+    rows = df.select("id", st.clause_row(st.mask_sql("v")).alias("row")).withColumn("outside", st.clause_outside(F.col("row"))) \
+        .select("id", "row", st.clause_fault(F.col("row"), F.col("outside")).alias("bad")).orderBy("id").collect()
+    assert rows[0].row == " SELECT A . name LIMIT ) $ " and rows[1].row == " SELECT A . name FROM T $ "
+    assert [r.bad for r in rows] == [True, False, True, False, True, False, False, True]
+    plan = st.with_comparison(df, "v", "v", "c").select("c_match")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "transform(" not in plan and "zip_with(" not in plan
