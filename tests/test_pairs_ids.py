@@ -43,3 +43,16 @@ def test_json_text(spark):
 
     got = spark.createDataFrame([(text,)], "v string").select(_json_str("v").alias("j")).first().j
     assert json.loads(got) == text
+
+
+def test_prompt_lines_from_their_parts(spark):
+    """A line reads as its form does, without a formatter that reads the form for each hit."""
+    from tessera.functions import prompts
+
+    hits = spark.createDataFrame([(1, 1, 0.875, "q %s", "s%d"), (1, 2, 0.25, "r", "t"), (2, 1, 1234.5, "a", "b")],
+                                 "query_id long, rank long, score double, nlq string, sql string")
+    blocks = prompts.example_blocks(hits)
+    assert "format_string(-- Example" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.query_id: r.examples_block for r in blocks.collect()}
+    line = prompts.EXAMPLE_LINE
+    assert got == {1: line % (1, 0.88, "q %s", "s%d") + "\n\n" + line % (2, 0.25, "r", "t"), 2: line % (1, 1234.5, "a", "b")}
