@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on a small table with every awkward row."""
 
 import hashlib
+import os
 import random
 import string
 import re
@@ -8,6 +9,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from tessera.llm import bpe, decontaminate, line_dedup, pii, quality, secret_crf, simhash
@@ -185,6 +187,48 @@ def test_deduplicated_texts(docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_line_keys_are_few():
+    """A line probes the windows that stand near a segment's place only (before: some 50 of 250
+    characters)."""
+    random.seed(13)
+    lines = ["".join(random.choice("abcdefghij ") for _ in range(250)) for _ in range(50)]
+    index, probe = line_dedup._Lines(lines).keys(None, line_dedup.MIN_CHARS)
+    assert len(probe.values) < 50 * 36 and len(index.values) < 50 * 20
+
+
+def test_periodic_lines(spark):
+    """Equal grams stand in many places of a line."""
+    random.seed(17)
+    bases = ["-" * n for n in (20, 21, 23, 60, 64, 90)] + ["ab" * n for n in (12, 31, 33, 70)] + ["abcdefghijkl" * n for n in (5, 9, 20)]
+    texts = sorted({*bases, *(edited(b, max(1, len(b) // 20 + more)) for b in bases for more in (-1, 0, 1))})
+    degree, first = plain_classes(texts)
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.class_doc_id, r.n_links) for r in line_dedup.line_classes(d).collect()}
+    assert got == {(i, texts.index(first[x]), degree[x]) for i, x in enumerate(texts)}
+
+
+def test_differing_parts_keep_the_distance():
+    random.seed(19)
+    for _ in range(2000):
+        a, b = ("".join(random.choice("abé") for _ in range(random.randint(1, 12))) for _ in range(2))
+        want = plain_distance(a, b)
+        x, y = line_dedup._differing(a, b, want)
+        assert (plain_distance(x, y) if x and y else len(x) + len(y)) == want
+
+
+def test_shuffles_go_when_written(spark):
+    import glob
+
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    line_dedup._saved(spark.range(100_000).groupBy(F.hash("id").alias("k")).count(), "t").count()
+    assert spark.conf.get(key, "false") == before
+    left = {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")} - files
+    assert not any(os.path.getsize(f) > 500 for f in left)
+
+
 def test_edit_distance_within():
     for _ in range(3000):
         a = "".join(random.choice("abc") for _ in range(random.randint(0, 9)))
