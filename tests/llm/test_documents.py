@@ -207,6 +207,48 @@ def test_periodic_lines(spark):
     assert got == {(i, texts.index(first[x]), degree[x]) for i, x in enumerate(texts)}
 
 
+def test_line_classes_in_ranges(spark, monkeypatch):
+    """Range after range of lengths, few pairs at a time: the same classes, and the keys of one range
+    on disk at once; only what the result reads stays."""
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def there(*names):
+        return {f for f in os.listdir(base) if f.rsplit("-", 1)[0] in names}
+
+    keys, real = [], line_dedup._saved
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "lines-keys":
+            keys.append(len(there("lines-keys") - old))
+        return out
+
+    for name, value in (("RANGE_LINES", 1), ("PAIRS", 50), ("CELLS", 64), ("_saved", watched)):
+        monkeypatch.setattr(line_dedup, name, value)
+    texts = near_lines()
+    degree, first = plain_classes(texts)
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    old = there("lines-keys")
+    got = {(r.doc_id, r.class_doc_id, r.n_links, r.kept) for r in line_dedup.line_classes(d).collect()}
+    assert got == {(i, texts.index(first[x]), degree[x], first[x] == x) for i, x in enumerate(texts)}
+    assert len(keys) > 3 and max(keys) == 1
+    monkeypatch.setattr(line_dedup, "RANGE_LINES", 1 << 40)
+    kinds = ["lines", *(f"lines-{x}" for x in ("nodes", "texts", "keys", "hot", "turn", "met", "ends", "wanted", "links"))]
+    old = there(*kinds)
+    line_dedup.deduplicated(d.selectExpr("*", "'en' lang", "'s' source", "1L n_chars")).collect()
+    assert there(*kinds) == old
+
+
+def test_pairs_within_their_edits():
+    random.seed(23)
+    for letters in ("ab", "abcdefgh ", "aé中\U0001f600", [chr(256 + i) for i in range(400)]):
+        a = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(300)]
+        b = [edited(x, random.randint(0, 9)) for x in a]
+        k = np.array([random.randint(0, 8) for _ in a])
+        want = [(plain_distance(x, y) if x and y else len(x) + len(y)) <= n for x, y, n in zip(a, b, k)]
+        assert line_dedup.all_within(a, b, k).tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_differing_parts_keep_the_distance():
     random.seed(19)
     for _ in range(2000):
