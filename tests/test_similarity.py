@@ -174,6 +174,27 @@ def test_cells_meet_fewer_pairs(spark):
     assert none.collect() == []
 
 
+@pytest.mark.parametrize("asof", [False, True])
+def test_cells_copy_a_query_once_a_group(spark, vecs, monkeypatch, asof):
+    """On vectors without clusters, where most cells are visited, a query is sent to a group of cells once (before:
+    to each cell), in turns of bounded size, and only hits stay in the checkpoint folder."""
+    import os
+    from tessera.operators import similarity_cells
+    e, rows = vecs
+    stats = {}
+    monkeypatch.setattr(similarity_cells, "TURN_ROWS", 1)
+    monkeypatch.setattr(similarity_cells, "SPREAD_BYTES", 1)
+    monkeypatch.setattr(similarity_cells, "_GATHERED", 50)
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    old = set(os.listdir(base))
+    key = (("run", "ord"), ("run", "ord")) if asof else None
+    got = similarity_topk(e, e, 4, query_id="id", corpus_id="id", exclude_self=not asof, asof=key, strategy="cells", block_bytes=60_000, cells={"cell_rows": 4}, stats=stats)
+    assert _as_dict(got) == {q: x for q, x in _brute(rows, rows, 4, exclude_self=not asof, asof=asof).items() if x}
+    assert stats["second_most"] < 4 * len(rows)
+    left = {f.rsplit("-", 1)[0] for f in set(os.listdir(base)) - old}
+    assert left <= {"cells-hits", "cells-second-hits"}
+
+
 def test_ranges_meet_only_what_comes_before(spark, vecs):
     """Ranges above a query's key never meet it; a key that a third of the rows share is cut into parts."""
     e, rows = vecs
