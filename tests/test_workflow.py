@@ -162,3 +162,30 @@ def test_eval_with_live_model(spark):
     out = {r["item_id"]: r for r in workflow.eval_attempts(spark, "", items=items, model_factory=factory).collect()}
     assert out[1]["pass1"] and out[3]["pass1"]
     assert (out[2]["pass1"], out[2]["pass2"], out[2]["used_lesson_id"]) == (False, True, 2)
+
+
+def _written(spark):
+    import os
+    return set(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+
+
+def _turned(spark, monkeypatch, run):
+    """The rows of a query in one turn and in three, with records broadcast and joined; and what kinds of files stay."""
+    monkeypatch.setattr(workflow, "FEW_RECORDS", 1000)
+    one = sorted(map(repr, run().collect()))
+    old = _written(spark)
+    for name, value in (("TURN_ITEMS", 1), ("MAX_TURNS", 3), ("FEW_RECORDS", 0)):
+        monkeypatch.setattr(workflow, name, value)
+    out = run()
+    left = {f.rsplit("-", 1)[0] for f in _written(spark) - old}
+    assert sorted(map(repr, out.collect())) == one
+    return one, left
+
+
+def test_evaluation_in_turns_leaves_its_rows_only(spark, monkeypatch):
+    lesson = '{"title": "t", "trigger": "g", "diagnosis": "d", "fix_rule": "f", "error_category": "filter", "example": "e"}'
+    items = _items(spark, [(i, [1.0, i / 10]) for i in [*range(12), 5]])
+    resp = spark.createDataFrame([(i, c, t, None, 1.0) for i in range(12) for c, t in (
+        ("sql1", WRONG if i % 2 else GOLD), ("sql2", GOLD), ("critic", "1. x"), ("lesson", lesson))], RESP)
+    one, left = _turned(spark, monkeypatch, lambda: workflow.eval_attempts(spark, "", responses=resp, items=items))
+    assert len(one) > 12 and left == {"attempts"}
