@@ -189,3 +189,14 @@ def test_evaluation_in_turns_leaves_its_rows_only(spark, monkeypatch):
         ("sql1", WRONG if i % 2 else GOLD), ("sql2", GOLD), ("critic", "1. x"), ("lesson", lesson))], RESP)
     one, left = _turned(spark, monkeypatch, lambda: workflow.eval_attempts(spark, "", responses=resp, items=items))
     assert len(one) > 12 and left == {"attempts"}
+
+
+def test_answers_in_turns_leave_their_rows_only(spark, monkeypatch):
+    items = _items(spark, [(i, [1.0, i / 10]) for i in [*range(12), 5]])
+    corpus = spark.createDataFrame([(100 + i, [1.0, i / 5], f"ex{i}", GOLD) for i in range(7)], CORPUS)
+    lessons = spark.createDataFrame([(900, 0, 0, [0.0, 1.0], "t", "g", "d", "f", "filter", "e")], LESSONS)
+    resp = spark.createDataFrame([(i, c, t, None, 1.0) for i in range(12) for c, t in (
+        ("sql1", "SELET 1" if i % 2 else GOLD), ("sql2", GOLD))], RESP)
+    one, left = _turned(spark, monkeypatch, lambda: workflow.answer_questions(
+        spark, "", responses=resp, lessons=lessons, items=items, corpus=corpus))
+    assert len(one) > 12 and left == {"answers"}
